@@ -1,0 +1,18 @@
+"""Vector arithmetic as Column expressions (one pair per row)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine similarity in double; 0.0 for unequal lengths, empty or all-zero vectors."""
+    a, b = a.cast("array<double>"), b.cast("array<double>")
+    norms = F.sqrt(_dot(a, a)), F.sqrt(_dot(b, b))
+    comparable = (F.size(a) == F.size(b)) & (F.size(a) > 0) & (norms[0] != 0) & (norms[1] != 0)
+    return F.when(comparable, _dot(a, b) / (norms[0] * norms[1])).otherwise(F.lit(0.0))
