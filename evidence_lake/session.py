@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -23,7 +25,20 @@ def build_session(app_name: str = "evidence_lake", master: str | None = None, **
         builder = builder.master(master)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Hand this package to the Python workers, which need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_evidence_lake_shipped", False):
+        return spark
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="evidence_lake-"), "evidence_lake")
+    archive = shutil.make_archive(target, "zip", os.path.dirname(package), os.path.basename(package))
+    context.addPyFile(archive)
+    context._evidence_lake_shipped = True
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
