@@ -20,5 +20,5 @@ def map_of_present(**entries: Column) -> Column:
 
 def printable_map(c: Column) -> Column:
     """Entries sorted by key as ``k=v`` joined by ``;`` (maps cannot be compared)."""
-    entries = F.array_sort(F.map_entries(c))
+    entries = F.sort_array(F.map_entries(c))
     return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")

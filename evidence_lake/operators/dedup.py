@@ -185,6 +185,20 @@ def _settle(keys: DataFrame, entries: DataFrame) -> DataFrame:
     return early.unionByName(late).groupBy("ord").agg(F.min("leader").alias("leader"))
 
 
+def _follow(guess: DataFrame, steps: int = 2) -> DataFrame:
+    """Sends works that point at a work which is itself part of a record on to that record.
+
+    Settled works point at true first works and stay as they are, so this cannot undo
+    progress; it only shortens the way.
+    """
+    for _ in range(steps):
+        ahead = guess.filter(F.col("ord") != F.col("leader")).select(
+            F.col("ord").alias("leader"), F.col("leader").alias("ahead")
+        )
+        guess = guess.join(ahead, "leader", "left").select("ord", F.coalesce("ahead", "leader").alias("leader"))
+    return guess
+
+
 def assign_records(works: DataFrame) -> DataFrame:
     """(ord, leader) for every work of ``in_merge_order``: the first work of its record."""
     own = _contested(_identity(works))
@@ -201,6 +215,7 @@ def assign_records(works: DataFrame) -> DataFrame:
     guess = own.select("ord").join(guess, "ord", "left")
     guess = write_out(guess.select("ord", F.coalesce("leader", "ord").alias("leader")), "guess")
     while True:
+        guess = _follow(guess)
         found = _settle(keys, _record_entries(own.join(guess, "ord")))
         updated = (
             guess.withColumnRenamed("leader", "was")
@@ -248,7 +263,7 @@ def merge_records(members: DataFrame) -> DataFrame:
         )
         # distinct sources of one record: no more than there are providers
         .groupBy("leader")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "at", "source"))).alias("names"))
+        .agg(F.sort_array(F.collect_list(F.struct("place", "at", "source"))).alias("names"))
     )
     entries = (
         members.select("leader", "ord", F.explode("metadata").alias("k", "v"))

@@ -98,7 +98,7 @@ def first_errors(detail: Column) -> Column:
         F.filter(F.coalesce(detail, F.array().cast("array<struct<loc:array<string>,msg:string>>")), lambda d: d["msg"] != ""),
         lambda d, i: F.struct(field(d).alias("field"), i.alias("at"), d["msg"].alias("msg")),
     )
-    ordered = F.array_sort(named)
+    ordered = F.sort_array(named)
     before = F.concat(F.array(F.lit(None).cast("struct<field:string,at:int,msg:string>")), ordered)
     firsts = F.zip_with(
         ordered, before,

@@ -21,7 +21,7 @@ def assemble_lines(fragments: DataFrame) -> DataFrame:
     """Join text fragments into lines: a line takes all fragments within the y tolerance of its first."""
     usable = fragments.filter(T.strip(F.col("text")) != "")
     pages = usable.groupBy(*_PAGE).agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(
                 F.struct(
                     F.col("seq"),
@@ -97,7 +97,7 @@ def detect_elements(lines: DataFrame) -> DataFrame:
     )
     opens = (F.col("type") == "heading") | F.coalesce(F.lag("type").over(in_order) != F.col("type"), F.lit(True))
     runs = typed.withColumn("run", F.sum(opens.cast("int")).over(in_order))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"])
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"])
     elements = (
         runs.groupBy(*_PAGE, "run", "type")
         .agg(texts.alias("texts"), F.first("rank").alias("rank"))

@@ -1,0 +1 @@
+"""Composed flows and the named queries over the supplied tables."""

@@ -100,7 +100,7 @@ def rebuild_abstract(index: Column) -> Column:
             ),
         )
     )
-    ordered = F.array_sort(placed)
+    ordered = F.sort_array(placed)
     before = F.concat(F.array(F.lit(None).cast("struct<p:int,n:int,w:string>")), ordered)
     words = F.zip_with(
         ordered, before, lambda z, prev: F.when(prev.isNull() | (prev["p"] != z["p"]), z["w"])
