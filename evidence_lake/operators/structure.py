@@ -106,7 +106,8 @@ def detect_elements(lines: DataFrame) -> DataFrame:
             "run",
             "type",
             F.when(F.col("type") == "heading", F.col("rank")).alias("level"),
-            F.array_join("texts", F.when(F.col("type") == "table", "\n").otherwise(" ")).alias("text"),
+            F.when(F.col("type") == "table", F.array_join("texts", "\n"))
+            .otherwise(F.array_join("texts", " ")).alias("text"),
         )
     )
     running = Window.partitionBy("document_id").orderBy("page_number", "run")
