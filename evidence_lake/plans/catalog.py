@@ -1,6 +1,6 @@
 """All named queries."""
 
-from evidence_lake.plans import document_queries, works_queries  # noqa: F401
+from evidence_lake.plans import document_queries, evidence_queries, works_queries  # noqa: F401
 from evidence_lake.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -140,7 +140,8 @@ _ELEMENTS_SQL = f"""
     elements AS (
       SELECT document_id, 1 AS page_number, CAST(run - 1 AS INTEGER) AS position, type,
         CASE WHEN type = 'heading' THEN CAST(min(rk) AS INTEGER) END AS level,
-        string_agg(text, CASE WHEN type = 'table' THEN chr(10) ELSE ' ' END ORDER BY line_no) AS text
+        CASE WHEN type = 'table' THEN string_agg(text, chr(10) ORDER BY line_no)
+          ELSE string_agg(text, ' ' ORDER BY line_no) END AS text
       FROM l6 GROUP BY document_id, run, type)
 """
 
