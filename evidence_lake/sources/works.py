@@ -87,7 +87,10 @@ def malformed_payloads(payloads: DataFrame, source: str) -> DataFrame:
 
 
 def rebuild_abstract(index: Column) -> Column:
-    """Text from word -> positions; the later word wins a position claimed twice."""
+    """Text from word -> positions; the later word wins a position claimed twice.
+
+    No words give an empty text, which normalization turns into NULL.
+    """
     entries = F.map_entries(index)
     numbered = F.transform(entries, lambda e, i: F.struct(i.alias("n"), e["key"].alias("w"), e["value"].alias("at")))
     placed = F.flatten(
@@ -105,7 +108,7 @@ def rebuild_abstract(index: Column) -> Column:
     words = F.zip_with(
         ordered, before, lambda z, prev: F.when(prev.isNull() | (prev["p"] != z["p"]), z["w"])
     )
-    return T.blank_to_null(F.array_join(words, " "))
+    return F.array_join(words, " ")
 
 
 def openalex_works(payloads: DataFrame) -> DataFrame:
