@@ -6,7 +6,7 @@ which is written to a path of its own (see :mod:`evidence_lake.sources.storage`)
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_lake import fixed_values as V
@@ -17,9 +17,13 @@ from evidence_lake.operators import quality
 
 def newest(rows: DataFrame, created: str, id_col: str, limit: int = V.LIST_LIMIT, offset: int = 0) -> DataFrame:
     """One page, newest first; ids break ties so that pages do not overlap."""
+    _check_page(limit, offset)
+    return rows.orderBy(F.col(created).desc(), F.col(id_col)).offset(offset).limit(limit)
+
+
+def _check_page(limit: int, offset: int) -> None:
     if not 1 <= limit <= V.LIST_MAX or offset < 0:
         raise ValueError(f"limit must be in 1..{V.LIST_MAX} and offset not negative")
-    return rows.orderBy(F.col(created).desc(), F.col(id_col)).offset(offset).limit(limit)
 
 
 def newest_of(rows: DataFrame, parent: str, value, created: str, id_col: str, limit: int = V.LIST_LIMIT, offset: int = 0) -> DataFrame:
@@ -27,11 +31,24 @@ def newest_of(rows: DataFrame, parent: str, value, created: str, id_col: str, li
     return newest(rows.filter(F.col(parent) == value), created, id_col, limit, offset)
 
 
+def newest_of_each(rows: DataFrame, parent: str, created: str, id_col: str, limit: int = V.LIST_LIMIT, offset: int = 0) -> DataFrame:
+    """The same page for every parent at once; Spark drops rows past the page before the shuffle."""
+    _check_page(limit, offset)
+    order = Window.partitionBy(parent).orderBy(F.col(created).desc(), F.col(id_col))
+    placed = rows.withColumn("place", F.row_number().over(order))
+    return placed.filter(F.col("place") <= offset + limit).filter(F.col("place") > offset)
+
+
 def lookup(rows: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame:
     """The rows whose id is among ``wanted``; Spark broadcasts the ids when they are few."""
     return rows.join(wanted.select(id_col), id_col, "left_semi")
 
 
+def document_id(research_id: Column, seq: Column) -> Column:
+    """Id of the document stored for the work at place ``seq`` of a research's list."""
+    return ids.uuid5(F.concat_ws(":", F.lit("document"), research_id.cast("string"), seq.cast("string")))
+
+
 def to_documents(works: DataFrame, researches: DataFrame, created_at: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """works(research_id, ...) -> (documents to store, works whose research does not exist).
 
@@ -40,9 +57,8 @@ def to_documents(works: DataFrame, researches: DataFrame, created_at: Column | N
     parents = researches.select(F.col("id").alias("research_id"))
     known = works.join(parents, "research_id", "left_semi")
     stamp = F.current_timestamp() if created_at is None else created_at
-    name = F.concat_ws(":", F.lit("document"), F.col("research_id").cast("string"), F.col("seq").cast("string"))
     documents = known.select(
-        ids.uuid5(name).alias("id"),
+        document_id(F.col("research_id"), F.col("seq")).alias("id"),
         "research_id",
         "source",
         "external_id",

@@ -1,6 +1,11 @@
 """All named queries."""
 
-from evidence_lake.plans import document_queries, evidence_queries, works_queries  # noqa: F401
+from evidence_lake.plans import (  # noqa: F401
+    document_queries,
+    evidence_queries,
+    table_queries,
+    works_queries,
+)
 from evidence_lake.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -39,7 +39,7 @@ def rows_of(columns, rows):
     return [columns[i] for i in order], sorted(tuple(_cell(r[i]) for i in order) for r in rows)
 
 
-_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP"}
+_TYPES = {"timestamp_ntz": "TIMESTAMP", "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP"}
 
 
 def compare(spark, con, folder, run, sql):
