@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidence_lake import fixed_values as V
-from evidence_lake.functions import ids
 from evidence_lake.operators import claims as C
 from evidence_lake.operators import confidence, evidence, prompts, provenance, retrieval, validation
 from evidence_lake.operators.model_calls import ModelProvider
 from evidence_lake.plans import evidence_flow
 from evidence_lake.plans.document_queries import PLAIN_CHUNKS_SQL, plain_chunks
 from evidence_lake.plans.registry import query, sql_collapse, table
+from evidence_lake.session import write_out
 
 _MIN = 0.2  # the supplied vectors are far apart; the usual 0.7 finds only equal ones
 
@@ -313,7 +313,8 @@ class LengthJudge(ModelProvider):
     FROM ev""")
 def run_validations(spark: SparkSession, folder: str) -> DataFrame:
     claims = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("claim_id"), "text")
-    judged = validation.validate_evidence(claims, _line_evidence(spark, folder), LengthJudge())
+    found = write_out(_line_evidence(spark, folder), "evidence")
+    judged = validation.validate_evidence(claims, found, LengthJudge())
     return judged.select("evidence_id", "claim_id", "status", "reasoning", "model_used")
 
 
@@ -467,10 +468,14 @@ class QuotingModel(ModelProvider):
         return json.dumps({"evidence": [quoted, made_up]})
 
 
+# the index holds vectors of documents, and only documents ask
+_INDEX_SCORES_SQL = _SCORES_SQL.replace("FROM embeddings)", "FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents))")
+
+
 @query("traced_claims", f"""
-    WITH {_SCORES_SQL},
+    WITH {_INDEX_SCORES_SQL},
     d AS (SELECT doc_id AS chunk_id, string_split(text, chr(10))[1] AS line, lang, n_chars FROM documents),
-    h AS (SELECT r.*, d.* EXCLUDE (chunk_id) FROM r JOIN d USING (chunk_id) JOIN documents q ON q.doc_id = r.query_id WHERE rank <= 5),
+    h AS (SELECT r.*, d.* EXCLUDE (chunk_id) FROM r JOIN d USING (chunk_id) WHERE rank <= 5),
     o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS ordinal FROM h),
     x AS (SELECT *, regexp_matches(line, '[\\p{{L}}\\p{{N}}_]') AS said,
             sha1(from_hex('6f2f6e0a9d3f4b8a9c0a9a2e5b7d5a1e') || encode(query_id || ':' || ordinal || ':' || line)) AS hh,

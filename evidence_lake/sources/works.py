@@ -103,12 +103,16 @@ def rebuild_abstract(index: Column) -> Column:
             ),
         )
     )
-    ordered = F.sort_array(placed)
-    before = F.concat(F.array(F.lit(None).cast("struct<p:int,n:int,w:string>")), ordered)
-    words = F.zip_with(
-        ordered, before, lambda z, prev: F.when(prev.isNull() | (prev["p"] != z["p"]), z["w"])
-    )
-    return F.array_join(words, " ")
+
+    def read_off(ordered: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast("struct<p:int,n:int,w:string>")), ordered)
+        words = F.zip_with(
+            ordered, before, lambda z, prev: F.when(prev.isNull() | (prev["p"] != z["p"]), z["w"])
+        )
+        return F.array_join(words, " ")
+
+    # a one-element array names the sorted list, so that it is sorted once
+    return F.get(F.transform(F.array(F.sort_array(placed)), read_off), F.lit(0))
 
 
 def openalex_works(payloads: DataFrame) -> DataFrame:
