@@ -129,31 +129,26 @@ _BLOCK_CHOICES = "|".join(
 
 
 def html_elements(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """Heading, paragraph and table blocks of web pages, in order (a row-wise operation)."""
+    """Heading, paragraph and table blocks of web pages, in order: row-wise, without any shuffle."""
+
+    def read(block):
+        inner = F.regexp_extract(block, r"(?s)^<[^>]*>(.*)</[a-z0-9]+>$", 1)
+        return F.struct(
+            F.regexp_extract(block, r"^<([a-z0-9]+)", 1).alias("tag"),
+            T.collapse_whitespace(F.regexp_replace(inner, r"<[^>]*>", " ")).alias("text"),
+        )
+
     blocks = F.regexp_extract_all("html", F.lit(rf"(?s)({_BLOCK_CHOICES})"), F.lit(1))
+    filled = F.filter(F.transform(blocks, read), lambda b: b["text"] != "")
     found = pages.select(
-        F.col(id_col).cast("string").alias("document_id"), F.posexplode(blocks).alias("n", "block")
-    ).select(
-        "document_id",
-        "n",
-        F.regexp_extract("block", r"^<([a-z0-9]+)", 1).alias("tag"),
-        F.regexp_extract("block", r"(?s)^<[^>]*>(.*)</[a-z0-9]+>$", 1).alias("inner"),
+        F.col(id_col).cast("string").alias("document_id"), F.posexplode(filled).alias("position", "b")
     )
-    text = T.collapse_whitespace(F.regexp_replace("inner", r"<[^>]*>", " "))
-    typed = found.select(
-        "document_id",
-        "n",
-        F.when(F.col("tag").startswith("h"), "heading").when(F.col("tag") == "table", "table")
-        .otherwise("paragraph").alias("type"),
-        F.when(F.col("tag").startswith("h"), F.substring("tag", 2, 1).cast("int")).alias("level"),
-        text.alias("text"),
-    ).filter(F.col("text") != "")
-    order = Window.partitionBy("document_id").orderBy("n")
-    return typed.select(
+    tag = F.col("b.tag")
+    return found.select(
         "document_id",
         F.lit(1).alias("page_number"),
-        (F.row_number().over(order) - 1).alias("position"),
-        "type",
-        "level",
-        "text",
+        "position",
+        F.when(tag.startswith("h"), "heading").when(tag == "table", "table").otherwise("paragraph").alias("type"),
+        F.when(tag.startswith("h"), F.substring(tag, 2, 1).cast("int")).alias("level"),
+        F.col("b.text").alias("text"),
     )

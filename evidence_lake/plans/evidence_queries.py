@@ -191,14 +191,14 @@ _BLOCK_SQL = (
 
 
 @query("claim_prompts", f"""
-    WITH {_CONV_SQL},
-    q AS (SELECT conv_id AS query_id, arg_min(text, turn) AS question FROM conversations GROUP BY 1),
-    b AS (SELECT query_id, string_agg({_BLOCK_SQL}, chr(10) ORDER BY rank) AS chunks FROM rt GROUP BY 1)
+    WITH {_SCORES_SQL}, {_CHUNK_SQL},
+    q AS (SELECT doc_id AS query_id, string_split(text, chr(10))[1] AS question FROM documents),
+    b AS (SELECT query_id, string_agg({_BLOCK_SQL}, chr(10) ORDER BY rank) AS chunks FROM r JOIN ch USING (chunk_id) WHERE rank <= 5 GROUP BY 1)
     SELECT query_id, md5({_sql_text(V.CLAIM_PROMPT, question="question", chunks="chunks")}) AS prompt_digest FROM q JOIN b USING (query_id)""")
 def run_claim_prompts(spark: SparkSession, folder: str) -> DataFrame:
-    questions = table(spark, folder, "conversations").groupBy(F.col("conv_id").alias("query_id")).agg(F.min_by("text", "turn").alias("question"))
-    built = prompts.claim_prompts(questions, _conversation_chunks(spark, folder))
-    return built.select("query_id", F.md5("prompt").alias("prompt_digest"))
+    questions = table(spark, folder, "documents").select(F.col("doc_id").alias("query_id"), F.split("text", "\n")[0].alias("question"))
+    retrieved = retrieval.with_payload(_hits(spark, folder), _chunk_rows(spark, folder))
+    return prompts.claim_prompts(questions, retrieved).select("query_id", F.md5("prompt").alias("prompt_digest"))
 
 
 @query("evidence_prompts", f"""
@@ -323,27 +323,31 @@ def run_validations(spark: SparkSession, folder: str) -> DataFrame:
 _LABEL_STATUS = "CASE WHEN quality = 1 THEN 'supported' WHEN toxic = 1 THEN 'inconclusive' ELSE 'unsupported' END"
 
 
-def _source_claims(spark: SparkSession, folder: str) -> DataFrame:
-    """One claim per source and language: it cites all of that group's documents."""
-    documents = table(spark, folder, "documents")
-    return documents.groupBy(F.concat_ws("/", "source", "lang").alias("claim_id")).agg(
-        F.sort_array(F.collect_list("doc_id")).alias("chunk_ids"), F.concat(F.lit("claim of "), F.first("source")).alias("text")
+def _cited_claims(spark: SparkSession, folder: str) -> DataFrame:
+    """One claim per document, citing it twice and the next document once."""
+    return table(spark, folder, "documents").select(
+        F.col("doc_id").alias("claim_id"),
+        F.col("source").alias("query_id"),
+        F.array(F.col("doc_id"), F.col("doc_id") + 1, F.col("doc_id")).alias("chunk_ids"),
+        F.concat(F.lit("claim of "), "source").alias("text"),
     )
 
 
 def _labelled_evidence(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents").select("doc_id", F.concat_ws("/", "source", "lang").alias("claim_id"))
+    """Every label speaks for the claim on its document and the one on the document before."""
     status = F.when(F.col("quality") == 1, "supported").when(F.col("toxic") == 1, "inconclusive").otherwise("unsupported")
-    return table(spark, folder, "labels").join(documents, "doc_id").select(
-        F.concat(F.lit("e"), "doc_id").alias("evidence_id"), "claim_id", F.col("doc_id").alias("chunk_id"), status.alias("status"),
+    return table(spark, folder, "labels").select(
+        F.explode(F.array(F.col("doc_id"), F.col("doc_id") - 1)).alias("claim_id"), F.col("doc_id").alias("chunk_id"), status.alias("status"),
         F.lit(None).cast("string").alias("text"), F.concat(F.lit("d"), "doc_id").alias("document_id"),
-    )
+    ).withColumn("evidence_id", F.concat_ws("/", F.lit("e"), F.col("claim_id").cast("string"), F.col("chunk_id").cast("string")))
 
 
 _CONFIDENCE_SQL = f"""
-    c AS (SELECT source || '/' || lang AS claim_id, doc_id, 0.5 + (length(lang || source) * 7 + n_chars) % 50 / 100.0 AS score FROM documents),
-    a AS (SELECT claim_id, sum(CAST(score AS DOUBLE)) / count(*) AS avg FROM (SELECT * FROM c ORDER BY doc_id) WHERE claim_id NOT LIKE '%/es' GROUP BY 1),
-    e AS (SELECT c.claim_id, {_LABEL_STATUS} AS status FROM labels JOIN c USING (doc_id)),
+    c AS (SELECT doc_id AS claim_id, source, CASE WHEN lang <> 'es' THEN CAST((50 + (length(lang || source) * 7 + n_chars) % 50) / 100 AS DOUBLE) END AS score FROM documents),
+    a AS (SELECT c.claim_id, CASE WHEN c.score IS NOT NULL AND n.score IS NOT NULL THEN (c.score + n.score + c.score) / 3
+                               WHEN c.score IS NOT NULL THEN (c.score + c.score) / 2 ELSE n.score END AS avg
+          FROM c LEFT JOIN c n ON n.claim_id = c.claim_id + 1 AND n.source = c.source),
+    e AS (SELECT unnest([doc_id, doc_id - 1]) AS claim_id, doc_id AS chunk_id, {_LABEL_STATUS} AS status FROM labels),
     t AS (SELECT claim_id, max(CASE status WHEN 'supported' THEN 2 WHEN 'inconclusive' THEN 1 ELSE 0 END) AS strength,
             count(*) FILTER (status = 'supported') AS supported FROM e GROUP BY 1),
     m AS (SELECT DISTINCT claim_id, coalesce(strength, 0) AS strength, coalesce(supported, 0) AS supported, avg FROM c LEFT JOIN t USING (claim_id) LEFT JOIN a USING (claim_id)),
@@ -362,15 +366,17 @@ _CONFIDENCE_SQL = f"""
 
 
 def _scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Similarities of cited documents; Spanish claims have none."""
+    """Similarities by source; Spanish documents have none."""
     score = (F.lit(50) + (F.length(F.concat("lang", "source")) * 7 + F.col("n_chars")) % 50) / 100
     return table(spark, folder, "documents").filter("lang <> 'es'").select(
-        F.concat_ws("/", "source", "lang").alias("claim_id"), F.col("doc_id").alias("chunk_id"), score.alias("score")
+        F.col("source").alias("query_id"), F.col("doc_id").alias("chunk_id"), score.alias("score")
     )
 
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
-    return confidence.score_claims(_source_claims(spark, folder), _labelled_evidence(spark, folder), _scores(spark, folder))
+    return confidence.score_claims(
+        _cited_claims(spark, folder), _labelled_evidence(spark, folder), _scores(spark, folder), on="query_id"
+    )
 
 
 @query("confidence", f"""
@@ -380,14 +386,13 @@ def run_confidence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("packaged_scores", f"""
-    WITH {_CONFIDENCE_SQL},
-    g AS (SELECT claim_id, 'claim of ' || split_part(claim_id, '/', 1) AS claim_text, count(*) AS n FROM c GROUP BY ALL)
-    SELECT claim_id, claim_text, CAST(n AS INTEGER) AS n_cited, level, score, 'e' || doc_id AS evidence_id, {_LABEL_STATUS} AS evidence_status
-    FROM g JOIN scored USING (claim_id) LEFT JOIN (SELECT labels.*, c.claim_id FROM labels JOIN c USING (doc_id)) p USING (claim_id)""".replace(
-    f"{_LABEL_STATUS} AS evidence_status", f"CASE WHEN doc_id IS NOT NULL THEN {_LABEL_STATUS} END AS evidence_status"))
+    WITH {_CONFIDENCE_SQL}
+    SELECT claim_id, 'claim of ' || source AS claim_text, 3 AS n_cited, level, scored.score AS score,
+      'e/' || claim_id || '/' || chunk_id AS evidence_id, status AS evidence_status
+    FROM c JOIN scored USING (claim_id) LEFT JOIN e USING (claim_id)""")
 def run_packaged(spark: SparkSession, folder: str) -> DataFrame:
     packed = confidence.package_scores(
-        _source_claims(spark, folder), _labelled_evidence(spark, folder), _scored(spark, folder)
+        _cited_claims(spark, folder), _labelled_evidence(spark, folder), _scored(spark, folder)
     )
     return packed.select(
         "claim_id", "claim_text", F.size("chunk_ids").alias("n_cited"), "level", "score", "evidence_id", "evidence_status"
