@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evidence_lake.operators import chunking, quality, structure
 from evidence_lake.operators.embedding import EmbeddingError, EmbeddingProvider, embed_chunks
-from evidence_lake.plans.registry import query, sql_collapse, sql_strip, table
+from evidence_lake.plans.registry import query, sql_collapse, sql_strip, table, texts
 from evidence_lake.session import new_table_path
 from evidence_lake.sources import files, storage
 
@@ -72,7 +72,7 @@ def run_file_manifest(spark: SparkSession, folder: str) -> DataFrame:
       CASE WHEN tag LIKE 'h%' THEN CAST(tag[2] AS INTEGER) END AS level, text
     FROM t WHERE text <> ''""")
 def run_html_elements(spark: SparkSession, folder: str) -> DataFrame:
-    return structure.html_elements(table(spark, folder, "pages"))
+    return structure.html_elements(texts(spark, folder, "pages"))
 
 
 @query("page_totals", """
@@ -102,7 +102,7 @@ _FRAGMENT_SQL = f"""
       CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_at, half) - 1 AS INTEGER) AS line_no, text, font_size
     FROM g""")
 def run_assembled_lines(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_at", "line"))
+    lines = texts(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_at", "line"))
     pieces = F.filter(F.split("line", r"\. "), lambda p: F.btrim(p) != "")
     fragments = lines.select("doc_id", "line_at", F.posexplode(pieces).alias("k", "text")).select(
         F.col("doc_id").cast("string").alias("document_id"),
@@ -120,7 +120,7 @@ def sized_lines(spark: SparkSession, folder: str) -> DataFrame:
     size = F.when(F.length("text") < 40, 18.0).when(F.length("text") < 60, 15.0).otherwise(12.0)
     # commas stand in for column gaps
     wide = F.regexp_replace("text", ", ", "    ")
-    lines = structure.text_lines(table(spark, folder, "documents"))
+    lines = structure.text_lines(texts(spark, folder, "documents"))
     return lines.withColumn("font_size", size).withColumn("text", wide)
 
 
@@ -187,7 +187,7 @@ PLAIN_CHUNKS_SQL = f"""
 
 
 def plain_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.chunk_texts(table(spark, folder, "documents"))
+    return chunking.chunk_texts(texts(spark, folder, "documents"))
 
 
 @query("chunk_documents", f"""

@@ -26,12 +26,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-_TEXTS = ("documents", "pages")  # a row is a whole text, so work per row is heavy
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread(df) if name in _TEXTS else df
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose rows are whole texts, for queries that do heavy work on each."""
+    return spread(table(spark, folder, name))
 
 
 # whitespace stripping and collapsing, spelled for the reference SQL engine

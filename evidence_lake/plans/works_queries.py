@@ -14,7 +14,7 @@ from evidence_lake.functions import maps
 from evidence_lake.functions import text as T
 from evidence_lake.operators import dedup, quality
 from evidence_lake.operators.normalize import normalize_works
-from evidence_lake.plans.registry import query, sql_collapse, sql_strip, table
+from evidence_lake.plans.registry import query, sql_collapse, sql_strip, table, texts
 from evidence_lake.sources import works as W
 
 _OUT = (
@@ -30,7 +30,7 @@ def raw_works(spark: SparkSession, folder: str) -> DataFrame:
     """Documents dressed as records with all kinds of flaws."""
     english, german = F.col("lang") == "en", F.col("lang") == "de"
     digest = F.substring(F.md5("text"), 1, 12)
-    return table(spark, folder, "documents").select(
+    return texts(spark, folder, "documents").select(
         F.col("doc_id").alias("seq"),
         F.when(english, "openalex").when(german, "crossref").otherwise(F.col("source")).alias("source"),
         F.concat(F.lit("  "), _line(0), F.lit("\t")).alias("title"),
@@ -128,7 +128,7 @@ def run_content_hashes(spark: SparkSession, folder: str) -> DataFrame:
 )
 def run_word_counts(spark: SparkSession, folder: str) -> DataFrame:
     words = T.words(F.col("text"))
-    return table(spark, folder, "documents").select(
+    return texts(spark, folder, "documents").select(
         "doc_id",
         F.size(words).alias("n_words"),
         F.size(F.array_distinct(words)).alias("n_distinct"),
@@ -142,7 +142,7 @@ def clean_works(spark: SparkSession, folder: str) -> DataFrame:
     second, last = F.get(lines, F.lit(1)), F.element_at(lines, -1)
     multi = F.size(lines) > 1
     has_authors = F.col("lang").isin("en", "es")
-    return table(spark, folder, "documents").select(
+    return texts(spark, folder, "documents").select(
         F.col("doc_id").alias("seq"),
         F.when(F.col("lang") == "fr", "crossref").when(F.col("lang") == "en", "openalex").otherwise(F.col("source")).alias("source"),
         F.when(F.length(_line(0)) > 20, _line(0)).alias("title"),
@@ -242,7 +242,7 @@ def run_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def openalex_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as OpenAlex answers: one work each, its text as an inverted index."""
-    documents = table(spark, folder, "documents")
+    documents = texts(spark, folder, "documents")
     # all words of one document; a document is one row to begin with
     words = documents.select("doc_id", F.posexplode(F.split(T.collapse_whitespace(F.col("text")), " ")).alias("at", "word"))
     index = (
