@@ -57,6 +57,11 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def number_works(works: DataFrame) -> DataFrame:
+    """Stored works with ``seq`` by file split and row, for works that came without a list order."""
+    return works.withColumn("seq", _below(F.monotonically_increasing_id(), 54, "work"))
+
+
 def _below(number: Column, bits: int, what: str) -> Column:
     """``number``, or a failing query when it needs more than ``bits`` bits."""
     fits = number.between(0, (1 << bits) - 1)

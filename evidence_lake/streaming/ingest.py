@@ -11,15 +11,17 @@ from evidence_lake.sources.works import PROVIDERS, UnknownProvider
 
 
 def stream_works(spark: SparkSession, landing: str, provider: str = V.DEFAULT_PROVIDER) -> DataFrame:
-    """Normalized works of payload files as they land; order them later by file and line."""
+    """Normalized works of payload files as they land.
+
+    A stream has no list order, so there is no ``seq``; number the stored works with
+    :func:`evidence_lake.sources.works.number_works` before merging them.
+    """
     if provider not in PROVIDERS:
         raise UnknownProvider(provider)
     payloads = spark.readStream.format("text").load(landing).select(
-        # a stream has no list order: the position inside the payload is all that is kept
-        F.lit(0).cast("bigint").alias("payload_id"),
-        F.col("value").alias("payload"),
+        F.lit(0).cast("bigint").alias("payload_id"), F.col("value").alias("payload")
     )
-    return PROVIDERS[provider](payloads)
+    return PROVIDERS[provider](payloads).drop("seq")
 
 
 def ingest(works: DataFrame, target: str, progress: str) -> StreamingQuery:

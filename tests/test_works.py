@@ -86,5 +86,10 @@ def test_streamed_payloads_give_the_same_works(spark, rows, tmp_path):
     run.awaitTermination(60)
     streamed = spark.read.parquet(str(tmp_path / "out"))
     batch = W.openalex_works(W.read_payloads(spark, str(tmp_path / "in")))
-    pick = lambda df: sorted(map(str, df.drop("seq").collect()))
+    pick = lambda df: sorted(map(str, df.select(*W.WORK_COLUMNS[1:]).collect()))
     assert pick(streamed) == pick(batch) and streamed.count() == 2
+    numbered = W.number_works(streamed)
+    assert set(numbered.columns) == set(W.WORK_COLUMNS) and numbered.select("seq").distinct().count() == 2
+    again = ingest(stream_works(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "progress"))
+    again.awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2  # landed files count once
