@@ -59,10 +59,14 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def _rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
-    rows = [(k, r.name, r.regex, r.verdict, r.tier, list(r.literals)) for k, r in enumerate(rules)]
-    return spark.createDataFrame(
-        rows, "rule_no int, rule string, regex string, rule_verdict string, tier int, literals array<string>"
-    )
+    kind = "array<struct<rule_no:int,rule:string,regex:string,rule_verdict:string,tier:int,literals:array<string>>>"
+    rows = [
+        F.struct(
+            F.lit(k), F.lit(r.name), F.lit(r.regex), F.lit(r.verdict), F.lit(r.tier), F.array(*map(F.lit, r.literals))
+        )
+        for k, r in enumerate(rules)
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows).cast(kind)))
 
 
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...], url: str = "url", otherwise: str = "allow") -> DataFrame:
