@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_lake.llm import packing, quality, sharding, token_counts
+from evidence_lake.llm import fingerprints, packing, quality, sharding, token_counts
 from evidence_lake.llm.registry import query, table
 
 
@@ -24,6 +24,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op2_document_fingerprints")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("op4_best_fit_packing")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
