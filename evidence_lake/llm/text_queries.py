@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_lake.llm import fingerprints, packing, quality, sharding, token_counts
+from evidence_lake.llm import fingerprints, packing, quality, sharding, substring_dedup, token_counts
 from evidence_lake.llm.registry import query, table
 
 
@@ -29,6 +29,28 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+SUBSTRING_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (
+  SELECT doc_id, p, array_to_string(w[p : p + 19], ' ') AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM d WHERE len(w) >= 20)),
+r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY win ORDER BY doc_id, p) AS k FROM x),
+g AS (SELECT doc_id, list(DISTINCT q) AS gone FROM (SELECT doc_id, unnest(range(p, p + 20)) AS q FROM r WHERE k > 1) GROUP BY doc_id),
+k AS (
+  SELECT d.doc_id, string_agg(word, ' ' ORDER BY q) AS kept
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS q FROM d) d
+  LEFT JOIN (SELECT doc_id, unnest(gone) AS q FROM g) g USING (doc_id, q) WHERE g.q IS NULL GROUP BY d.doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
+@query("op3_substring_dedup", SUBSTRING_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring_dedup.dedup_passages(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query("op4_best_fit_packing")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
