@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_lake.llm import fingerprints, packing, quality, sharding, substring_dedup, token_counts
+from evidence_lake.llm import fingerprints, packing, quality, sharding, simhash, substring_dedup, token_counts
 from evidence_lake.llm.registry import query, table
 
 
@@ -57,6 +57,12 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op6_simhash_near_dedup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
 @query("op8_quality_classifier")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
