@@ -31,7 +31,7 @@ BUCKET = 4096
 _GATHER = 200_000
 
 
-def fingerprint_of(text: bytes, shingle: int = SHINGLE) -> int:
+def fingerprint_of(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """Bit by bit the majority of the XXH64 hashes of the word shingles of a text; 0 without words."""
     import xxhash
 
@@ -43,7 +43,7 @@ def fingerprint_of(text: bytes, shingle: int = SHINGLE) -> int:
     last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
     first = np.concatenate([[0], ends[: len(last) - 1] + 1])
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(first.tolist(), last.tolist())])
+    hashes = b"".join([digest(joined[a:b], seed) for a, b in zip(first.tolist(), last.tolist())])
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 8 * 255 * 256):  # bounded memory for long texts
         bits = np.unpackbits(np.frombuffer(hashes, np.uint8, min(8 * 255 * 256, len(hashes) - at), at)).reshape(-1, 64)
@@ -52,11 +52,11 @@ def fingerprint_of(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(last)).tobytes(), "big", signed=True)
 
 
-def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
+def fingerprint(text: Column, shingle: int = SHINGLE, seed: int = SEED) -> Column:
     """The fingerprint as a long (its 64 bits); NULL counts as empty."""
 
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint_of((t.as_py() or "").encode(), shingle) for t in texts], pa.int64())
+        return pa.array([fingerprint_of((t.as_py() or "").encode(), shingle, seed) for t in texts], pa.int64())
 
     return F.arrow_udf(of, "long")(text)
 
@@ -289,3 +289,103 @@ def near_duplicates(
         docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), shingle).alias("print")), "document-fingerprints"
     )
     return grouped(prints, bits).select("doc_id", "print", "component_id")
+
+
+#: The pipeline's near-duplicates: shingles of five words, candidates within eight bits, similarity from 0.8 on.
+STAGE_SHINGLE, STAGE_BITS, SIMILARITY = 5, 8, 0.8
+#: Seeds of the fingerprints of each text; two texts are candidates if either pair of theirs is linked.
+STAGE_SEEDS = (SEED, SEED + 1)
+#: Texts that are like none of this many kept texts of their group stay.
+STAGE_ROUNDS = 4
+
+
+def shingle_set(text: bytes, shingle: int) -> list[int]:
+    """Distinct hashes of a text's word shingles (its word sequence, if shorter)."""
+    import xxhash
+
+    words = text.lower().split()
+    last = max(len(words) - shingle + 1, 1)
+    digest = xxhash.xxh64_intdigest
+    return list({digest(b" ".join(words[i : i + shingle]), SEED) - (1 << 63) for i in range(last)})
+
+
+def keep_one_of_each(
+    docs: DataFrame,
+    shingle: int = STAGE_SHINGLE,
+    bits: int = STAGE_BITS,
+    similarity: float = SIMILARITY,
+    doc_id: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """``docs`` without near-duplicates: of each group the row with the smallest doc_id stays as it is.
+
+    Texts are grouped by linked fingerprints; in each group the smallest doc_id is kept and texts whose
+    shingle sets have at least ``similarity`` (Jaccard) with its own go; what is left is compared with the
+    next smallest, ``STAGE_ROUNDS`` times.  Equal texts always go but for one.  NULL counts as an empty
+    text, and texts without words are equal; NULL doc_ids come last.  Of rows equal in doc_id and text one
+    stays.  Columns are those of ``docs``.
+    """
+    bounded_batches(docs.sparkSession)
+    content = F.coalesce(F.col(text), F.lit(""))
+    key = F.xxhash64(content)
+    prints = [fingerprint(F.col(text), shingle, seed).alias(f"print{k}") for k, seed in enumerate(STAGE_SEEDS)]
+    rows = write_out(docs.select(F.col(doc_id).alias("doc_id"), key.alias("key"), *prints), "document-fingerprints")
+    names = [f"print{k}" for k in range(len(STAGE_SEEDS))]
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("low")
+    distinct = write_out(rows.groupBy("key").agg(low, *[F.min(n).alias(n) for n in names]), "distinct-texts")
+    near = None
+    for name in names:
+        by_print = distinct.select("key", F.col(name).alias("print"))
+        linked = components(links(by_print.select("print").distinct(), bits)).withColumnRenamed("node", "print")
+        group = by_print.join(linked, "print", "left").select("key", F.coalesce("root", "print").alias("group"))
+        first = group.groupBy("group").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
+        edges = group.join(first, "group").where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+        near = edges if near is None else near.unionByName(edges)
+    roots = components(near.distinct()).withColumnRenamed("node", "key")
+    texts = write_out(
+        distinct.join(roots, "key", "left").select(
+            F.coalesce("root", "key").alias("root"),
+            "key",
+            F.struct("low.none", F.col("low.doc_id").alias("doc_id"), "key").alias("place"),
+        ),
+        "grouped-texts",
+    )
+    crowded = texts.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    undecided = texts.join(crowded, "root")
+
+    def hashed(x: pa.Array) -> pa.Array:
+        return pa.array([shingle_set((t.as_py() or "").encode(), shingle) for t in x], pa.list_(pa.int64()))
+
+    wanted = undecided.select(F.col("key").alias("_key")).distinct()
+    sets = (
+        docs.select(key.alias("key"), content.alias("content"))
+        .join(wanted, F.col("key") == F.col("_key"), "left_semi")
+        .dropDuplicates(["key"])
+        .select("key", F.arrow_udf(hashed, "array<long>")(F.col("content")).alias("shingles"))
+    )
+    undecided = write_out(undecided.join(sets, "key"), "undecided-texts")
+    gone = None
+    for _ in range(STAGE_ROUNDS):
+        kept = undecided.groupBy("root").agg(
+            F.min("place").alias("kept"), F.min_by("shingles", "place").alias("kept_shingles")
+        )
+        shared = F.size(F.array_intersect("shingles", "kept_shingles"))
+        either = F.size("shingles") + F.size("kept_shingles") - shared
+        compared = write_out(
+            undecided.join(kept, "root")
+            .where(F.col("place") != F.col("kept"))
+            .withColumn("alike", shared >= similarity * either)
+            .select("root", "key", "place", "shingles", "alike"),
+            "compared-texts",
+        )
+        alike = compared.where("alike").select("place")
+        gone = alike if gone is None else gone.unionByName(alike)
+        undecided = compared.where("not alike").drop("alike")
+        if undecided.isEmpty():
+            break
+    stay = texts.select("place").join(gone, "place", "left_anti").select("place.*")
+    stay = stay.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    keyed = docs.withColumns({"_text_key": key, "_place": F.col(doc_id)})
+    same = F.col("_place").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
+    one = keyed.join(stay, same, "left_semi").dropDuplicates(["_place", "_text_key"])
+    return one.select(docs.columns)
