@@ -97,7 +97,7 @@ def find_contamination(
     candidates = (
         pairs.join(items.select("item_no", "item_id", "size", "spans"), "item_no")
         .groupBy("key")
-        .agg(F.collect_list(F.struct("item_id", "size", "spans")).alias("_items"))
+        .agg(F.collect_list(F.struct("item_id", "size", "spans")).alias("__items"))
     )
 
     def extended(w: Column, items_of: Column) -> Column:
@@ -119,24 +119,25 @@ def find_contamination(
 
     def result(w: Column) -> Column:
         none = F.array().cast(f"array<struct<item_id:string,size:int,starts:array<int>>>")
-        hits = F.when(F.col("_items").isNull(), none).otherwise(extended(w, F.col("_items")))
+        hits = F.when(F.col("__items").isNull(), none).otherwise(extended(w, F.col("__items")))
         return F.struct(F.size(w).cast("long").alias("n_words"), hits.alias("hits"))
 
     out = ("n_words", "n_hit", "n_items", "item_ids", "hit_words")
-    docs = docs.drop(*out).withColumn("_key", text_key(F.col(text)))
-    names = [n for n in docs.columns if n != "_key"]
-    judged = docs.join(candidates, F.col("_key") == F.col("key"), "left").select(
-        *names, let(words_of(F.col(text)), result).alias("_r")
+    docs = docs.drop(*out).withColumn("__key", text_key(F.col(text)))
+    names = [n for n in docs.columns if n != "__key"]
+    found = candidates.withColumnRenamed("key", "__found")
+    judged = docs.join(found, F.col("__key") == F.col("__found"), "left").select(
+        *names, let(words_of(F.col(text)), result).alias("__r")
     )
     covered = F.flatten(
         F.transform(
-            F.col("_r.hits"),
+            F.col("__r.hits"),
             lambda x: F.flatten(F.transform(x["starts"], lambda p: F.sequence(p, p + x["size"] - 1))),
         )
     )
-    ids = F.array_sort(F.array_distinct(F.array_compact(F.transform(F.col("_r.hits"), lambda x: x["item_id"]))))
+    ids = F.array_sort(F.array_distinct(F.array_compact(F.transform(F.col("__r.hits"), lambda x: x["item_id"]))))
     full = judged.select(
-        *names, F.col("_r.n_words").alias("n_words"), ids.alias("item_ids"), F.array_distinct(covered).alias("hit_words")
+        *names, F.col("__r.n_words").alias("n_words"), ids.alias("item_ids"), F.array_distinct(covered).alias("hit_words")
     )
     return full.select(
         *names,

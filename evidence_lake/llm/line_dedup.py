@@ -63,14 +63,14 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", tex
     are ordered by a hash of their texts; rows equal in both count as one document.  Other columns are
     kept; columns named n_lines or n_removed are replaced.
     """
-    removed = later_lines(docs, size, doc_id, text).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    removed = later_lines(docs, size, doc_id, text).withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
     split = docs.drop("n_lines", "n_removed").withColumns(
-        {"_lines": F.split(text, "\n"), "_text_key": text_key(F.col(text))}
+        {"__lines": F.split(text, "\n"), "__text_key": text_key(F.col(text))}
     )
     joined = split.drop(text).join(
-        removed, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left"
+        removed, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left"
     )
-    lines, gone = F.col("_lines"), F.col("removed")
+    lines, gone = F.col("__lines"), F.col("removed")
     kept = F.transform(F.array_except(upto(F.size(lines)), gone), lambda i: F.get(lines, i))
     columns = {
         text: F.when(gone.isNull(), F.array_join(lines, "\n")).otherwise(F.array_join(kept, "\n")),

@@ -356,10 +356,10 @@ def keep_one_of_each(
     def hashed(x: pa.Array) -> pa.Array:
         return pa.array([shingle_set((t.as_py() or "").encode(), shingle) for t in x], pa.list_(pa.int64()))
 
-    wanted = undecided.select(F.col("key").alias("_key")).distinct()
+    wanted = undecided.select(F.col("key").alias("__key")).distinct()
     sets = (
         docs.select(key.alias("key"), content.alias("content"))
-        .join(wanted, F.col("key") == F.col("_key"), "left_semi")
+        .join(wanted, F.col("key") == F.col("__key"), "left_semi")
         .dropDuplicates(["key"])
         .select("key", F.arrow_udf(hashed, "array<long>")(F.col("content")).alias("shingles"))
     )
@@ -384,8 +384,8 @@ def keep_one_of_each(
         if undecided.isEmpty():
             break
     stay = texts.select("place").join(gone, "place", "left_anti").select("place.*")
-    stay = stay.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-    keyed = docs.withColumns({"_text_key": key, "_place": F.col(doc_id)})
-    same = F.col("_place").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
-    one = keyed.join(stay, same, "left_semi").dropDuplicates(["_place", "_text_key"])
+    stay = stay.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
+    keyed = docs.withColumns({"__text_key": key, "__place": F.col(doc_id)})
+    same = F.col("__place").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))
+    one = keyed.join(stay, same, "left_semi").dropDuplicates(["__place", "__text_key"])
     return one.select(docs.columns)

@@ -266,7 +266,8 @@ def later_windows(docs: DataFrame, size: int, anchor: int) -> DataFrame:
     texts = docs.select("text").where(F.col("text").isNotNull())
     volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     expected = volume / 6 * 2 / (size - anchor + 2)  # anchors, if a word and its separator take six bytes
-    bits = min(max(int(4 * expected), MIN_COUNTERS), MAX_COUNTERS - 1).bit_length()
+    # a part of the sketch is a whole number of bytes
+    bits = max(min(max(int(4 * expected), MIN_COUNTERS), MAX_COUNTERS - 1).bit_length(), _SLICES.bit_length() + 2)
     sketch = spark.sparkContext.broadcast(repeated_anchors(texts, size, anchor, bits))
     rows = docs.select("id", "key", "text").mapInArrow(_candidates(size, anchor, bits, sketch), _ROW)
     ordered = rows.repartition("anchor").sortWithinPartitions("anchor", "id", "key", "pos")
@@ -327,13 +328,13 @@ def dedup_passages(
     key = F.xxhash64(F.col(text), F.col(doc_id).isNull())
     found = later_windows(docs.select(id_.alias("id"), key.alias("key"), F.col(text).alias("text")), size, anchor)
     out = ("n_words", "n_removed", "kept_text", "kept_sha256")
-    keyed = docs.drop(*out, "_id", "_key").withColumns({"_id": id_, "_key": key})
+    keyed = docs.drop(*out, "__id", "__key").withColumns({"__id": id_, "__key": key})
     joined = keyed.join(
-        found.withColumnsRenamed({"id": "_found_id", "key": "_found_key", "runs": "_runs"}),
-        (F.col("_id") == F.col("_found_id")) & (F.col("_key") == F.col("_found_key")),
+        found.withColumnsRenamed({"id": "__found_id", "key": "__found_key", "runs": "__runs"}),
+        (F.col("__id") == F.col("__found_id")) & (F.col("__key") == F.col("__found_key")),
         "left",
     )
     kind = "n_words bigint, n_removed bigint, kept_text string, kept_sha256 string"
-    reduced = joined.withColumn("_r", F.arrow_udf(_reduce(size), kind)(F.col(text), F.col("_runs")))
+    reduced = joined.withColumn("__r", F.arrow_udf(_reduce(size), kind)(F.col(text), F.col("__runs")))
     names = [n for n in docs.columns if n not in out]
-    return reduced.select(*names, *[F.col(f"_r.{n}").alias(n) for n in out])
+    return reduced.select(*names, *[F.col(f"__r.{n}").alias(n) for n in out])

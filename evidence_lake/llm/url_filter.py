@@ -99,11 +99,11 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...], url: str = "url", othe
         fetched.join(bounded(index), "token")
         .where(F.rlike(F.concat("host", "path"), F.col("regex")))
         .groupBy("host", "path")
-        .agg(F.max_by(F.struct("rule", "rule_verdict"), F.struct("tier", F.length("rule"), "rule")).alias("best"))
+        .agg(F.max_by(F.struct("rule", "rule_verdict"), F.struct("tier", F.length("rule"), "rule")).alias("__best"))
     )
     return (
         pages.join(matched, ["host", "path"], "left")
-        .withColumn("rule", F.col("best.rule"))
-        .withColumn("verdict", F.coalesce("best.rule_verdict", F.lit(otherwise)))
-        .drop("best")
+        .withColumn("rule", F.col("__best.rule"))
+        .withColumn("verdict", F.coalesce("__best.rule_verdict", F.lit(otherwise)))
+        .drop("__best")
     )
