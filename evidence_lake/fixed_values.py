@@ -119,3 +119,24 @@ And this evidence from the document: "{evidence}"
 Does the evidence support the claim?
 Answer with one of: supported, partially_supported, unsupported.
 Provide a brief reasoning."""
+
+# fixed values: HTML elements that begin or end a block of text, elements that are not shown,
+# and the character references that are decoded by name
+HTML_BLOCKS = (
+    "address", "article", "aside", "blockquote", "body", "dd", "details", "div", "dl", "dt", "fieldset",
+    "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html",
+    "li", "main", "nav", "ol", "p", "pre", "section", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+)
+HTML_HIDDEN = ("script", "style", "template", "title")
+HTML_INLINE = (
+    "a", "abbr", "b", "bdi", "bdo", "cite", "code", "em", "i", "kbd", "mark", "q", "s", "small", "span", "strong",
+    "sub", "sup", "u",
+)
+HTML_ENTITIES = {
+    "apos": "'", "bull": "\u2022", "cent": "\u00a2", "copy": "\u00a9", "deg": "\u00b0", "euro": "\u20ac",
+    "gt": ">", "hellip": "\u2026", "laquo": "\u00ab", "ldquo": "\u201c", "lsquo": "\u2018", "lt": "<",
+    "mdash": "\u2014", "middot": "\u00b7", "nbsp": "\u00a0", "ndash": "\u2013", "para": "\u00b6", "pound": "\u00a3",
+    "quot": '"', "raquo": "\u00bb", "rdquo": "\u201d", "reg": "\u00ae", "rsquo": "\u2019", "sect": "\u00a7",
+    "times": "\u00d7", "trade": "\u2122", "yen": "\u00a5",
+    "amp": "&",  # last, so that what it brings forth is not decoded again
+}

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_lake import fixed_values as V
@@ -31,7 +31,6 @@ from evidence_lake.functions import text as T
 from evidence_lake.session import write_out
 
 _FOREVER = (1 << 63) - 1
-_SEQ_BITS = 58
 _FIELDS = ("doi", "ext", "urlk", "title", "year", "author")
 
 
@@ -44,12 +43,28 @@ def provider_rank(source: Column, preference: Sequence[str] = V.PROVIDER_PREFERE
 
 
 def in_merge_order(works: DataFrame, preference: Sequence[str] = V.PROVIDER_PREFERENCE) -> DataFrame:
-    """Works with ``ord``: one number that sorts by provider rank, then list position."""
-    seq = F.col("seq").cast("bigint")
-    fits = seq.between(0, (1 << _SEQ_BITS) - 1)
-    checked = F.when(fits, seq).otherwise(F.raise_error(F.lit(f"seq must be in [0, 2^{_SEQ_BITS})")))
-    rank = provider_rank(F.col("source"), preference).cast("bigint")
-    return works.withColumn("ord", F.shiftleft(rank, _SEQ_BITS) + checked)
+    """Works with ``ord``: 0, 1, 2, ... by provider rank, then list position ``seq``.
+
+    ``seq`` may be of any type that can be sorted, also a struct of list, file and offset.  The places are
+    sorted over all tasks and numbered by one offset per task.  Two works at one place fail the query, as
+    the outcome would depend on chance.
+    """
+    ranked = works.withColumn("_rank", provider_rank(F.col("source"), preference))
+    places = ranked.groupBy("_rank", "seq").agg(F.count("*").alias("_n"))
+    ordered = places.repartitionByRange("_rank", "seq").sortWithinPartitions("_rank", "seq")
+    placed = write_out(ordered.withColumn("_at", F.monotonically_increasing_id()), "places")
+    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    # one row for each task that sorted
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    numbered = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    single = F.when(F.col("_n") == 1, F.col("_before") + row).otherwise(
+        F.raise_error(F.concat(F.lit("several works at the place "), F.to_json(F.struct("seq"))))
+    )
+    return ranked.join(numbered.select("_rank", "seq", single.alias("ord")), ["_rank", "seq"]).select(
+        *works.columns, "ord"
+    )
 
 
 def _hash_key(title: Column, author: Column, year: Column) -> Column:
@@ -136,8 +151,8 @@ def _record_entries(members: DataFrame) -> DataFrame:
     )
 
 
-def _cover(low: Column, high: Column) -> Column:
-    """The O(log n) aligned power-of-two blocks that make up [low, high)."""
+def _cover(low: Column, high: Column, levels: int) -> Column:
+    """The O(log n) aligned power-of-two blocks that make up [low, high), high up to 2^levels."""
 
     def at_level(level: Column) -> Column:
         # ceil(low / 2^level) without overflow at the top of the range
@@ -154,32 +169,34 @@ def _cover(low: Column, high: Column) -> Column:
             )
         )
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), at_level))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at_level))
 
 
-def _blocks_of(point: Column) -> Column:
+def _blocks_of(point: Column, levels: int) -> Column:
     return F.transform(
-        F.sequence(F.lit(0), F.lit(62)),
+        F.sequence(F.lit(0), F.lit(levels)),
         lambda level: F.struct(level.alias("level"), F.call_function("shiftright", point, level).alias("block")),
     )
 
 
-def _settle(keys: DataFrame, entries: DataFrame) -> DataFrame:
-    """(ord, leader): the first record each work sees, given the records' keys over time."""
+def _settle(keys: DataFrame, entries: DataFrame, levels: int) -> DataFrame:
+    """(ord, leader): the first record each work sees, given the records' keys over time; ``ord`` is
+    below 2^levels."""
     own = (F.col("since") == F.col("leader")) & (F.col("until") == F.lit(_FOREVER))
     # keys a record had from its first work on: the earliest record is in sight iff it is earlier
     from_start = entries.filter(own).groupBy("key").agg(F.min("leader").alias("leader"))
     early = keys.join(from_start, "key").filter(F.col("leader") < F.col("ord")).select("ord", "leader")
     # keys that came later or went away: look the moment up in a hierarchy of time blocks,
     # so that a key with many works and many records never pairs them all
+    end = F.when(F.col("until") == _FOREVER, F.lit(1 << levels)).otherwise(F.col("until") + 1)
     timed = (
         entries.filter(~own)
-        .select("key", "leader", F.explode(_cover(F.col("since") + 1, F.when(F.col("until") == _FOREVER, F.col("until")).otherwise(F.col("until") + 1))).alias("t"))
+        .select("key", "leader", F.explode(_cover(F.col("since") + 1, end, levels)).alias("t"))
         .groupBy("key", "t")
         .agg(F.min("leader").alias("leader"))
     )
     moments = keys.join(timed.select("key").distinct(), "key", "left_semi").select(
-        "key", "ord", F.explode(_blocks_of(F.col("ord"))).alias("t")
+        "key", "ord", F.explode(_blocks_of(F.col("ord"), levels)).alias("t")
     )
     late = moments.join(timed, ["key", "t"]).select("ord", "leader")
     return early.unionByName(late).groupBy("ord").agg(F.min("leader").alias("leader"))
@@ -201,8 +218,9 @@ def _follow(guess: DataFrame, steps: int = 2) -> DataFrame:
 
 def assign_records(works: DataFrame) -> DataFrame:
     """(ord, leader) for every work of ``in_merge_order``: the first work of its record."""
-    own = _contested(_identity(works))
-    own = write_out(own, "contested")
+    own = write_out(_contested(_identity(works)), "contested")
+    # positions are dense, so the hierarchy of time blocks is as high as the number of works has bits
+    levels = max(1, int(own.agg(F.max("ord")).first()[0] or 0).bit_length())
     keys = own.select(
         "ord",
         F.explode(F.array_append(_plain_keys(), _hash_key(F.col("title"), F.col("author"), F.col("year")))).alias("key"),
@@ -216,7 +234,7 @@ def assign_records(works: DataFrame) -> DataFrame:
     guess = write_out(guess.select("ord", F.coalesce("leader", "ord").alias("leader")), "guess")
     while True:
         guess = _follow(guess)
-        found = _settle(keys, _record_entries(own.join(guess, "ord")))
+        found = _settle(keys, _record_entries(own.join(guess, "ord")), levels)
         updated = (
             guess.withColumnRenamed("leader", "was")
             .join(found, "ord", "left")

@@ -8,7 +8,7 @@ Work is split by (document, page); nothing larger than a page is ever gathered.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_lake import fixed_values as V
@@ -45,7 +45,8 @@ def assemble_lines(fragments: DataFrame) -> DataFrame:
         )
 
     starts = pages.withColumn("starts", F.aggregate("parts", none_yet, place)["starts"])
-    spans = starts.select(*_PAGE, "parts", "starts", F.posexplode("starts").alias("line_no", "start"))
+    # the outer form, as the optimizer would repeat the fold in a filter before the plain one
+    spans = starts.select(*_PAGE, "parts", "starts", F.posexplode_outer("starts").alias("line_no", "start"))
     end = F.coalesce(F.get("starts", F.col("line_no") + 1), F.size("parts"))
     members = F.slice("parts", F.col("start") + 1, end - F.col("start"))
     return spans.select(*_PAGE, "line_no", members.alias("parts")).select(
@@ -123,32 +124,66 @@ def page_totals(pages: DataFrame) -> DataFrame:
     )
 
 
-_BLOCK_CHOICES = "|".join(
-    rf"<{tag}(?:\s[^>]*)?>.*?</{tag}>" for tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "table")
-)
+_HIDDEN = "|".join([r"<!--.*?-->", *[rf"<{tag}\b[^>]*>.*?</{tag}\s*>" for tag in V.HTML_HIDDEN]])
+_TAG = r"</?[A-Za-z!][^>]*(?:>|$)"
+
+
+def _decoded(text: Column) -> Column:
+    """Character references, by number or by name, as the characters they stand for."""
+
+    def numbered(part: Column) -> Column:
+        digits = F.regexp_extract(part, "^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
+        hexadecimal = F.lower(F.substring(digits, 1, 1)) == "x"
+        code = F.when(hexadecimal, F.conv(F.substring(digits, 2, 6), 16, 10)).otherwise(digits).cast("int")
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        character = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        rest = F.regexp_replace(part, "^[^;]*;", "")
+        return F.when((digits != "") & valid, F.concat(character, rest)).otherwise(F.concat(F.lit("&#"), part))
+
+    parts = F.split(text, "&#")
+    by_number = F.concat(
+        F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), numbered), "")
+    )
+    text = F.when(F.contains(text, F.lit("&#")), by_number).otherwise(text)
+    for name, character in V.HTML_ENTITIES.items():
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(character))
+    return text
 
 
 def html_elements(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """Heading, paragraph and table blocks of web pages, in order: row-wise, without any shuffle."""
+    """All shown text of web pages as heading, paragraph and table elements, in order.
 
-    def read(block):
-        inner = F.regexp_extract(block, r"(?s)^<[^>]*>(.*)</[a-z0-9]+>$", 1)
+    An element reaches to the next tag that begins or ends a block, so unclosed paragraphs, list items
+    and text outside any block stand on their own; a table with all it holds is one element.  Comments,
+    scripts, styles and the title are not shown.  Row-wise, without any shuffle.
+    """
+    shown = F.regexp_replace("html", rf"(?is){_HIDDEN}", " ")
+    parts = F.split(shown, r"(?i)(?=<table\b)|(?<=</table>)")
+    is_table = lambda part: F.lower(F.substring(part, 1, 6)) == "<table"
+    blocks = rf"(?i)(?=</?(?:{'|'.join(V.HTML_BLOCKS)})\b)"
+    cut = F.flatten(
+        F.transform(parts, lambda part: F.when(is_table(part), F.array(part)).otherwise(F.split(part, blocks)))
+    )
+
+    def read(block: Column) -> Column:
+        inline = F.regexp_replace(block, rf"(?i)</?(?:{'|'.join(V.HTML_INLINE)})\b[^>]*>", "")
+        text = _decoded(F.regexp_replace(inline, _TAG, " "))
         return F.struct(
-            F.regexp_extract(block, r"^<([a-z0-9]+)", 1).alias("tag"),
-            T.collapse_whitespace(F.regexp_replace(inner, r"<[^>]*>", " ")).alias("text"),
+            F.lower(F.regexp_extract(block, r"^<([A-Za-z0-9]+)", 1)).alias("tag"),
+            T.collapse_whitespace(text).alias("text"),
         )
 
-    blocks = F.regexp_extract_all("html", F.lit(rf"(?s)({_BLOCK_CHOICES})"), F.lit(1))
-    filled = F.filter(F.transform(blocks, read), lambda b: b["text"] != "")
+    filled = F.filter(F.transform(cut, read), lambda b: b["text"] != "")
     found = pages.select(
-        F.col(id_col).cast("string").alias("document_id"), F.posexplode(filled).alias("position", "b")
-    )
+        F.col(id_col).cast("string").alias("document_id"), F.posexplode_outer(filled).alias("position", "b")
+    ).filter(F.col("position").isNotNull())
     tag = F.col("b.tag")
+    heading = tag.rlike("^h[1-6]$")
     return found.select(
         "document_id",
         F.lit(1).alias("page_number"),
         "position",
-        F.when(tag.startswith("h"), "heading").when(tag == "table", "table").otherwise("paragraph").alias("type"),
-        F.when(tag.startswith("h"), F.substring(tag, 2, 1).cast("int")).alias("level"),
+        F.when(heading, "heading").when(tag == "table", "table").otherwise("paragraph").alias("type"),
+        F.when(heading, F.substring(tag, 2, 1).cast("int")).alias("level"),
         F.col("b.text").alias("text"),
     )

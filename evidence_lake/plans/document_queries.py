@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidence_lake import fixed_values as V
 from evidence_lake.operators import chunking, quality, structure
 from evidence_lake.operators.embedding import EmbeddingError, EmbeddingProvider, embed_chunks
 from evidence_lake.plans.registry import query, sql_collapse, sql_strip, table, texts
@@ -57,20 +58,35 @@ def run_file_manifest(spark: SparkSession, folder: str) -> DataFrame:
 # --- structure -------------------------------------------------------------------------
 
 
-@query("html_elements", rf"""
-    WITH b AS (
-      SELECT page_id, unnest(m) AS block, generate_subscripts(m, 1) AS n FROM (
-        SELECT page_id, regexp_extract_all(html, '(?s)<h1(?:\s[^>]*)?>.*?</h1>|<h2(?:\s[^>]*)?>.*?</h2>|<h3(?:\s[^>]*)?>.*?</h3>|<h4(?:\s[^>]*)?>.*?</h4>|<h5(?:\s[^>]*)?>.*?</h5>|<h6(?:\s[^>]*)?>.*?</h6>|<p(?:\s[^>]*)?>.*?</p>|<table(?:\s[^>]*)?>.*?</table>') AS m
-        FROM pages)),
+def _sql_decoded(x: str) -> str:
+    for name, character in V.HTML_ENTITIES.items():
+        x = f"replace({x}, '&{name};', chr({ord(character)}))"
+    return x
+
+
+_HTML_INLINE = rf"(?i)</?({'|'.join(V.HTML_INLINE)})\b[^>]*>"
+_HTML_SQL = rf"""
+    WITH c AS (
+      SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<template\b[^>]*>.*?</template\s*>|<title\b[^>]*>.*?</title\s*>', ' ', 'g') AS html
+      FROM pages),
+    m AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?i)(<table\b)', chr(1) || '\1', 'g'), '(?i)(</table>)', '\1' || chr(1), 'g') AS html FROM c),
+    p AS (SELECT page_id, i AS a, parts[i] AS part FROM (SELECT page_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT page_id, string_split(html, chr(1)) AS parts FROM m))),
+    q AS (
+      SELECT page_id, a, string_split(CASE WHEN lower(part[1:6]) = '<table' THEN part
+        ELSE regexp_replace(part, '(?i)(</?({'|'.join(V.HTML_BLOCKS)})\b)', chr(2) || '\1', 'g') END, chr(2)) AS blocks FROM p),
+    b AS (SELECT page_id, a, i AS n, blocks[i] AS block FROM (SELECT *, unnest(range(1, len(blocks) + 1)) AS i FROM q)),
     t AS (
-      SELECT page_id, n, regexp_extract(block, '^<([a-z0-9]+)', 1) AS tag,
-        {sql_collapse("regexp_replace(regexp_extract(block, '(?s)^<[^>]*>(.*)</[a-z0-9]+>$', 1), '<[^>]*>', ' ', 'g')")} AS text
+      SELECT page_id, a, n, lower(regexp_extract(block, '^<([A-Za-z0-9]+)', 1)) AS tag,
+        {sql_collapse(_sql_decoded(f"regexp_replace(regexp_replace(block, '{_HTML_INLINE}', '', 'g'), '</?[A-Za-z!][^>]*(>|$)', ' ', 'g')"))} AS text
       FROM b)
     SELECT CAST(page_id AS VARCHAR) AS document_id, 1 AS page_number,
-      CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS INTEGER) AS position,
-      CASE WHEN tag LIKE 'h%' THEN 'heading' WHEN tag = 'table' THEN 'table' ELSE 'paragraph' END AS type,
-      CASE WHEN tag LIKE 'h%' THEN CAST(tag[2] AS INTEGER) END AS level, text
-    FROM t WHERE text <> ''""")
+      CAST(row_number() OVER (PARTITION BY page_id ORDER BY a, n) - 1 AS INTEGER) AS position,
+      CASE WHEN regexp_full_match(tag, 'h[1-6]') THEN 'heading' WHEN tag = 'table' THEN 'table' ELSE 'paragraph' END AS type,
+      CASE WHEN regexp_full_match(tag, 'h[1-6]') THEN CAST(tag[2] AS INTEGER) END AS level, text
+    FROM t WHERE text <> ''"""
+
+
+@query("html_elements", _HTML_SQL)
 def run_html_elements(spark: SparkSession, folder: str) -> DataFrame:
     return structure.html_elements(texts(spark, folder, "pages"))
 
@@ -214,8 +230,7 @@ def run_chunk_elements(spark: SparkSession, folder: str) -> DataFrame:
     FROM documents LEFT JOIN (SELECT document_id, count(*) AS n FROM chunks GROUP BY document_id) t
       ON t.document_id = CAST(doc_id AS VARCHAR)""")
 def run_chunk_totals(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("document_id"))
-    return chunking.chunk_totals(documents, plain_chunks(spark, folder))
+    return chunking.text_chunk_totals(texts(spark, folder, "documents"))
 
 
 @query("repeated_texts", """

@@ -15,6 +15,7 @@ from evidence_lake.functions import text as T
 from evidence_lake.operators import dedup, quality
 from evidence_lake.operators.normalize import normalize_works
 from evidence_lake.plans.registry import query, sql_collapse, sql_strip, table, texts
+from evidence_lake.session import new_table_path
 from evidence_lake.sources import works as W
 
 _OUT = (
@@ -55,6 +56,10 @@ def _flat(works: DataFrame) -> DataFrame:
     )
 
 
+def _placed(works: DataFrame) -> DataFrame:
+    return _flat(works).select("seq.answer", "seq.pos", *[c for c in _OUT if c != "seq"])
+
+
 @query(
     "normalize_works",
     rf"""
@@ -181,7 +186,7 @@ _CLEAN_SQL = f"""
 @query("provider_order", f"""
     WITH {_CLEAN_SQL}
     SELECT seq, source, CAST(CASE source WHEN 'openalex' THEN 0 WHEN 'crossref' THEN 1 ELSE 2 END AS INTEGER) AS place,
-      (CASE source WHEN 'openalex' THEN 0 WHEN 'crossref' THEN 1 ELSE 2 END) * 288230376151711744 + seq AS ord FROM w""")
+      rn - 1 AS ord FROM w""")
 def run_provider_order(spark: SparkSession, folder: str) -> DataFrame:
     works = clean_works(spark, folder).select("seq", "source")
     return dedup.in_merge_order(works).withColumn("place", dedup.provider_rank(F.col("source")))
@@ -274,7 +279,7 @@ def openalex_payloads(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("works_openalex", rf"""
-    SELECT doc_id * 4096 + 1 AS seq, 'openalex' AS source,
+    SELECT doc_id AS answer, CAST(1 AS INTEGER) AS pos, 'openalex' AS source,
       nullif({sql_strip("CASE WHEN lang <> 'fr' AND string_split(text, chr(10))[1] <> '' THEN string_split(text, chr(10))[1] ELSE source END")}, '') AS title,
       source AS authors, nullif({sql_collapse("text")}, '') AS abstract,
       CASE WHEN n_chars BETWEEN 1000 AND 2100 THEN CAST(n_chars AS INTEGER) END AS publication_year,
@@ -287,7 +292,7 @@ def openalex_payloads(spark: SparkSession, folder: str) -> DataFrame:
         || ';type="' || lang || '"' AS metadata
     FROM documents""")
 def run_openalex(spark: SparkSession, folder: str) -> DataFrame:
-    return _flat(W.openalex_works(openalex_payloads(spark, folder)))
+    return _placed(W.openalex_works(openalex_payloads(spark, folder)))
 
 
 def crossref_payloads(spark: SparkSession, folder: str) -> DataFrame:
@@ -325,7 +330,7 @@ def crossref_payloads(spark: SparkSession, folder: str) -> DataFrame:
       SELECT *, regexp_extract(url, '://([^/]+)/', 1) AS host, regexp_extract(url, '://[^/]+/([a-z]+)/', 1) AS lang,
         regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS heading FROM pages),
     y AS (SELECT *, CASE WHEN lang = 'en' THEN length(html) WHEN lang <> 'de' THEN length(url) + 1990 END AS raw_year FROM p)
-    SELECT page_id * 4096 AS seq, 'crossref' AS source,
+    SELECT page_id AS answer, CAST(0 AS INTEGER) AS pos, 'crossref' AS source,
       CASE WHEN lang <> 'es' THEN nullif({sql_strip("heading")}, '') END AS title,
       host || CASE WHEN lang <> '' THEN ' ' || lang ELSE '' END || '; ' || host || '; ' || CASE WHEN lang <> '' THEN lang ELSE 'x' END AS authors,
       '<jats:p>' || heading || '</jats:p>' AS abstract,
@@ -338,7 +343,7 @@ def crossref_payloads(spark: SparkSession, folder: str) -> DataFrame:
         || ';type="journal-article"' AS metadata
     FROM y""")
 def run_crossref(spark: SparkSession, folder: str) -> DataFrame:
-    return _flat(W.crossref_works(crossref_payloads(spark, folder)))
+    return _placed(W.crossref_works(crossref_payloads(spark, folder)))
 
 
 @query("search_sources", """
@@ -354,6 +359,66 @@ def run_search(spark: SparkSession, folder: str) -> DataFrame:
     return works.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("external_id").alias("n_ids"))
 
 
+def landed_answers(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Answers of both sources, written as landing files of their own and read back.
+
+    Each line of a document is an OpenAlex work, thousands to an answer (ids that share a thousand), and
+    each page a Crossref work under the digest of its document's first line, few to an answer.
+    """
+    lines = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    digest = F.md5("line")
+    work = F.struct(
+        F.concat(F.lit("https://openalex.org/W"), digest).alias("id"),
+        F.concat(F.lit("https://doi.org/10.5555/"), digest).alias("doi"),
+        F.when(F.col("at") % 2 == 0, F.col("line")).alias("title"),
+    )
+    order = F.struct("doc_id", "at", F.to_json(work).alias("work"))
+    answers = (
+        # an answer holds the lines of 1,000 ids
+        lines.groupBy(F.floor(F.col("doc_id") / 1000).alias("number"))
+        .agg(F.sort_array(F.collect_list(order)).alias("works"))
+        .select("number", F.concat(F.lit('{"results":["{no object",'), F.array_join("works.work", ","), F.lit("]}")).alias("value"))
+    )
+    first = F.md5(F.get(F.split("text", "\n"), F.lit(0)))
+    item = F.to_json(F.struct(F.concat(F.lit("10.5555/"), first).alias("DOI"), F.array(F.concat(F.lit("page "), "page_id")).alias("title")))
+    pages = table(spark, folder, "pages").join(table(spark, folder, "documents"), F.col("page_id") == F.col("doc_id"))
+    few = (
+        pages.groupBy(F.floor(F.col("page_id") / 7).alias("number"))
+        .agg(F.sort_array(F.collect_list(F.struct("page_id", item.alias("work")))).alias("works"))
+        .select("number", F.concat(F.lit('{"message":{"items":['), F.array_join("works.work", ","), F.lit("]}}")).alias("value"))
+    )
+
+    def landed(rows: DataFrame, label: str) -> DataFrame:
+        path = new_table_path(spark, label)
+        rows.repartitionByRange(4, "number").sortWithinPartitions("number").select("value").write.text(path)
+        return W.read_payloads(spark, path)
+
+    return landed(answers, "openalex-answers"), landed(few, "crossref-answers")
+
+
+@query("merged_sources", """
+    WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+    o AS (SELECT doc_id, i AS nth, l[i + 1] AS line FROM (SELECT *, unnest(range(len(l))) AS i FROM d)),
+    w AS (
+      SELECT 0 AS list, doc_id AS a, nth AS b, 'openalex' AS source, md5(line) AS digest,
+        CASE WHEN nth % 2 = 0 THEN nullif(trim(line, chr(9) || ' '), '') END AS title, 'https://doi.org/10.5555/' || md5(line) AS url,
+        'https://openalex.org/W' || md5(line) AS external_id FROM o
+      UNION ALL
+      SELECT 1, page_id, 0, 'crossref', md5(l[1]), 'page ' || page_id, 'https://doi.org/10.5555/' || md5(l[1]), '10.5555/' || md5(l[1])
+      FROM pages JOIN d ON page_id = doc_id)
+    SELECT '10.5555/' || digest AS doi, arg_min(source, row(list, a, b)) AS source, arg_min(title, row(list, a, b)) AS title,
+      arg_min(url, row(list, a, b)) AS url, arg_min(external_id, row(list, a, b)) AS external_id,
+      CASE WHEN count(DISTINCT list) = 2 THEN '["crossref","openalex"]' ELSE '-' END AS merged_sources
+    FROM w GROUP BY digest""")
+def run_merged_sources(spark: SparkSession, folder: str) -> DataFrame:
+    openalex, crossref = landed_answers(spark, folder)
+    found = W.union_works(W.search(openalex, "openalex").drop("ord"), W.search(crossref, "crossref").drop("ord"))
+    merged = dedup.deduplicate(found)
+    sources = F.array_distinct(F.from_json(F.col("metadata")["merged_sources"], "array<string>"))
+    merged_sources = F.when(F.size(sources) > 1, F.to_json(F.sort_array(sources))).otherwise("-")
+    return merged.select("doi", "source", "title", "url", "external_id", merged_sources.alias("merged_sources"))
+
+
 @query("known_sources", """
     SELECT doc_id, (CASE lang WHEN 'fr' THEN 'crossref' WHEN 'en' THEN 'openalex' ELSE source END)
       IN ('openalex', 'crossref') AS known FROM documents""")

@@ -1,7 +1,7 @@
 """Bibliographic works: landed JSON payloads to one normalized table.
 
 A payload row is one API answer (a page of works) as text, with ``payload_id``
-giving its place in the list of answers.  Everything here is row-wise, so the
+giving its place in the list of answers; a work's ``seq`` is (answer, pos).  Everything here is row-wise, so the
 functions take streaming DataFrames too.
 """
 
@@ -45,27 +45,27 @@ _CROSSREF_WORK = """
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Landed API answers, one JSON document per line, ordered by file split and line.
+    """Landed API answers, one JSON document per line, in order of file name and place in the file.
 
-    ``payload_id`` packs the split (22 bits) and the line in it (20 bits).
+    ``payload_id`` is (file, start of the block, line): lines are counted within a task, so their order
+    in a block, and with it the whole order, does not depend on how files are dealt out.
     """
-    place = F.monotonically_increasing_id()  # split in the high bits, line in the low 33
-    split, line = F.shiftright(place, 33), place.bitwiseAND(F.lit((1 << 33) - 1))
+    line = F.monotonically_increasing_id()
     return spark.read.text(path).select(
-        (F.shiftleft(split, 20) + _below(line, 20, "line")).alias("payload_id"),
+        F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            line.alias("line"),
+        ).alias("payload_id"),
         F.col("value").alias("payload"),
     )
 
 
 def number_works(works: DataFrame) -> DataFrame:
-    """Stored works with ``seq`` by file split and row, for works that came without a list order."""
-    return works.withColumn("seq", _below(F.monotonically_increasing_id(), 54, "work"))
-
-
-def _below(number: Column, bits: int, what: str) -> Column:
-    """``number``, or a failing query when it needs more than ``bits`` bits."""
-    fits = number.between(0, (1 << bits) - 1)
-    return F.when(fits, number).otherwise(F.raise_error(F.lit(f"{what} number needs more than {bits} bits")))
+    """Stored works (``spark.read.parquet(...)``) with ``seq`` by file and row, for works that came
+    without a list order."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return works.select("*", place.alias("seq"))
 
 
 def _items(payloads: DataFrame, envelope: str, items: Callable[[Column], Column]) -> DataFrame:
@@ -76,11 +76,8 @@ def _explode_items(payloads: DataFrame, schema: str) -> DataFrame:
     """One row per work object; list members that are not objects are skipped."""
     return (
         payloads.select("payload_id", F.posexplode("items").alias("pos", "item"))
-        .filter(F.col("item").startswith("{"))
-        .select(
-            (F.shiftleft(_below(F.col("payload_id"), 42, "payload"), 12) + F.col("pos")).alias("seq"),
-            F.from_json("item", schema).alias("w"),
-        )
+        .filter(F.json_object_keys("item").isNotNull())
+        .select(F.struct(F.col("payload_id").alias("answer"), "pos").alias("seq"), F.from_json("item", schema).alias("w"))
     )
 
 
@@ -192,17 +189,35 @@ class UnknownProvider(ValueError):
     """No reader is registered under this provider name."""
 
 
+def _refuse_malformed(payloads: DataFrame, provider: str) -> DataFrame:
+    """``payloads``; reading an answer without a list of works fails the query."""
+    _, envelope, items, _ = _SOURCES[provider]
+    checked = F.when(items(F.from_json("payload", envelope)).isNotNull(), F.col("payload")).otherwise(
+        F.raise_error(F.concat(F.lit(f"answer of {provider} without a list of works: "), F.to_json(F.struct("payload_id"))))
+    )
+    return payloads.withColumn("payload", checked)
+
+
 def search(
     payloads: DataFrame,
     provider: str = V.DEFAULT_PROVIDER,
     deduplicate: bool = True,
     providers: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None,
     preference: tuple[str, ...] = V.PROVIDER_PREFERENCE,
+    malformed: str = "fail",
 ) -> DataFrame:
-    """Works of one provider's payloads, deduplicated unless told otherwise."""
+    """Works of one provider's payloads, deduplicated unless told otherwise.
+
+    Answers without a list of works fail the query; with ``malformed="skip"`` they are left out
+    (``malformed_payloads`` lists them).
+    """
+    if malformed not in ("fail", "skip"):
+        raise ValueError(f"malformed must be fail or skip, not {malformed!r}")
     readers = PROVIDERS if providers is None else providers
     if provider not in readers:
         raise UnknownProvider(provider)
+    if malformed == "fail" and provider in _SOURCES:
+        payloads = _refuse_malformed(payloads, provider)
     works = readers[provider](payloads)
     if not deduplicate:
         return works
@@ -212,11 +227,10 @@ def search(
 
 
 def union_works(*works: DataFrame) -> DataFrame:
-    """Works of several lists as one list, each list behind the one before it (16 at most)."""
-    if len(works) > 16:
-        raise ValueError("at most 16 lists")
-    placed = [
-        w.withColumn("seq", _below(F.col("seq").cast("bigint"), 54, "work") + F.lit(i << 54))
-        for i, w in enumerate(works)
-    ]
+    """Works of several lists as one list, each list behind the one before it.
+
+    ``seq`` becomes (list, place) with the list's own ``seq`` as place; the places of all lists must be
+    of one type.
+    """
+    placed = [w.withColumn("seq", F.struct(F.lit(i).alias("list"), F.col("seq").alias("place"))) for i, w in enumerate(works)]
     return reduce(DataFrame.unionByName, placed)

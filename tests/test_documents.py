@@ -44,7 +44,7 @@ def test_html_blocks(rows):
     html = "<h1>A&amp;b</h1><p class='x'>one <b>two</b></p><p> </p><table><tr><td>1</td></tr></table>"
     got = structure.html_elements(rows("page_id int, html string", (7, html))).orderBy("position").collect()
     assert [(r.position, r.type, r.level, r.text) for r in got] == [
-        (0, "heading", 1, "A&amp;b"), (1, "paragraph", None, "one two"), (2, "table", None, "1"),
+        (0, "heading", 1, "A&b"), (1, "paragraph", None, "one two"), (2, "table", None, "1"),
     ]
 
 
@@ -149,3 +149,35 @@ def test_fetch_and_store_checks(rows, spark, tmp_path):
     (tmp_path / "f.bin").write_bytes(b"123")
     (tmp_path / "g.bin").write_bytes(b"1234")
     assert [r.size for r in files.read_files(spark, str(tmp_path), max_bytes=3).collect()] == [3]
+
+
+def test_html_keeps_all_shown_text(rows):
+    from evidence_lake.operators.structure import html_elements
+
+    html = (
+        "<html><head><title>no</title><style>p{}</style></head>loose <b>te</b>xt<H1 class='a'>Big</H1><p>one<p>two</p><div>plain</div>"
+        "<p>a &amp; b &amp;lt; &#233;&#x1F600;&#xD800; &unknown; 1 < 2</p><!-- <p>hidden</p> --><script>'</p>'</script>"
+        "<ul><li>item<li>other</ul><table><tr><td><p>x</p></td><td>y</td></tr></TABLE>tail<br>end<pre>code</pre><p"
+    )
+    got = html_elements(rows("page_id int, html string", (1, html), (2, None), (3, ""))).orderBy("position").collect()
+    assert [(r.type, r.level, r.text) for r in got] == [
+        ("paragraph", None, "loose text"), ("heading", 1, "Big"), ("paragraph", None, "one"), ("paragraph", None, "two"),
+        ("paragraph", None, "plain"), ("paragraph", None, "a & b &lt; é😀&#xD800; &unknown; 1 < 2"), ("paragraph", None, "item"),
+        ("paragraph", None, "other"), ("table", None, "x y"), ("paragraph", None, "tail end"), ("paragraph", None, "code"),
+    ]
+    assert [r.position for r in got] == list(range(len(got)))
+
+
+def test_one_fold_per_plan(spark, rows):
+    from evidence_lake.operators import chunking
+
+    plan = chunking.chunk_texts(rows("doc_id int, text string", (1, "a\nb")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("aggregate(") == 1
+
+
+def test_totals_from_lengths(rows):
+    from evidence_lake.operators import chunking
+
+    documents = rows("doc_id int, text string", (1, "a\n\nb" * 900), (2, ""), (3, None), (4, " x "))
+    of_chunks = chunking.chunk_totals(documents.selectExpr("string(doc_id) AS document_id"), chunking.chunk_texts(documents))
+    assert sorted(of_chunks.collect()) == sorted(chunking.text_chunk_totals(documents).collect())
