@@ -83,8 +83,8 @@ def run_topk_per_query(spark: SparkSession, folder: str) -> DataFrame:
     WITH {_SCORES_SQL}
     SELECT query_id, rank, chunk_id, round(score, 6) AS score, total_found FROM r WHERE rank <= 5""")
 def run_topk_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """The way for more questions than fit a task, forced by a budget of nothing."""
-    return _hits(spark, folder, query_bytes=0).withColumn("score", F.round("score", 6))
+    """More questions than fit the budget: several groups, one after the other."""
+    return _hits(spark, folder, query_bytes=1 << 17).withColumn("score", F.round("score", 6))
 
 
 def _chunk_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -217,9 +217,8 @@ def run_evidence_prompts(spark: SparkSession, folder: str) -> DataFrame:
 # --- evidence -----------------------------------------------------------------------------
 
 
-def _line_drafts(spark: SparkSession, folder: str) -> DataFrame:
+def _line_drafts(chunks: DataFrame) -> DataFrame:
     """Every chunk of a document cited as evidence from the document's first chunk."""
-    chunks = plain_chunks(spark, folder)
     return chunks.select(
         F.col("document_id").alias("claim_id"),
         F.col("index").alias("ordinal"),
@@ -230,8 +229,8 @@ def _line_drafts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _first_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    firsts = plain_chunks(spark, folder).filter("index = 0")
+def _first_chunks(chunks: DataFrame) -> DataFrame:
+    firsts = chunks.filter("index = 0")
     return firsts.select(
         F.col("document_id").alias("claim_id"), F.concat("document_id", F.lit("/0")).alias("chunk_id"),
         "document_id", "page_number", "text",
@@ -256,15 +255,19 @@ _GROUND_SQL = f"""
 
 
 def _line_evidence(spark: SparkSession, folder: str) -> DataFrame:
-    return evidence.ground(_line_drafts(spark, folder), _first_chunks(spark, folder))
+    chunks = write_out(plain_chunks(spark, folder), "chunks")
+    return evidence.ground(_line_drafts(chunks), _first_chunks(chunks))
 
 
 @query("grounding", f"""
     WITH RECURSIVE {_GROUND_SQL} SELECT claim_id, ordinal, grounded FROM gr""")
 def run_grounding(spark: SparkSession, folder: str) -> DataFrame:
-    firsts = _first_chunks(spark, folder).select("claim_id", F.col("text").alias("source"))
-    pairs = _line_drafts(spark, folder).join(firsts, "claim_id")
-    return pairs.select("claim_id", "ordinal", evidence.is_grounded(F.col("text"), F.col("source")).alias("grounded"))
+    chunks = write_out(plain_chunks(spark, folder), "chunks")
+    source = F.col("text")
+    firsts = _first_chunks(chunks).select("claim_id", source.alias("source"), evidence.source_words(source).alias("words"))
+    pairs = _line_drafts(chunks).join(firsts, "claim_id")
+    grounded = evidence.is_grounded(F.col("text"), F.col("source"), F.col("words"))
+    return pairs.select("claim_id", "ordinal", grounded.alias("grounded"))
 
 
 @query("grounded_evidence", f"""

@@ -116,18 +116,47 @@ def test_every_chunk_gets_one_result(rows):
     texts = ["a", "bb", "poison", "c", "short", "d", "eee"]
     data = [(f"{d}-{i}", d, i, t) for d in ("x", "y", None) for i, t in enumerate(texts)]
     chunks = rows("chunk_id string, document_id string, index int, text string", *data).repartition(5)
-    got = {r.chunk_id: r for r in embed_chunks(chunks, Lengths(), batch_size=2).collect()}
+    got = {r.chunk_id: r for r in embed_chunks(chunks, Lengths(), batch_size=2, buckets=1).collect()}
     assert len(got) == len(data)
-    for doc in ("x", "y", "None"):
-        assert (got[f"{doc}-0"].embedding, got[f"{doc}-0"].model, got[f"{doc}-0"].dimension, got[f"{doc}-0"].success) == ([1.0, 1.0], "lengths", 2, True)
-        assert not got[f"{doc}-2"].success and not got[f"{doc}-3"].success and got[f"{doc}-3"].error == "refused"
-        assert got[f"{doc}-5"].error == "Provider returned 1 vectors for 2 chunks" and got[f"{doc}-5"].embedding is None
-        assert got[f"{doc}-6"].embedding == [3.0, 3.0] and got[f"{doc}-6"].embedded_at is not None and got[f"{doc}-2"].embedded_at is None
+    # one group in order of documents, NULL first: calls of two, across documents
+    order = [f"{d}-{i}" for d in (None, "x", "y") for i in range(7)]
+    for k in range(0, len(order), 2):
+        call = [got[c] for c in order[k : k + 2]]
+        said = [texts[int(c[-1])] for c in order[k : k + 2]]
+        if "poison" in said:
+            assert all(not r.success and r.error == "refused" and r.embedded_at is None for r in call)
+        elif "short" in said:
+            assert {r.error for r in call} == {"Provider returned 1 vectors for 2 chunks"} and not any(r.embedding for r in call)
+        else:
+            assert [r.embedding for r in call] == [[float(len(t))] * 2 for t in said]
+            assert all((r.model, r.dimension, r.success, r.error) == ("lengths", 2, True, None) and r.embedded_at for r in call)
+
+
+def test_calls_are_full(rows, tmp_path):
+    log = str(tmp_path / "calls")
+
+    class Counting(EmbeddingProvider):
+        model, dimension = "counting", 1
+
+        def embed_batch(self, texts):
+            with open(log, "a") as out:
+                out.write(f"{len(texts)}\n")
+            return [[1.0] for _ in texts]
+
+    data = [(f"{d}-{i}", f"d{d}", i, "t") for d in range(200) for i in range(3)]
+    chunks = rows("chunk_id string, document_id string, index int, text string", *data)
+    assert embed_chunks(chunks, Counting(), buckets=4).filter("success").count() == 600
+    with open(log) as lines:
+        calls = [int(x) for x in lines]
+    assert sum(calls) == 600 and len(calls) <= 600 // 100 + 4 and max(calls) == 100
 
 
 def test_query_embedding(rows):
     got = embed_column(rows("query_id int, question string", (1, "abc")), "question", lambda texts: [[len(t)] for t in texts])
     assert got.first().embedding == [3.0]
+    many = rows("n int, question string", *[(k, "x" * k) for k in range(25)]).coalesce(1)
+    sized = embed_column(many, "question", lambda texts: [[float(len(texts))] for _ in texts], batch_size=10)
+    assert sorted(r.embedding[0] for r in sized.collect()) == [5.0] * 5 + [10.0] * 20
 
 
 def test_fetch_and_store_checks(rows, spark, tmp_path):
