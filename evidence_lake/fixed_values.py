@@ -52,6 +52,9 @@ HIGH_SIMILARITY, MEDIUM_SIMILARITY = 0.85, 0.70
 HIGH_SIMILARITY_BONUS, MEDIUM_SIMILARITY_BONUS = 0.2, 0.1
 COVERAGE_MIN, COVERAGE_BONUS = 2, 0.1
 HIGH_LEVEL, MEDIUM_LEVEL = 0.75, 0.45
+# values of ``error`` columns
+VECTOR_COUNT_ERROR = "Provider returned {got} vectors for {wanted} chunks"
+NO_OUTPUT_ERROR = "Model returned no parsed structured output"
 NO_EVIDENCE_REASON = "No evidence text available; the claim cannot be validated as supported."
 LOW_REASON = (
     "LOW confidence: this claim is not confirmed by the available "

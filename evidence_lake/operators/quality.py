@@ -17,8 +17,10 @@ Rules = Mapping[str, Column]
 
 
 def strip_strings(rows: DataFrame) -> DataFrame:
-    """All string columns stripped, as both document and research payloads are on entry."""
-    return rows.withColumns({n: T.strip(F.col(n)) for n, t in rows.dtypes if t == "string"})
+    """All strings stripped, also those in arrays, as document and research payloads are on entry."""
+    plain = {n: T.strip(F.col(n)) for n, t in rows.dtypes if t == "string"}
+    listed = {n: F.transform(n, T.strip) for n, t in rows.dtypes if t == "array<string>"}
+    return rows.withColumns(plain | listed) if plain or listed else rows
 
 
 def _lengths(limits: Mapping[str, int], required: tuple[str, ...], columns: list[str]) -> dict[str, Column]:
@@ -49,6 +51,14 @@ def research_rules(columns: list[str]) -> dict[str, Column]:
     return rules
 
 
+def change_rules(rules: Rules, present: str = "present") -> dict[str, Column]:
+    """The rules as far as they concern fields that a change names in ``present``.
+
+    A rule is about the field its name begins with.
+    """
+    return {name: F.array_contains(present, name.rsplit("_", 2 if "_too_" in name else 1)[0]) & broken for name, broken in rules.items()}
+
+
 def violations(rules: Rules) -> Column:
     """Names of the broken rules, in rule order."""
     return F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()]))

@@ -71,13 +71,20 @@ def to_documents(works: DataFrame, researches: DataFrame, created_at: Column | N
     return quality.strip_strings(documents), works.join(parents, "research_id", "left_anti")
 
 
-def patch(rows: DataFrame, changes: DataFrame, id_col: str, updated: str | None = "updated_at", at: Column | None = None) -> DataFrame:
+def patch(
+    rows: DataFrame, changes: DataFrame, id_col: str, updated: str | None = "updated_at", at: Column | None = None,
+    rules: quality.Rules | None = None,
+) -> DataFrame:
     """Next snapshot after partial changes.
 
     ``changes(id, present array<string>, seq, <fields>...)``: only the fields named in
     ``present`` change, also to NULL; later changes (by ``seq``) of a row win field by
-    field; an empty ``present`` changes nothing, not even ``updated``.
+    field; an empty ``present`` changes nothing, not even ``updated``.  With ``rules`` (see
+    ``quality.document_rules``) a change of a field that breaks one fails the query; changes that
+    should be set aside instead go through ``quality.quarantine(changes, quality.change_rules(rules))``.
     """
+    if rules:
+        changes = quality.enforce(changes, quality.change_rules(rules))
     fields = [c for c in changes.columns if c in rows.columns and c not in (id_col, updated)]
     has = lambda f: F.array_contains("present", f)
     # a struct, so that a change to NULL is told from no change
@@ -96,9 +103,10 @@ def patch(rows: DataFrame, changes: DataFrame, id_col: str, updated: str | None
 
 
 def set_status(documents: DataFrame, changes: DataFrame, id_col: str = "id", at: Column | None = None, status: str = "status", updated: str | None = "updated_at") -> DataFrame:
-    """changes(id, status, seq): any status may follow any other."""
+    """changes(id, status, seq): any known status may follow any other; an unknown one fails the query."""
     named = changes.withColumn("present", F.array(F.lit(status)))
-    return patch(documents, named, id_col, updated, at)
+    rules = {f"{status}_unknown": ~F.coalesce(F.col(status).isin(*V.DOCUMENT_STATUSES), F.lit(False))}
+    return patch(documents, named, id_col, updated, at, rules)
 
 
 def cascade_delete(

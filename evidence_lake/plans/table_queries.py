@@ -87,6 +87,39 @@ def run_patch(spark: SparkSession, folder: str) -> DataFrame:
     return after.select("o_orderkey", "o_orderstatus", "o_orderpriority", (F.col("updated_at") > before).alias("touched"))
 
 
+@query("changed_documents", """
+    WITH c AS (
+      SELECT doc_id, CASE WHEN lang = 'de' THEN NULL WHEN lang = 'fr' THEN '' ELSE text END AS title,
+        CASE WHEN lang = 'es' THEN 'archived' ELSE 'processed' END AS status, lang <> 'en' OR n_chars > 2000 AS titled FROM documents),
+    v AS (
+      SELECT *, list_filter([CASE WHEN titled AND title IS NULL THEN 'title_missing' END, CASE WHEN titled AND title = '' THEN 'title_too_short' END,
+        CASE WHEN titled AND length(title) > 1000 THEN 'title_too_long' END, CASE WHEN status = 'archived' THEN 'status_unknown' END], lambda x: x IS NOT NULL) AS broken
+      FROM c)
+    SELECT doc_id, array_to_string(broken, ',') AS violations, CASE WHEN len(broken) = 0 THEN status ELSE 'pending' END AS status,
+      md5(CASE WHEN len(broken) = 0 AND titled THEN title ELSE 'first' END) AS title_digest
+    FROM v""")
+def run_changed(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole texts as new titles: changes that break a field rule are set aside, the others made."""
+    documents = table(spark, folder, "documents")
+    title = F.when(F.col("lang") == "fr", "").when(F.col("lang") != "de", F.col("text"))
+    titled = (F.col("lang") != "en") | (F.col("n_chars") > 2000)
+    changes = documents.select(
+        "doc_id",
+        F.when(titled, F.array(F.lit("title"), F.lit("status"))).otherwise(F.array(F.lit("status"))).alias("present"),
+        F.lit(1).alias("seq"),
+        title.alias("title"),
+        F.when(F.col("lang") == "es", "archived").otherwise("processed").alias("status"),
+    )
+    rules = quality.document_rules(["title", "status"])
+    good, bad = quality.quarantine(changes, quality.change_rules(rules))
+    before = documents.select("doc_id", F.lit("first").alias("title"), F.lit("pending").alias("status"))
+    after = tables.patch(before, good, "doc_id", None, rules=rules)
+    broken = bad.select("doc_id", F.array_join("violations", ",").alias("broken"))
+    return after.join(broken, "doc_id", "left").select(
+        "doc_id", F.coalesce("broken", F.lit("")).alias("violations"), "status", F.md5("title").alias("title_digest")
+    )
+
+
 @query("document_statuses", """
     SELECT doc_id, CASE WHEN quality = 1 THEN 'processed' WHEN quality = 0 THEN 'failed' ELSE 'pending' END AS status
     FROM documents LEFT JOIN labels USING (doc_id)""")

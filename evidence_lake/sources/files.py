@@ -12,10 +12,18 @@ from evidence_lake.functions import text as T
 
 
 def read_files(spark: SparkSession, path: str, max_bytes: int = V.MAX_FILE_BYTES) -> DataFrame:
-    """Landed files as (path, content, size, modified); the size filter is pushed to the
-    listing, so oversized files are never opened."""
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= max_bytes)
-    return files.select("path", "content", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    """Landed files as (path, content, size, modified, problem).
+
+    Files over ``max_bytes`` come with NULL content and ``too_large``; the size is known from the listing,
+    so they are never opened.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    columns = ["path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")]
+    good = files.filter(F.col("length") <= max_bytes).select(*columns, "content", F.lit(None).cast("string").alias("problem"))
+    bad = files.filter(F.col("length") > max_bytes).select(
+        *columns, F.lit(None).cast("binary").alias("content"), F.lit("too_large").alias("problem")
+    )
+    return good.unionByName(bad).select("path", "content", "size", "modified", "problem")
 
 
 def content_type_of(header: Column) -> Column:

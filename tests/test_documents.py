@@ -177,7 +177,7 @@ def test_fetch_and_store_checks(rows, spark, tmp_path):
     assert same.y and not same.n
     (tmp_path / "f.bin").write_bytes(b"123")
     (tmp_path / "g.bin").write_bytes(b"1234")
-    assert [r.size for r in files.read_files(spark, str(tmp_path), max_bytes=3).collect()] == [3]
+    assert sorted((r.size, r.problem, r.content is None) for r in files.read_files(spark, str(tmp_path), max_bytes=3).collect()) == [(3, None, False), (4, "too_large", True)]
 
 
 def test_html_keeps_all_shown_text(rows):

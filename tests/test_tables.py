@@ -87,3 +87,29 @@ def test_references_and_keys(rows):
     assert [tuple(r) for r in quality.repeated_keys(child, "p").collect()] == [(5, 2)]
     known = rows("s string", ("openalex",), ("x",)).select(quality.is_known_source(F.col("s")).alias("k")).collect()
     assert [r.k for r in known] == [True, False]
+
+
+def test_changes_keep_to_the_field_rules(rows):
+    documents = rows("id int, source string, title string, status string", (1, "s", "t", "pending"))
+    schema = "id int, present array<string>, seq int, source string, title string, status string"
+    changes = rows(
+        schema,
+        (1, ["title"], 1, None, "new", None), (1, ["title"], 2, None, "", None), (1, ["title"], 3, None, None, None),
+        (1, ["status"], 4, None, None, "odd"), (1, ["source"], 5, "x" * 51, None, None), (1, [], 6, None, None, None),
+    )
+    rules = quality.document_rules(documents.columns)
+    good, bad = quality.quarantine(changes, quality.change_rules(rules))
+    assert sorted(r.seq for r in good.collect()) == [1, 6]
+    assert sorted((r.seq, tuple(r.violations)) for r in bad.collect()) == [
+        (2, ("title_too_short",)), (3, ("title_missing",)), (4, ("status_unknown",)), (5, ("source_too_long",))
+    ]
+    assert tables.patch(documents, good, "id", None, rules=rules).first().title == "new"
+    with pytest.raises(Exception, match="title_too_short"):
+        tables.patch(documents, changes.filter("seq = 2"), "id", None, rules=rules).collect()
+    with pytest.raises(Exception, match="status_unknown"):
+        tables.set_status(documents, rows("id int, status string, seq int", (1, "odd", 1)), "id", updated=None).collect()
+
+
+def test_strings_in_lists_are_stripped_too(rows):
+    got = quality.strip_strings(rows("a string, b array<string>", (" x ", [" y", None, "z\t"]))).first()
+    assert (got.a, got.b) == ("x", ["y", None, "z"])

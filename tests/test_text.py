@@ -4,7 +4,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from evidence_lake.functions import ids, maps, vectors
+from evidence_lake.functions import ids, maps
 from evidence_lake.functions import text as T
 
 
@@ -86,10 +86,3 @@ def test_ids_are_version_5_uuids(rows):
 def test_map_merge_prefers_the_first(rows):
     df = rows("a map<string,string>, b map<string,string>", ({"x": "1"}, {"x": "2", "y": "3"}))
     assert df.select(maps.merge_maps(F.col("a"), F.col("b")).alias("m")).first().m == {"x": "1", "y": "3"}
-
-
-def test_cosine(rows):
-    pairs = [([1.0, 0.0], [1.0, 0.0], 1.0), ([1.0, 0.0], [0.0, 1.0], 0.0), ([1.0, 1.0], [1.0, 0.0], 0.7071), ([0.0, 0.0], [1.0, 0.0], 0.0), ([], [], 0.0), ([1.0], [1.0, 0.0], 0.0)]
-    df = rows("n int, a array<double>, b array<double>", *[(i, a, b) for i, (a, b, _) in enumerate(pairs)])
-    got = [r.c for r in df.select("n", vectors.cosine(F.col("a"), F.col("b")).alias("c")).orderBy("n").collect()]
-    assert got == pytest.approx([c for *_, c in pairs], abs=1e-4)
