@@ -257,8 +257,8 @@ class LetterCounts(EmbeddingProvider):
         return [[float(len(t)), float(t.count("e")), float(t.count("n")), float(t.count("\n"))] for t in texts]
 
 
-@query("embed_chunks", f"""
-    WITH RECURSIVE {PLAIN_CHUNKS_SQL},
+EMBEDDED_SQL = f"""
+    {PLAIN_CHUNKS_SQL},
     keyed AS (SELECT *, {_UUID_SQL} AS chunk_id,
             CAST('0x' || substr(md5(document_id), 1, 8) AS BIGINT) % 16 AS bucket FROM chunks),
     placed AS (SELECT *, (row_number() OVER (PARTITION BY bucket ORDER BY document_id, index) - 1) // 5 AS batch FROM keyed),
@@ -266,6 +266,11 @@ class LetterCounts(EmbeddingProvider):
       SELECT *, bool_or(contains(text, 'thanedble')) OVER call AS refused, bool_or(contains(text, 'ingonen')) OVER call AS short,
         count(*) OVER call AS size FROM placed WINDOW call AS (PARTITION BY bucket, batch)),
     judged AS (SELECT *, refused OR (short AND size > 1) AS failed FROM calls)
+"""
+
+
+@query("embed_chunks", f"""
+    WITH RECURSIVE {EMBEDDED_SQL}
     SELECT chunk_id, NOT failed AS success,
       CASE WHEN refused THEN 'batch refused' WHEN failed THEN 'Provider returned 1 vectors for ' || size || ' chunks' END AS error,
       CASE WHEN NOT failed THEN 'letter-counts' END AS model, CASE WHEN NOT failed THEN 4 END AS dimension,

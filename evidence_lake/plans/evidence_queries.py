@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from evidence_lake import fixed_values as V
 from evidence_lake.operators import claims as C
 from evidence_lake.operators import confidence, evidence, prompts, provenance, retrieval, validation
-from evidence_lake.operators.model_calls import ModelProvider
+from evidence_lake.operators.model_calls import ModelError, ModelProvider
 from evidence_lake.plans import evidence_flow
-from evidence_lake.plans.document_queries import PLAIN_CHUNKS_SQL, plain_chunks
+from evidence_lake.plans.document_queries import EMBEDDED_SQL, PLAIN_CHUNKS_SQL, LetterCounts, plain_chunks
 from evidence_lake.plans.registry import query, sql_collapse, table
 from evidence_lake.session import write_out
 
@@ -513,3 +513,114 @@ def run_traced(spark: SparkSession, folder: str) -> DataFrame:
         .join(per_claim, "claim_id")
         .select("claim_id", "query_id", "claim", "final_status", "level", "score", "n_evidence", "n_complete")
     )
+
+
+_SHOWN = re.compile(r"^\[chunk_id: ([^\]]+)\] \(page [^\n]*\n(.*?)(?=\n\[chunk_id: |\Z)", re.MULTILINE | re.DOTALL)
+
+
+def _shown(prompt: str) -> list[tuple[str, str]]:
+    """(chunk id, whole text) of the chunks in a prompt."""
+    return _SHOWN.findall(prompt.split("Source chunks:\n", 1)[1])
+
+
+class LastLines(ModelProvider):
+    """A stand-in claim writer: one claim per chunk, its last line; some cite only a chunk it was not shown."""
+
+    model = "last-lines"
+
+    def complete(self, prompt: str) -> str:
+        claims = [
+            {"text": text.split("\n")[-1], "chunk_ids": ["elsewhere"] if len(text) % 3 == 0 else [i, "elsewhere", i]}
+            for i, text in _shown(prompt)
+        ]
+        return json.dumps({"claims": claims})
+
+
+class WholeChunks(ModelProvider):
+    """A stand-in evidence finder: quotes the whole first chunk, rated by its length, unless the length is
+    a multiple of five, and makes something up besides."""
+
+    model = "whole-chunks"
+
+    def complete(self, prompt: str) -> str:
+        i, text = _shown(prompt)[0]
+        status = ("inconclusive", "unsupported", "supported", "supported")[len(text) % 4]
+        quoted = {"text": text.replace("\n\n", "  "), "chunk_id": i, "status": status}
+        made_up = {"text": "zzz yyy xxx", "chunk_id": i, "status": "supported"}
+        return json.dumps({"evidence": [made_up] if len(text) % 5 == 0 else [quoted, made_up]})
+
+
+class StrictJudge(LengthJudge):
+    """Rates by length like its parent, but refuses some passages and answers others in a wrong form."""
+
+    model = "strict-judge"
+
+    def complete(self, prompt: str) -> str:
+        reply = super().complete(prompt)
+        length = int(json.loads(reply)["reasoning"].split()[0])
+        if length % 7 == 0:
+            raise ModelError("the model refused")
+        return reply[:-1] if length % 11 == 0 else reply.replace('"status"', '"verdict"') if length % 13 == 0 else reply
+
+
+@query("document_trace", f"""
+    WITH RECURSIVE {EMBEDDED_SQL},
+    vec AS (
+      SELECT h, document_id, index, text, CAST(document_id AS BIGINT) * 67108864 + index AS idx,
+        [length(text), length(text) - length(replace(text, 'e', '')), length(text) - length(replace(text, 'n', '')),
+          length(text) - length(replace(text, chr(10), ''))]::DOUBLE[] AS v FROM judged WHERE NOT failed),
+    ask AS (
+      SELECT doc_id AS query_id, [length(q), length(q) - length(replace(q, 'e', '')), length(q) - length(replace(q, 'n', '')), 0]::DOUBLE[] AS v
+      FROM (SELECT doc_id, string_split(text, chr(10))[1] AS q FROM documents) WHERE NOT contains(q, 'thanedble') AND NOT contains(q, 'ingonen') AND q <> ''),
+    near AS (SELECT query_id, list_cosine_similarity(ask.v, vec.v) AS score, vec.* FROM ask JOIN vec ON list_cosine_similarity(ask.v, vec.v) >= 0.9),
+    top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, idx) AS rank FROM near QUALIFY rank <= 5),
+    claimed AS (
+      SELECT *, string_split(text, chr(10))[-1] AS claim, length(text) AS size,
+        sha1(from_hex('6f2f6e0a9d3f4b8a9c0a9a2e5b7d5a1e') || encode(query_id || ':' || (rank - 1) || ':' || string_split(text, chr(10))[-1])) AS ch
+      FROM top WHERE length(text) % 3 <> 0),
+    rated AS (
+      SELECT *, size % 5 <> 0 AS quoted, CASE WHEN size % 5 = 0 THEN 'unsupported' ELSE ['inconclusive', 'unsupported', 'supported', 'supported'][size % 4 + 1] END AS status
+      FROM claimed),
+    raws AS (
+      SELECT *, CASE status WHEN 'supported' THEN 0.6::DOUBLE WHEN 'inconclusive' THEN 0.5::DOUBLE ELSE 0::DOUBLE END
+        + CASE WHEN score > 0.85 THEN 0.2::DOUBLE WHEN score > 0.7 THEN 0.1::DOUBLE ELSE 0::DOUBLE END AS raw,
+        quoted AND (size % 7 = 0 OR size % 11 = 0 OR size % 13 = 0) AS refused FROM rated)
+    SELECT {_UUID_OF.format(h="ch")} AS claim_id, query_id, md5(claim) AS claim_digest, status AS final_status,
+      CASE WHEN raw >= 0.75 THEN 'HIGH' WHEN raw >= 0.45 THEN 'MEDIUM' ELSE 'LOW' END AS level, round(raw, 4) AS score,
+      CAST(CASE WHEN quoted THEN 2 ELSE 1 END AS BIGINT) AS n_evidence,
+      CAST(CASE WHEN quoted AND lang <> 'fr' THEN 1 ELSE 0 END AS BIGINT) AS n_complete,
+      CAST(CASE WHEN quoted AND NOT refused AND size > 700 THEN 1 ELSE 0 END AS BIGINT) AS n_confirmed,
+      CAST(CASE WHEN refused THEN 1 ELSE 0 END AS BIGINT) AS n_failed
+    FROM raws JOIN documents ON doc_id = CAST(document_id AS BIGINT)""")
+def run_document_trace(spark: SparkSession, folder: str) -> DataFrame:
+    """From whole texts: chunks, embeddings (some batches fail), index, retrieval, claims, evidence,
+    a second judgement, scores and chains.  Questions are the first lines of all documents."""
+    texts = table(spark, folder, "documents")
+    documents = texts.select(
+        F.col("doc_id").cast("string").alias("document_id"),
+        F.col("doc_id").alias("seq"),
+        F.concat(F.lit("title of "), "doc_id").alias("title"),
+        F.lit(None).cast("string").alias("url"),
+        F.when(F.col("lang") != "fr", F.concat(F.lit("10.1000/"), "doc_id")).alias("doi"),
+        "text",
+    )
+    line = F.split("text", "\n")[0]
+    refused = F.contains(line, F.lit("thanedble")) | F.contains(line, F.lit("ingonen"))
+    questions = texts.where(~refused & (line != "")).select(F.col("doc_id").alias("query_id"), line.alias("question"))
+    result = evidence_flow.trace_texts(
+        documents, questions, LetterCounts(), LastLines(), WholeChunks(), StrictJudge(), min_score=0.9, batch_size=5, buckets=16
+    )
+    per_claim = result.chains.groupBy("claim_id").agg(F.count("*").alias("n_evidence"), F.count_if("is_complete").alias("n_complete"))
+    judged = result.validations.groupBy("claim_id").agg(
+        F.count_if(F.col("status") == "supported").alias("n_confirmed"), F.count("error").alias("n_failed")
+    )
+    return (
+        result.claims.select("claim_id", "query_id", F.md5("text").alias("claim_digest"))
+        .join(result.statuses, "claim_id")
+        .join(result.confidence, "claim_id")
+        .join(per_claim, "claim_id")
+        .join(judged, "claim_id")
+        .select(
+            "claim_id", "query_id", "claim_digest", "final_status", "level", "score", "n_evidence", "n_complete", "n_confirmed", "n_failed"
+        )
+    )
