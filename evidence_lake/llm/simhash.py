@@ -77,6 +77,9 @@ class Ring:
         ]
         self.budgets = [n * bits // self.m for n in range(1, self.m + 1)]
         self.open = [(i, lows[(i + 1) % self.m] + p) for i in range(self.m) for p in range(widths[(i + 1) % self.m])]
+        self.second = np.array([segments[(i + 1) % self.m] for i, _ in self.open], dtype=np.uint64)
+        self.bit = np.array([1 << p for _, p in self.open], dtype=np.uint64)
+        self.lowest = np.array([p == lows[(i + 1) % self.m] for i, p in self.open])
 
     def keys(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each fingerprint 64 (chain number, bits): the first two segments without one bit of the second."""
@@ -85,8 +88,12 @@ class Ring:
         return number, (prints[:, None] & masks[None, :]).ravel()
 
     def linked(self, chain: np.ndarray, differences: np.ndarray) -> np.ndarray:
-        """Which differences stay within every budget of their chain, and so within ``bits``."""
-        left = np.arange(len(differences))
+        """Which differences stay within every budget of their chain, and so within ``bits``.
+
+        Fingerprints with equal second segments meet once for each bit of it; only the first time counts.
+        """
+        second = differences & self.second[chain]
+        left = np.flatnonzero((second == self.bit[chain]) | ((second == 0) & self.lowest[chain]))
         starts = np.array([i for i, _ in self.open])[chain]
         for masks, budget in zip(self.parts[2:], self.budgets[2:]):
             left = left[np.bitwise_count(differences[left] & masks[starts[left]]) <= budget]
