@@ -55,6 +55,22 @@ def run_file_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("page_id", "size", "problem", "sha256", intact.alias("intact"))
 
 
+@query("read_files", """
+    WITH f AS (SELECT page_id // 10 AS file, string_agg(html || chr(10), '' ORDER BY page_id) AS content FROM pages GROUP BY 1),
+    s AS (SELECT *, octet_length(encode(content)) AS size FROM f)
+    SELECT file, CAST(size AS BIGINT) AS size, CASE WHEN size > 30000 THEN 'too_large' END AS problem,
+      CASE WHEN size <= 30000 THEN sha256(content) END AS sha256 FROM s""")
+def run_read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten pages to a landed file; files over the limit come as rows without content."""
+    path = new_table_path(spark, "landed-pages")
+    pages = table(spark, folder, "pages").select(F.floor(F.col("page_id") / 10).alias("file"), "page_id", "html")
+    ordered = pages.repartition("file").sortWithinPartitions("file", "page_id")
+    ordered.select("file", "html").write.partitionBy("file").text(path)
+    found = files.read_files(spark, f"{path}/*/*.txt", max_bytes=30000)
+    number = F.regexp_extract("path", "file=([0-9]+)", 1).cast("bigint")
+    return found.select(number.alias("file"), "size", "problem", F.sha2("content", 256).alias("sha256"))
+
+
 # --- structure -------------------------------------------------------------------------
 
 
@@ -140,33 +156,52 @@ def sized_lines(spark: SparkSession, folder: str) -> DataFrame:
     return lines.withColumn("font_size", size).withColumn("text", wide)
 
 
-_ELEMENTS_SQL = f"""
-    l0 AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, unnest(s) AS line, generate_subscripts(s, 1) AS line_no FROM (
+def _elements_sql(document: str = "CAST(doc_id AS VARCHAR)", page: str = "1") -> str:
+    return f"""
+    l0 AS (SELECT {document} AS document_id, CAST({page} AS INTEGER) AS page_number, unnest(s) AS line, generate_subscripts(s, 1) AS line_no FROM (
              SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
-    l1 AS (SELECT document_id, line_no, {sql_strip("line")} AS t FROM l0 WHERE {sql_strip("line")} <> ''),
-    l2 AS (SELECT document_id, line_no, replace(t, ', ', '    ') AS text,
+    l1 AS (SELECT document_id, page_number, line_no, {sql_strip("line")} AS t FROM l0 WHERE {sql_strip("line")} <> ''),
+    l2 AS (SELECT document_id, page_number, line_no, replace(t, ', ', '    ') AS text,
              CASE WHEN length(t) < 40 THEN 18.0 WHEN length(t) < 60 THEN 15.0 ELSE 12.0 END AS size FROM l1),
-    l3 AS (SELECT *, size >= median(size) OVER (PARTITION BY document_id) * 1.15 AS big FROM l2),
-    l4 AS (SELECT *, dense_rank() OVER (PARTITION BY document_id ORDER BY CASE WHEN big THEN size END DESC NULLS LAST) AS rk,
+    l3 AS (SELECT *, size >= median(size) OVER (PARTITION BY document_id, page_number) * 1.15 AS big FROM l2),
+    l4 AS (SELECT *, dense_rank() OVER (PARTITION BY document_id, page_number ORDER BY CASE WHEN big THEN size END DESC NULLS LAST) AS rk,
              CASE WHEN big AND length(text) <= 120 THEN 'heading'
                   WHEN len(regexp_split_to_array(text, ' {{3,}}')) >= 3 THEN 'table' ELSE 'paragraph' END AS type FROM l3),
-    l5 AS (SELECT *, CASE WHEN type = 'heading' OR coalesce(lag(type) OVER (PARTITION BY document_id ORDER BY line_no) <> type, true)
+    l5 AS (SELECT *, CASE WHEN type = 'heading' OR coalesce(lag(type) OVER (PARTITION BY document_id, page_number ORDER BY line_no) <> type, true)
              THEN 1 ELSE 0 END AS opens FROM l4),
-    l6 AS (SELECT *, sum(opens) OVER (PARTITION BY document_id ORDER BY line_no) AS run FROM l5),
+    l6 AS (SELECT *, sum(opens) OVER (PARTITION BY document_id, page_number ORDER BY line_no) AS run FROM l5),
     elements AS (
-      SELECT document_id, 1 AS page_number, CAST(run - 1 AS INTEGER) AS position, type,
+      SELECT document_id, page_number, CAST(row_number() OVER (PARTITION BY document_id ORDER BY page_number, run) - 1 AS INTEGER) AS position, type,
         CASE WHEN type = 'heading' THEN CAST(min(rk) AS INTEGER) END AS level,
         CASE WHEN type = 'table' THEN string_agg(text, chr(10) ORDER BY line_no)
           ELSE string_agg(text, ' ' ORDER BY line_no) END AS text
-      FROM l6 GROUP BY document_id, run, type)
+      FROM l6 GROUP BY document_id, page_number, run, type)
 """
 
 
-@query("text_structure", f"WITH {_ELEMENTS_SQL} SELECT * FROM elements")
+_ELEMENTS_SQL = _elements_sql()
+# four documents in a row as the pages of one
+_PAGES_SQL = _elements_sql("CAST(doc_id // 4 AS VARCHAR)", "doc_id % 4 + 1")
+
+
+@query("text_structure", f"WITH {_ELEMENTS_SQL} SELECT document_id, page_number, position, type, level, text FROM elements")
 def run_text_structure(spark: SparkSession, folder: str) -> DataFrame:
     return structure.detect_elements(sized_lines(spark, folder))
 
 
+def paged_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The sized lines with four documents in a row as the pages of one."""
+    number = F.col("document_id").cast("bigint")
+    return sized_lines(spark, folder).withColumns(
+        {"document_id": F.floor(number / 4).cast("string"), "page_number": (number % 4 + 1).cast("int")}
+    )
+
+
+@query("page_structure", f"WITH {_PAGES_SQL} SELECT document_id, page_number, position, type, level, text FROM elements")
+def run_page_structure(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.detect_elements(paged_lines(spark, folder))
+
+
 # --- chunks ----------------------------------------------------------------------------
 
 _UUID_SQL = """
@@ -224,6 +259,34 @@ def run_chunk_elements(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.chunk(structure.detect_elements(sized_lines(spark, folder)))
 
 
+@query("page_chunks", f"""
+    WITH RECURSIVE {_PAGES_SQL},
+    e AS (SELECT document_id, page_number, type, {sql_strip("text")} AS text, position + 1 AS n FROM elements),
+    s AS (SELECT *, last_value(CASE WHEN type = 'heading' THEN text END IGNORE NULLS)
+            OVER (PARTITION BY document_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS section FROM e),
+    {_PACK_SQL}
+    SELECT {_UUID_SQL} AS chunk_id, document_id, text, page_number, section, index, char_count FROM chunks""")
+def run_page_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks and sections that run on over the borders of pages."""
+    return chunking.chunk(structure.detect_elements(paged_lines(spark, folder)))
+
+
+def one_per_element(elements: DataFrame, _: int) -> DataFrame:
+    """Another chunking strategy: every element is a chunk."""
+    return elements.select(
+        "document_id", F.col("position").alias("index"), "text", "page_number", F.lit(None).cast("string").alias("section")
+    )
+
+
+@query("element_chunks", f"""
+    WITH {_PAGES_SQL},
+    k AS (SELECT *, sha1({_NAMESPACE_SQL} || encode(document_id || ':' || position || ':' || text)) AS h FROM elements)
+    SELECT {_UUID_SQL} AS chunk_id, document_id, text, page_number, CAST(NULL AS VARCHAR) AS section, position AS index,
+      CAST(length(text) AS INTEGER) AS char_count FROM k""")
+def run_element_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.chunk(structure.detect_elements(paged_lines(spark, folder)), strategy=one_per_element)
+
+
 @query("chunk_totals", f"""
     WITH RECURSIVE {PLAIN_CHUNKS_SQL}
     SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(coalesce(n, 0) AS BIGINT) AS total_chunks, 'structure_aware' AS strategy

@@ -297,6 +297,15 @@ def run_referenced(spark: SparkSession, folder: str) -> DataFrame:
     return evidence.referenced_chunks(claims, retrieved).select("claim_id", "query_id", "chunk_id", "rank")
 
 
+@query("validation_prompts", f"""
+    SELECT doc_id AS evidence_id, md5({_sql_text(V.VALIDATION_PROMPT, claim="source || ' says'", evidence="text")}) AS prompt_digest FROM documents""")
+def run_validation_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    claims = documents.select(F.col("doc_id").alias("claim_id"), F.concat("source", F.lit(" says")).alias("text"))
+    found = documents.select(F.col("doc_id").alias("evidence_id"), F.col("doc_id").alias("claim_id"), "text")
+    return prompts.validation_prompts(claims, found).select("evidence_id", F.md5("prompt").alias("prompt_digest"))
+
+
 class LengthJudge(ModelProvider):
     """A stand-in judge: rates by the length of the passage it reads in the prompt."""
 
@@ -523,6 +532,15 @@ def _shown(prompt: str) -> list[tuple[str, str]]:
     return _SHOWN.findall(prompt.split("Source chunks:\n", 1)[1])
 
 
+class SpreadCounts(LetterCounts):
+    """Letter counts beside a constant, so that texts of other lengths do not point the same way."""
+
+    model, dimension = "spread-counts", 5
+
+    def embed_batch(self, texts):
+        return [[*v, 10.0] for v in super().embed_batch(texts)]
+
+
 class LastLines(ModelProvider):
     """A stand-in claim writer: one claim per chunk, its last line; some cite only a chunk it was not shown."""
 
@@ -568,9 +586,9 @@ class StrictJudge(LengthJudge):
     vec AS (
       SELECT h, document_id, index, text, CAST(document_id AS BIGINT) * 67108864 + index AS idx,
         [length(text), length(text) - length(replace(text, 'e', '')), length(text) - length(replace(text, 'n', '')),
-          length(text) - length(replace(text, chr(10), ''))]::DOUBLE[] AS v FROM judged WHERE NOT failed),
+          length(text) - length(replace(text, chr(10), '')), 10]::DOUBLE[] AS v FROM judged WHERE NOT failed),
     ask AS (
-      SELECT doc_id AS query_id, [length(q), length(q) - length(replace(q, 'e', '')), length(q) - length(replace(q, 'n', '')), 0]::DOUBLE[] AS v
+      SELECT doc_id AS query_id, [length(q), length(q) - length(replace(q, 'e', '')), length(q) - length(replace(q, 'n', '')), 0, 10]::DOUBLE[] AS v
       FROM (SELECT doc_id, string_split(text, chr(10))[1] AS q FROM documents) WHERE NOT contains(q, 'thanedble') AND NOT contains(q, 'ingonen') AND q <> ''),
     near AS (SELECT query_id, list_cosine_similarity(ask.v, vec.v) AS score, vec.* FROM ask JOIN vec ON list_cosine_similarity(ask.v, vec.v) >= 0.9),
     top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, idx) AS rank FROM near QUALIFY rank <= 5),
@@ -608,7 +626,7 @@ def run_document_trace(spark: SparkSession, folder: str) -> DataFrame:
     refused = F.contains(line, F.lit("thanedble")) | F.contains(line, F.lit("ingonen"))
     questions = texts.where(~refused & (line != "")).select(F.col("doc_id").alias("query_id"), line.alias("question"))
     result = evidence_flow.trace_texts(
-        documents, questions, LetterCounts(), LastLines(), WholeChunks(), StrictJudge(), min_score=0.9, batch_size=5, buckets=16
+        documents, questions, SpreadCounts(), LastLines(), WholeChunks(), StrictJudge(), min_score=0.9, batch_size=5, buckets=16
     )
     per_claim = result.chains.groupBy("claim_id").agg(F.count("*").alias("n_evidence"), F.count_if("is_complete").alias("n_complete"))
     judged = result.validations.groupBy("claim_id").agg(

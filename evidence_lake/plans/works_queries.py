@@ -295,6 +295,24 @@ def run_openalex(spark: SparkSession, folder: str) -> DataFrame:
     return _placed(W.openalex_works(openalex_payloads(spark, folder)))
 
 
+@query("abstract_collisions", f"""
+    WITH w AS (SELECT doc_id, list_filter(string_split({sql_collapse("text")}, ' '), lambda x: x <> '') AS l FROM documents),
+    p AS (SELECT doc_id, l, unnest(range(len(l))) AS i FROM w)
+    SELECT doc_id AS answer, md5(string_agg(l[i + 1] || '#' || i, ' ' ORDER BY i)) AS abstract_digest
+    FROM p WHERE i % 2 = 1 OR i = len(l) - 1 GROUP BY doc_id""")
+def run_collisions(spark: SparkSession, folder: str) -> DataFrame:
+    """Two words to a position, two positions free after each: the later word wins."""
+    words = F.array_remove(F.split(T.collapse_whitespace(F.col("text")), " "), "")
+    entry = lambda w, i: F.struct(F.concat_ws("#", w, i).alias("key"), F.array((i - i % 2) * 3).alias("value"))
+    index = F.map_from_entries(F.transform(words, entry))
+    item = F.to_json(F.struct(F.lit("https://openalex.org/W1").alias("id"), index.alias("abstract_inverted_index")))
+    answers = texts(spark, folder, "documents").select(
+        F.col("doc_id").alias("payload_id"), F.concat(F.lit('{"results":['), item, F.lit("]}")).alias("payload")
+    )
+    works = W.search(answers, "openalex", deduplicate=False).where("abstract is not null")
+    return works.select("seq.answer", F.md5("abstract").alias("abstract_digest"))
+
+
 def crossref_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """Pages as Crossref answers: one work each, lacking different fields by language."""
     host = F.regexp_extract("url", "://([^/]+)/", 1)
