@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from evidence_lake import fixed_values as V
 from evidence_lake.functions import text as T
-from evidence_lake.session import write_out
+from evidence_lake.session import discard, write_out
 
 _FOREVER = (1 << 63) - 1
 _FIELDS = ("doi", "ext", "urlk", "title", "year", "author")
@@ -231,7 +231,7 @@ def assign_records(works: DataFrame) -> DataFrame:
     holders = keys.groupBy("key").agg(F.min("ord").alias("leader"))
     guess = keys.join(holders, "key").groupBy("ord").agg(F.min("leader").alias("leader"))
     guess = own.select("ord").join(guess, "ord", "left")
-    guess = write_out(guess.select("ord", F.coalesce("leader", "ord").alias("leader")), "guess")
+    guess = before = write_out(guess.select("ord", F.coalesce("leader", "ord").alias("leader")), "guess")
     while True:
         guess = _follow(guess)
         found = _settle(keys, _record_entries(own.join(guess, "ord")), levels)
@@ -241,9 +241,11 @@ def assign_records(works: DataFrame) -> DataFrame:
             .select("ord", F.coalesce("leader", "ord").alias("leader"), "was")
         )
         updated = write_out(updated, "guess")
+        discard(before)
         settled = updated.filter(F.col("leader") != F.col("was")).isEmpty()
-        guess = updated.select("ord", "leader")
+        guess, before = updated.select("ord", "leader"), updated
         if settled:
+            discard(own, keys)
             return guess
 
 

@@ -6,6 +6,7 @@ import pytest
 from oracle import compare, connect
 
 import __spark_entry__ as entry
+from evidence_lake.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables not supplied")
@@ -16,7 +17,7 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", catalog.QUERIES)
 def test_query(spark, con, name):
     sql = entry.oracle_sql()
     assert name in sql
