@@ -27,6 +27,12 @@ def _line(n: int) -> Column:
     return F.get(F.split("text", "\n"), F.lit(n))
 
 
+def _rest() -> Column:
+    """All lines but the first."""
+    lines = F.split("text", "\n")
+    return F.array_join(F.slice(lines, 2, F.size(lines)), "\n")
+
+
 def raw_works(spark: SparkSession, folder: str) -> DataFrame:
     """Documents dressed as records with all kinds of flaws."""
     english, german = F.col("lang") == "en", F.col("lang") == "de"
@@ -36,7 +42,7 @@ def raw_works(spark: SparkSession, folder: str) -> DataFrame:
         F.when(english, "openalex").when(german, "crossref").otherwise(F.col("source")).alias("source"),
         F.concat(F.lit("  "), _line(0), F.lit("\t")).alias("title"),
         F.array("source", F.concat(F.lit(" "), "lang", F.lit(" ")), F.lit("  ")).alias("authors"),
-        _line(1).alias("abstract"),
+        _rest().alias("abstract"),
         (F.col("n_chars") + 900).cast("string").alias("publication_year"),
         F.when(english, F.concat(F.lit(" https://doi.org/10."), F.length(_line(0)) + 1000, F.lit("/"), digest))
         .when(german, F.concat(F.lit("DOI:10.12/"), digest))
@@ -69,7 +75,7 @@ def _placed(works: DataFrame) -> DataFrame:
         CASE lang WHEN 'en' THEN 'openalex' WHEN 'de' THEN 'crossref' ELSE source END AS source,
         nullif({sql_strip("l[1]")}, '') AS title,
         source || '; ' || lang AS authors,
-        nullif({sql_strip("l[2]")}, '') AS abstract,
+        nullif({sql_strip("array_to_string(l[2:], chr(10))")}, '') AS abstract,
         CASE WHEN n_chars + 900 BETWEEN 1000 AND 2100 THEN CAST(n_chars + 900 AS INTEGER) END AS publication_year,
         CASE lang WHEN 'en' THEN '10.' || (length(l[1]) + 1000) || '/' || digest WHEN 'de' THEN NULL
           ELSE '10.12345/A-' || digest END AS doi,
@@ -105,14 +111,14 @@ def run_url_keys(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "content_hash_groups",
     rf"""
-    WITH r AS (SELECT doc_id, source, n_chars, string_split(text, chr(10))[1] AS t FROM documents)
+    WITH r AS (SELECT doc_id, source, n_chars, text AS t FROM documents)
     SELECT sha256(lower({sql_collapse("t")}) || '|' || lower(source) || '|' || CAST(1900 + n_chars AS VARCHAR)) AS content_hash,
            CAST(count(*) AS BIGINT) AS n, min(doc_id) AS first_doc
     FROM r WHERE {sql_strip("t")} <> '' GROUP BY 1
     """,
 )
 def run_content_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    title = T.normalize_text(_line(0))
+    title = T.normalize_text(F.col("text"))
     hashed = table(spark, folder, "documents").select(
         "doc_id", T.content_hash(title, F.col("source"), F.col("n_chars") + 1900).alias("content_hash")
     )
@@ -152,7 +158,7 @@ def clean_works(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("lang") == "fr", "crossref").when(F.col("lang") == "en", "openalex").otherwise(F.col("source")).alias("source"),
         F.when(F.length(_line(0)) > 20, _line(0)).alias("title"),
         F.when(has_authors, F.array("lang")).otherwise(F.array().cast("array<string>")).alias("authors"),
-        second.alias("abstract"),
+        _rest().alias("abstract"),
         F.when(F.length(_line(0)) < 70, F.length(_line(0)) + 1950).alias("publication_year"),
         F.when(F.col("n_chars") > 400, F.concat(F.lit("10.1000/"), F.md5("text"))).alias("doi"),
         F.when(multi, F.concat(F.lit("https://example.org/"), F.md5(second), F.lit("/?id="), "doc_id")).alias("url"),
@@ -168,7 +174,7 @@ _CLEAN_SQL = f"""
         CASE lang WHEN 'fr' THEN 'crossref' WHEN 'en' THEN 'openalex' ELSE source END AS source,
         nullif({sql_strip("CASE WHEN length(l[1]) > 20 THEN l[1] END")}, '') AS title,
         CASE WHEN lang IN ('en', 'es') THEN lang END AS author,
-        nullif({sql_strip("l[2]")}, '') AS abstract,
+        nullif({sql_strip("array_to_string(l[2:], chr(10))")}, '') AS abstract,
         CASE WHEN length(l[1]) < 70 THEN CAST(length(l[1]) + 1950 AS INTEGER) END AS publication_year,
         CASE WHEN n_chars > 400 THEN '10.1000/' || md5(text) END AS doi,
         CASE WHEN len(l) > 1 THEN 'https://example.org/' || md5(l[2]) || '/?id=' || doc_id END AS url,
@@ -325,7 +331,7 @@ def crossref_payloads(spark: SparkSession, folder: str) -> DataFrame:
             F.when(lang != "es", F.array(heading, F.lit("other"))).alias("title"),
             F.lit("journal-article").alias("type"),
             F.length("url").alias("is-referenced-by-count"),
-            F.concat(F.lit("<jats:p>"), heading, F.lit("</jats:p>")).alias("abstract"),
+            F.concat(F.lit("<jats:p>"), "html", F.lit("</jats:p>")).alias("abstract"),
             F.array(
                 F.struct(host.alias("given"), lang.alias("family"), F.lit(None).cast("string").alias("name")),
                 F.struct(F.lit("").alias("given"), F.lit(None).cast("string").alias("family"), host.alias("name")),
@@ -351,7 +357,7 @@ def crossref_payloads(spark: SparkSession, folder: str) -> DataFrame:
     SELECT page_id AS answer, CAST(0 AS INTEGER) AS pos, 'crossref' AS source,
       CASE WHEN lang <> 'es' THEN nullif({sql_strip("heading")}, '') END AS title,
       host || CASE WHEN lang <> '' THEN ' ' || lang ELSE '' END || '; ' || host || '; ' || CASE WHEN lang <> '' THEN lang ELSE 'x' END AS authors,
-      '<jats:p>' || heading || '</jats:p>' AS abstract,
+      '<jats:p>' || html || '</jats:p>' AS abstract,
       CASE WHEN raw_year BETWEEN 1000 AND 2100 THEN CAST(raw_year AS INTEGER) END AS publication_year,
       '10.5555/p' || page_id AS doi,
       CASE WHEN lang IN ('en', 'fr') THEN url ELSE 'https://doi.org/10.5555/p' || page_id END AS url,
