@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidence_lake.llm.arrow import bounded_batches
-from evidence_lake.session import write_out
+from evidence_lake.session import discard, write_out
 
 SEED, SHINGLE, BITS = 42, 4, 4
 #: Fingerprints of one bucket that are compared in one go.
@@ -242,30 +242,58 @@ def links(prints: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFram
     return found.where("not hot").select("a", "b").distinct()
 
 
+def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the links that a task reads those that connect as much; bounded by links, not by groups."""
+    kept: list[np.ndarray] = []
+
+    def stars() -> Iterator[pa.RecordBatch]:
+        if kept:
+            links = _stars(np.concatenate(kept))
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+
+    for batch in batches:
+        kept.append(np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]))
+        if sum(map(len, kept)) > _GATHER:
+            yield from stars()
+            kept = []
+    yield from stars()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable from each node of ``edges`` (a, b).
 
-    Each round every node takes the smallest label around it and then its label's label, so labels travel
-    twice as far each time.  Rounds are written to the shared folder.
+    In each round every node points at its smallest neighbour if that is smaller, pointers are followed
+    to their ends by doubling, and edges between different ends are the next round's.  At least half of
+    the ends go each time, and the edges of what is connected vanish after their first round.  Rounds are
+    written to the shared folder.
     """
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("near"))
-    both = write_out(both.unionByName(both.select(F.col("near").alias("node"), F.col("node").alias("near"))).distinct(), "graph")
-    labels = both.groupBy("node").agg(F.least("node", F.min("near")).alias("root"))
-    while True:
-        labels = write_out(labels, "labels")
-        around = (
-            both.join(labels.select(F.col("node").alias("near"), "root"), "near")
-            .groupBy("node")
-            .agg(F.min("root").alias("around"))
-        )
-        nearest = labels.join(around, "node").select("node", F.least("root", "around").alias("label"), "root")
-        hop = labels.select(F.col("node").alias("label"), F.col("root").alias("next"))
-        moved = write_out(
-            nearest.join(hop, "label").select("node", F.least("label", "next").alias("new"), "root"), "labels"
+    distinct = edges.where("a <> b").mapInArrow(_thinned, "a long, b long").distinct()
+    edges, labels = write_out(distinct, "edges"), None
+    while not edges.isEmpty():
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(
+            edges.select(F.col("b").alias("node"), F.col("a").alias("near"))
         )
-        if moved.where("new <> root").isEmpty():
-            return labels
-        labels = moved.select("node", F.col("new").alias("root"))
+        ends = table = write_out(both.groupBy("node").agg(F.least("node", F.min("near")).alias("root")), "pointers")
+        while True:
+            hop = ends.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            moved = write_out(ends.join(hop, "root").select("node", "root", "next"), "pointers")
+            discard(table)
+            ends, table = moved.select("node", F.col("next").alias("root")), moved
+            if moved.where("next <> root").isEmpty():
+                break
+        if labels is None:
+            labels = ends
+        else:
+            higher = ends.select(F.col("node").alias("root"), F.col("root").alias("higher"))
+            joined = labels.join(higher, "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
+            labels = write_out(joined, "labels")
+        low = ends.select(F.col("node").alias("a"), F.col("root").alias("low"))
+        high = ends.select(F.col("node").alias("b"), F.col("root").alias("high"))
+        between = edges.join(low, "a").join(high, "b").where("low <> high")
+        following = write_out(between.select(F.col("low").alias("a"), F.col("high").alias("b")).distinct(), "edges")
+        discard(edges)
+        edges = following
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if labels is None else labels
 
 
 def grouped(prints: DataFrame, bits: int = BITS) -> DataFrame:
