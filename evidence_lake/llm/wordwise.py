@@ -12,7 +12,7 @@ BREAK = np.zeros(256, dtype=bool)
 BREAK[[0x20, *range(0x09, 0x0E)]] = True
 
 #: Bytes that one pass of numpy works on, unless a single text is longer.
-SLICE = 4 << 20
+SLICE = 2 << 20
 _BLOCK = 1 << 20
 _LONG_WORD = 1 << 16
 
