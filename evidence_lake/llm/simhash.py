@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_lake.llm.arrow import bounded_batches
@@ -326,12 +326,16 @@ def near_duplicates(
     return grouped(prints, bits).select("doc_id", "print", "component_id")
 
 
-#: The pipeline's near-duplicates: shingles of five words, candidates within eight bits, similarity from 0.8 on.
-STAGE_SHINGLE, STAGE_BITS, SIMILARITY = 5, 8, 0.8
-#: Seeds of the fingerprints of each text; two texts are candidates if either pair of theirs is linked.
-STAGE_SEEDS = (SEED, SEED + 1)
-#: Texts that are like none of this many kept texts of their group stay.
-STAGE_ROUNDS = 4
+#: The pipeline's near-duplicates: shingles of five words, similarity (Jaccard) from 0.8 on.
+STAGE_SHINGLE, SIMILARITY = 5, 0.8
+#: Texts that are read, about, to learn which shingles are common, how often a common one is found there at
+#: least, and how many are told apart.  They set the order of shingles only; every order gives the same result.
+SAMPLE, COMMON, MOST_COMMON = 20_000, 3, 1 << 20
+#: All pairs within the shingles' groups are listed as soon as they are at most so many for each row that the
+#: groups had at first, or a round has not halved them.
+PAIRS_PER_ROW = 4
+#: For bounds in floating point, so that none is missed.
+_SLACK = 1 - 1e-9
 
 
 def shingle_set(text: bytes, shingle: int) -> list[int]:
@@ -344,81 +348,176 @@ def shingle_set(text: bytes, shingle: int) -> list[int]:
     return list({digest(b" ".join(words[i : i + shingle]), SEED) - (1 << 63) for i in range(last)})
 
 
+def _shingles(text: Column, shingle: int) -> Column:
+    def hashed(x: pa.Array) -> pa.Array:
+        return pa.array([shingle_set((t.as_py() or "").encode(), shingle) for t in x], pa.list_(pa.int64()))
+
+    return F.arrow_udf(hashed, "array<long>")(text)
+
+
+def _prefixes(text: Column, shingle: int, similarity: float, common) -> Column:
+    """(n, prefix): the number of shingles of a text and its first ones, rare ones first.
+
+    Of n shingles at least n * similarity must be in a similar text, so one of the first
+    n - ceil(n * similarity) + 1 is, and the first common one is among the first of both texts.
+    """
+
+    def of(x: pa.Array) -> pa.Array:
+        known, counts = common.value
+        sizes, prefixes = [], []
+        for t in x:
+            hashes = np.array(shingle_set((t.as_py() or "").encode(), shingle), dtype=np.int64)
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            weight = np.where(known[at] == hashes, counts[at], 0)
+            first = len(hashes) - int(np.ceil(len(hashes) * similarity * _SLACK)) + 1
+            sizes.append(len(hashes))
+            prefixes.append(hashes[np.lexsort((hashes, weight))[:first]])
+        ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+        values = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64()))
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), lists], names=["n", "prefix"])
+
+    return F.arrow_udf(of, "n int, prefix array<long>")(text)
+
+
+def _common_shingles(docs: DataFrame, key: Column, text: Column, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (sorted) that many sampled texts have, and how many; never empty."""
+    every = max(1, docs.count() // SAMPLE)
+    found = (
+        docs.where(F.pmod(key, F.lit(every)) == 0)
+        .select(F.explode(_shingles(text, shingle)).alias("shingle"))
+        .groupBy("shingle")
+        .count()
+        .where(F.col("count") >= COMMON)
+        .limit(MOST_COMMON)
+        .collect()
+    )
+    table = np.array(sorted((r[0], r[1]) for r in found) or [(0, 0)], dtype=np.int64)
+    return table[:, 0].copy(), table[:, 1].copy()
+
+
+def _met(buckets: DataFrame) -> DataFrame:
+    """Rows (shingle, key, ...) of shingles that have more than one."""
+    beside = Window.partitionBy("shingle").orderBy("key")
+    return (
+        buckets.withColumn("met", F.lag("key").over(beside).isNotNull() | F.lead("key").over(beside).isNotNull())
+        .where("met")
+        .drop("met")
+    )
+
+
+def _possible(pairs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of rows (x, y), each a shingle that both have among their first, that may be similar.
+
+    Beyond the first shingles of both, only the rest of one of the texts can be common.
+    """
+    least, most = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+    sized = pairs.where(least >= similarity * _SLACK * most)
+    counted = sized.groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(
+        F.count("*").alias("common"),
+        F.first(F.col("x.n") + F.col("y.n")).alias("both"),
+        F.first(F.greatest("x.rest", "y.rest")).alias("rest"),
+    )
+    needed = similarity / (1 + similarity) * _SLACK * F.col("both")
+    return counted.where(F.col("common") + F.col("rest") >= needed).select("a", "b")
+
+
+def _first_of_linked(edges: DataFrame) -> DataFrame:
+    """``b`` of all edges (a, b), a before b, whose ``a`` stays; a node stays if none before it that stays is linked."""
+    gone = edges.select("b").limit(0)
+    while not edges.isEmpty():
+        stays = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")), "a", "left_anti")
+        out = write_out(edges.join(stays, "a").select("b").distinct(), "similar-texts")
+        gone = gone.unionByName(out)
+        left = edges.join(out, "b", "left_anti").join(out.withColumnRenamed("b", "a"), "a", "left_anti")
+        following = write_out(left.select("a", "b"), "similar-pairs")
+        discard(edges)
+        edges = following
+    return gone
+
+
 def keep_one_of_each(
     docs: DataFrame,
     shingle: int = STAGE_SHINGLE,
-    bits: int = STAGE_BITS,
     similarity: float = SIMILARITY,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """``docs`` without near-duplicates: of each group the row with the smallest doc_id stays as it is.
+    """``docs`` without near-duplicates: in order of doc_id, a row stays unless an earlier row that stays is similar.
+
+    Texts are similar if their shingle sets have a Jaccard similarity of at least ``similarity``.  All such
+    pairs are found: similar texts share one of their first shingles (rare ones first), and pairs that share
+    enough of these are compared in full.  Where groups of a shingle are large, texts that come first in all
+    of their groups are compared with the others of these before pairs are listed, as long as that pays.
 
-    Texts are grouped by linked fingerprints; in each group the smallest doc_id is kept and texts whose
-    shingle sets have at least ``similarity`` (Jaccard) with its own go; what is left is compared with the
-    next smallest, ``STAGE_ROUNDS`` times.  Equal texts always go but for one.  NULL counts as an empty
-    text, and texts without words are equal; NULL doc_ids come last.  Of rows equal in doc_id and text one
-    stays.  Columns are those of ``docs``.
+    Equal texts always go but for one.  NULL counts as an empty text, and texts without words are equal; NULL
+    doc_ids come last.  Of rows equal in doc_id and text one stays.  Columns are those of ``docs``.
     """
-    bounded_batches(docs.sparkSession)
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must lie above 0 and not above 1")
+    spark = docs.sparkSession
+    bounded_batches(spark)
     content = F.coalesce(F.col(text), F.lit(""))
     key = F.xxhash64(content)
-    prints = [fingerprint(F.col(text), shingle, seed).alias(f"print{k}") for k, seed in enumerate(STAGE_SEEDS)]
-    rows = write_out(docs.select(F.col(doc_id).alias("doc_id"), key.alias("key"), *prints), "document-fingerprints")
-    names = [f"print{k}" for k in range(len(STAGE_SEEDS))]
-    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("low")
-    distinct = write_out(rows.groupBy("key").agg(low, *[F.min(n).alias(n) for n in names]), "distinct-texts")
-    near = None
-    for name in names:
-        by_print = distinct.select("key", F.col(name).alias("print"))
-        linked = components(links(by_print.select("print").distinct(), bits)).withColumnRenamed("node", "print")
-        group = by_print.join(linked, "print", "left").select("key", F.coalesce("root", "print").alias("group"))
-        first = group.groupBy("group").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
-        edges = group.join(first, "group").where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
-        near = edges if near is None else near.unionByName(edges)
-    roots = components(near.distinct()).withColumnRenamed("node", "key")
-    texts = write_out(
-        distinct.join(roots, "key", "left").select(
-            F.coalesce("root", "key").alias("root"),
-            "key",
-            F.struct("low.none", F.col("low.doc_id").alias("doc_id"), "key").alias("place"),
-        ),
-        "grouped-texts",
-    )
-    crowded = texts.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    undecided = texts.join(crowded, "root")
-
-    def hashed(x: pa.Array) -> pa.Array:
-        return pa.array([shingle_set((t.as_py() or "").encode(), shingle) for t in x], pa.list_(pa.int64()))
-
-    wanted = undecided.select(F.col("key").alias("__key")).distinct()
-    sets = (
-        docs.select(key.alias("key"), content.alias("content"))
-        .join(wanted, F.col("key") == F.col("__key"), "left_semi")
-        .dropDuplicates(["key"])
-        .select("key", F.arrow_udf(hashed, "array<long>")(F.col("content")).alias("shingles"))
+    common = spark.sparkContext.broadcast(_common_shingles(docs, key, content, shingle))
+    made = docs.select(
+        key.alias("key"),
+        F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), key.alias("key")).alias("place"),
+        _prefixes(content, shingle, similarity, common).alias("made"),
     )
-    undecided = write_out(undecided.join(sets, "key"), "undecided-texts")
-    gone = None
-    for _ in range(STAGE_ROUNDS):
-        kept = undecided.groupBy("root").agg(
-            F.min("place").alias("kept"), F.min_by("shingles", "place").alias("kept_shingles")
+    rows = write_out(made.select("key", "place", "made.*"), "text-prefixes")
+    texts = write_out(rows.groupBy("key").agg(F.min("place").alias("place")), "distinct-texts")
+    first = rows.join(texts.select("place"), "place", "left_semi").dropDuplicates(["key"])
+    dealt = first.select("key", "n", (F.col("n") - F.size("prefix")).alias("rest"), F.explode("prefix").alias("shingle"))
+    buckets = write_out(_met(dealt).join(texts, "key").select("shingle", "key", "place", "n", "rest"), "shared-shingles")
+    discard(rows)
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        pairs = write_out(_possible(pairs, similarity), "possible-pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("__key")).distinct()
+        sets = (
+            docs.select(key.alias("key"), content.alias("content"))
+            .join(wanted, F.col("key") == F.col("__key"), "left_semi")
+            .dropDuplicates(["key"])
+            .select("key", _shingles(F.col("content"), shingle).alias("shingles"))
         )
-        shared = F.size(F.array_intersect("shingles", "kept_shingles"))
-        either = F.size("shingles") + F.size("kept_shingles") - shared
-        compared = write_out(
-            undecided.join(kept, "root")
-            .where(F.col("place") != F.col("kept"))
-            .withColumn("alike", shared >= similarity * either)
-            .select("root", "key", "place", "shingles", "alike"),
-            "compared-texts",
-        )
-        alike = compared.where("alike").select("place")
-        gone = alike if gone is None else gone.unionByName(alike)
-        undecided = compared.where("not alike").drop("alike")
-        if undecided.isEmpty():
+        sets = write_out(sets, "shingle-sets")
+        both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("left")), "a")
+        both = both.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("right")), "b")
+        shared = F.size(F.array_intersect("left", "right"))
+        either = F.size("left") + F.size("right") - shared
+        found = write_out(both.where(shared >= similarity * either).select("a", "b"), "similar-pairs")
+        discard(sets, pairs)
+        return found
+
+    gone = texts.select("key").limit(0)
+    row = F.struct("place", "key", "n", "rest")
+    enough, before = None, None
+    while True:
+        n = F.col("count")
+        sizes = buckets.groupBy("shingle").count().agg(F.sum(n), F.sum(n * (n - 1) / 2)).first()
+        if sizes[0] is None:
+            break
+        enough = PAIRS_PER_ROW * sizes[0] if enough is None else enough
+        if sizes[1] <= enough or (before is not None and 2 * sizes[1] > before):
+            x = buckets.select("shingle", row.alias("x"))
+            pairs = x.join(x.withColumnRenamed("x", "y"), "shingle").where("x.place < y.place")
+            gone = gone.unionByName(_first_of_linked(similar(pairs)).select(F.col("b").alias("key")))
             break
-    stay = texts.select("place").join(gone, "place", "left_anti").select("place.*")
+        before = sizes[1]
+        lowest = buckets.groupBy("shingle").agg(F.min(row).alias("x"))
+        beside = buckets.select("shingle", row.alias("y")).join(lowest, "shingle")
+        all_first = F.min(F.col("x.key") == F.col("y.key"))
+        stay = beside.groupBy(F.col("y.key").alias("key")).agg(all_first.alias("first")).where("first").select("key")
+        stay = write_out(stay, "kept-texts")
+        pairs = beside.where("x.key <> y.key").join(stay, F.col("x.key") == F.col("key"), "left_semi")
+        out = write_out(similar(pairs).select(F.col("b").alias("key")).distinct(), "similar-texts")
+        gone = gone.unionByName(out)
+        left = buckets.join(stay.unionByName(out), "key", "left_anti").select(buckets.columns)
+        following = write_out(_met(left), "shared-shingles")
+        discard(buckets, stay)
+        buckets = following
+    stay = texts.join(gone, "key", "left_anti").select("place.*")
     stay = stay.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
     keyed = docs.withColumns({"__text_key": key, "__place": F.col(doc_id)})
     same = F.col("__place").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))

@@ -284,6 +284,34 @@ def test_one_of_each_group_stays(documents):
     assert simhash.keep_one_of_each(df.limit(0)).count() == 0
 
 
+def plain_survivors(rows):
+    """doc_ids that stay of rows (doc_id, text) with distinct ids, by comparing each row with all that stay."""
+    kept = []
+    for i, text in sorted(rows):
+        words = plain.WORD.findall(plain.lower(text or ""))
+        own = {tuple(words[k : k + 5]) for k in range(max(len(words) - 4, 1))}
+        if not any(len(own & other) >= 0.8 * len(own | other) for _, other in kept):
+            kept.append((i, own))
+    return [i for i, _ in kept]
+
+
+@pytest.mark.parametrize("per_row", [0, simhash.PAIRS_PER_ROW])
+def test_many_clusters_of_one_group(documents, monkeypatch, per_row):
+    import random
+
+    # all share a long passage, so that fingerprints are close; the second text of each of nine kinds is a copy
+    monkeypatch.setattr(simhash, "PAIRS_PER_ROW", per_row)
+    rng = random.Random(5)
+    shared = [f"shared{k}" for k in range(250)]
+    kinds = [shared + [f"own{c}x{k}" for k in range(45)] for c in range(9)]
+    rows = [(c, " ".join(kinds[c])) for c in range(9)]
+    rows += [(100 + c, " ".join(kinds[c][:-1] + ["other"])) for c in range(9)]
+    rng.shuffle(rows)
+    _, df = documents(rows=rows)
+    got = sorted(r.doc_id for r in simhash.keep_one_of_each(df).collect())
+    assert got == plain_survivors(rows) == list(range(9))
+
+
 # URLs -----------------------------------------------------------------------------------------
 
 
