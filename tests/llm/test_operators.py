@@ -312,6 +312,24 @@ def test_many_clusters_of_one_group(documents, monkeypatch, per_row):
     assert got == plain_survivors(rows) == list(range(9))
 
 
+@pytest.mark.parametrize("per_row", [0, simhash.PAIRS_PER_ROW])
+def test_every_similar_pair_is_found(documents, monkeypatch, per_row):
+    import random
+
+    monkeypatch.setattr(simhash, "PAIRS_PER_ROW", per_row)
+    rng, rows = random.Random(11), []
+    for c in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(20, 300))]
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(2):  # at similarities on both sides of 0.8, chains included
+            for _ in range(rng.randrange(1, 2 + len(words) // 40)):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    _, df = documents(rows=rows)
+    got = sorted(r.doc_id for r in simhash.keep_one_of_each(df).collect())
+    assert got == plain_survivors(rows) and 60 < len(got) < 150
+
+
 # URLs -----------------------------------------------------------------------------------------
 
 
