@@ -7,6 +7,11 @@ earlier one but with more, smaller pieces is dominated and not tried; branches w
 the best filling so far are cut; the first filling found, the best fit, is the first incumbent.  The
 filling is applied as often as the histogram allows.  The driver sees one number per length.
 
+The incumbent of the whole plan is the better of that and best-fit decreasing.  While it is above the lower
+bound, other fillings that cannot be added to are tried, sequence by sequence and depth first; a plan is
+given up where even a full use of the room left needs as many sequences as the incumbent.  After
+``PLAN_BRANCHES`` branches the incumbent is taken.
+
 Pieces get their place by their rank among the pieces of the same length, which comes from counts per
 block of rows; a length that a third of all pieces have is spread over all blocks.
 """
@@ -26,6 +31,10 @@ from evidence_lake.session import write_out
 LIMIT = 2048
 #: Branches tried per sequence before the best filling so far is taken.
 BRANCHES = 400
+#: Branches tried for the whole plan before the best one so far is taken.
+PLAN_BRANCHES = 100_000
+#: For so many full sequences, or fewer, a branch takes a filling once; before, as often as it is there.
+SINGLY = 64
 #: Rows of a block are ranked together.
 BLOCK_BITS = 17
 
@@ -74,23 +83,142 @@ def completion(counts: np.ndarray, room: int, branches: int = BRANCHES) -> tuple
     return best
 
 
-def plan(histogram: dict[int, int], limit: int = LIMIT, branches: int = BRANCHES) -> list[Filling]:
+def _apply(counts: np.ndarray, lengths: tuple[int, ...], once: bool = False) -> int:
+    """Take ``lengths`` out of ``counts``, as often as they are there or once."""
+    used, times = np.unique(lengths, return_counts=True)
+    copies = 1 if once else int((counts[used] // times).min())
+    counts[used] -= copies * times
+    return copies
+
+
+def least_waste(counts: np.ndarray, limit: int, branches: int = BRANCHES) -> list[Filling]:
+    """Fill the sequence of the largest length that is left best, never going back."""
+    counts, fillings = counts.copy(), []
+    while size := _largest_fitting(counts, limit):
+        counts[size] -= 1
+        lengths = (size, *completion(counts, limit - size, branches))
+        counts[size] += 1
+        fillings.append(Filling(lengths, _apply(counts, lengths)))
+    return fillings
+
+
+def best_fit_decreasing(counts: np.ndarray, limit: int) -> list[Filling]:
+    """Largest lengths first, each into the fullest sequence that has room; equal sequences go as one."""
+    opened: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # room -> (lengths, copies)
+    for size in np.flatnonzero(counts)[::-1].tolist():
+        left = int(counts[size])
+        for room in sorted(r for r in opened if r >= size):
+            times, groups = room // size, opened[room]
+            while groups and left:
+                lengths, copies = groups.pop()
+                full = min(copies, left // times)
+                left -= full * times
+                if full:
+                    opened.setdefault(room - size * times, []).append((lengths + (size,) * times, full))
+                if full < copies:
+                    some, rest = left, copies - full - (left > 0)
+                    left = 0
+                    if some:
+                        opened.setdefault(room - size * some, []).append((lengths + (size,) * some, 1))
+                    if rest:
+                        groups.append((lengths, rest))
+            if not groups:
+                del opened[room]
+            if not left:
+                break
+        for times, copies in ((limit // size, left // (limit // size)), (left % (limit // size), 1)):
+            if times and copies:
+                opened.setdefault(limit - size * times, []).append(((size,) * times, copies))
+    return [Filling(lengths, copies) for groups in opened.values() for lengths, copies in groups]
+
+
+def _completions(counts: np.ndarray, room: int, branches: int) -> tuple[list[tuple[int, ...]], int]:
+    """Fillings of ``room`` that cannot be added to, least waste first, and the branches that took."""
+    found: dict[tuple[int, ...], int] = {}
+    smallest, spent = int(np.flatnonzero(counts)[0]) if counts.any() else room + 1, 0
+    stack: list[tuple[int, int, tuple[int, ...]]] = [(room, room, ())]
+    while stack and spent < branches:
+        room, below, chosen = stack.pop()
+        spent += 1
+        if room < smallest or not (fits := _largest_fitting(counts, room)):
+            found[chosen] = room
+            continue
+        size, following = _largest_fitting(counts, min(room, below)), []
+        if not size:  # what fits has been left out before, unless all of it is used
+            if int(counts[fits]) <= chosen.count(fits):
+                left = counts[: room + 1].copy()
+                for n in chosen:
+                    if n <= room:
+                        left[n] -= 1
+                if not left.any():
+                    found[chosen] = room
+            continue
+        while size:
+            for times in range(min(int(counts[size]), room // size), 0, -1):
+                following.append((room - size * times, size - 1, (*chosen, *[size] * times)))
+            size = _largest_fitting(counts, size - 1)
+        stack.extend(reversed(following))
+    return sorted(found, key=lambda f: (found[f], [-n for n in f])), spent
+
+
+def _searched(counts: np.ndarray, limit: int, best: list[Filling], bound: int, budget: int) -> list[Filling]:
+    """A plan of fewer sequences than ``best``, if one is found within ``budget`` branches; else ``best``."""
+    counts, least = counts.copy(), sum(f.copies for f in best)
+    volume, used = int((np.arange(len(counts)) * counts).sum()), 0
+    chosen: list[Filling] = []
+    ahead: list[list[tuple[int, ...]]] = []  # for each sequence the fillings not yet tried, best last
+
+    def undo() -> None:
+        nonlocal volume, used
+        last = chosen.pop()
+        for n in last.lengths:
+            counts[n] += last.copies
+        volume += last.copies * sum(last.lengths)
+        used -= last.copies
+
+    while least > bound and budget > 0:
+        budget -= 1
+        if used + -(-volume // limit) < least and volume:
+            size = _largest_fitting(counts, limit)
+            counts[size] -= 1
+            fillings, spent = _completions(counts, limit - size, min(BRANCHES, budget))
+            counts[size] += 1
+            budget -= spent
+            ahead.append([(size, *f) for f in reversed(fillings)])
+        else:
+            if not volume and used < least:
+                best, least = list(chosen), used
+            if not chosen:
+                break
+            undo()
+        while ahead and not ahead[-1]:
+            ahead.pop()
+            if chosen:
+                undo()
+        if not ahead:
+            break
+        lengths = ahead[-1].pop()
+        filling = Filling(lengths, _apply(counts, lengths, once=volume <= SINGLY * limit))
+        chosen.append(filling)
+        volume -= filling.copies * sum(lengths)
+        used += filling.copies
+    return best
+
+
+def plan(
+    histogram: dict[int, int], limit: int = LIMIT, branches: int = BRANCHES, plan_branches: int = PLAN_BRANCHES
+) -> list[Filling]:
     """Fillings that use up ``histogram`` (length -> count), lengths from 1 to ``limit``."""
     counts = np.zeros(limit + 1, dtype=np.int64)
     for length, n in histogram.items():
         if not 1 <= length <= limit:
             raise ValueError(f"length {length} is not between 1 and {limit}")
         counts[length] += n
-    fillings = []
-    while size := _largest_fitting(counts, limit):
-        counts[size] -= 1
-        lengths = (size, *completion(counts, limit - size, branches))
-        counts[size] += 1
-        used, times = np.unique(lengths, return_counts=True)
-        copies = int((counts[used] // times).min())
-        counts[used] -= copies * times
-        fillings.append(Filling(lengths, copies))
-    return fillings
+    bound = lower_bound(histogram, limit) if histogram else 0
+    best = least_waste(counts, limit, branches)
+    if sum(f.copies for f in best) > bound:
+        best = min(best, best_fit_decreasing(counts, limit), key=lambda p: sum(f.copies for f in p))
+    return _searched(counts, limit, best, bound, plan_branches)
 
 
 def lower_bound(histogram: dict[int, int], limit: int = LIMIT) -> int:

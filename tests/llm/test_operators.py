@@ -5,6 +5,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import plain
 import public_tokenizers
 import pytest
@@ -190,6 +191,40 @@ def test_completion_finds_what_best_fit_misses():
     assert packing.plan({}, 8) == []
 
 
+@pytest.mark.parametrize(
+    "limit, lengths, fewest",
+    [
+        (20, [12, 9, 8, 8, 7, 7, 7, 7, 6, 5, 2], 4),
+        (100, [66, 64, 64, 63, 46, 43, 24, 23, 21, 19, 18, 14, 7], 5),
+        (50, [20, 12, 14, 9, 10, 12, 15, 24, 14, 20, 8, 22, 23, 22, 20, 23, 14, 20, 10, 23], 7),
+    ],
+)
+def test_plans_go_back(limit, lengths, fewest):
+    found = packing.plan(Counter(lengths), limit)
+    assert sum((Counter({n: k * f.copies for n, k in Counter(f.lengths).items()}) for f in found), Counter()) == Counter(lengths)
+    assert sum(f.copies for f in found) == fewest
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_plans_are_never_worse_than_best_fit_decreasing(seed):
+    import random
+
+    rng = random.Random(seed)
+    limit = rng.choice([20, 100, 2048])
+    lengths = [rng.randint(1, limit * 2 // 3) for _ in range(rng.choice([10, 15, 300]))]
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fitting = [r for r in rooms if r >= n]
+        if fitting:
+            rooms.remove(min(fitting))
+        rooms.append((min(fitting) if fitting else limit) - n)
+    counts = np.bincount(lengths, minlength=limit + 1)
+    fillings = packing.best_fit_decreasing(counts, limit)
+    assert sum(f.copies for f in fillings) == len(rooms)
+    assert sorted(limit - sum(f.lengths) for f in fillings for _ in range(f.copies)) == sorted(rooms)
+    assert sum(f.copies for f in packing.plan(Counter(lengths), limit)) <= len(rooms)
+
+
 def test_packing_of_odd_rows(documents):
     _, df = documents(rows=ODD)
     path = public_tokenizers.path("byte_bpe_50k.json")
