@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -33,3 +33,9 @@ def upto(n: Column) -> Column:
 def text_key(text: Column) -> Column:
     """Tells rows with a repeated id apart by their text; equal for equal texts."""
     return F.xxhash64(text)
+
+
+def others(docs: DataFrame, names: tuple[str, ...]) -> list[Column]:
+    """The columns of ``docs`` but for those of these names, in any letter case."""
+    taken = {n.lower() for n in names}
+    return [F.col("`" + n.replace("`", "``") + "`") for n in docs.columns if n.lower() not in taken]
