@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_lake.llm import code_compression
+from evidence_lake.llm import code_compression, graph_search
 from evidence_lake.llm.registry import query, table
 
 # op11 -----------------------------------------------------------------------------------------
@@ -49,3 +49,12 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
     coded, books = code_compression.compress_vectors(vectors)
     return coded.select("vec_id", "code", "error", "label_error", F.lit(code_compression.digest(books)).alias("codebooks_sha256"))
+
+
+# op13 -----------------------------------------------------------------------------------------
+
+
+@query("op13_nearest_neighbours")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return graph_search.nearest_vectors(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
