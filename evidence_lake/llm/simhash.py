@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidence_lake.llm.arrow import bounded_batches
+from evidence_lake.llm.wordwise import slices
 from evidence_lake.session import discard, write_out
 
 SEED, SHINGLE, BITS = 42, 4, 4
@@ -31,25 +32,30 @@ BUCKET = 4096
 _GATHER = 200_000
 
 
-def fingerprint_of(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Bit by bit the majority of the XXH64 hashes of the word shingles of a text; 0 without words."""
+def _shingle_digests(words: list[bytes], shingle: int, seed: int) -> bytes:
+    """The XXH64 digests (big-endian) of all shingles of words, or of all words if they are fewer."""
     import xxhash
 
-    words = text.lower().split()  # bytes: A-Z only, and ASCII white space only
-    if not words:
-        return 0
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
-    first = np.concatenate([[0], ends[: len(last) - 1] + 1])
+    last = ends[shingle - 1 :] if len(words) >= shingle else [len(joined)]
+    first = np.concatenate([[0], ends[: len(last) - 1] + 1]).astype(np.int64)
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[a:b], seed) for a, b in zip(first.tolist(), last.tolist())])
+    return b"".join([digest(joined[a:b], seed) for a, b in zip(first.tolist(), np.asarray(last).tolist())])
+
+
+def fingerprint_of(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """Bit by bit the majority of the XXH64 hashes of the word shingles of a text; 0 without words."""
+    words = text.lower().split()  # bytes: A-Z only, and ASCII white space only
+    if not words:
+        return 0
+    hashes = _shingle_digests(words, shingle, seed)
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 8 * 255 * 256):  # bounded memory for long texts
         bits = np.unpackbits(np.frombuffer(hashes, np.uint8, min(8 * 255 * 256, len(hashes) - at), at)).reshape(-1, 64)
         sums = np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8)
         ones += sums.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(last)).tobytes(), "big", signed=True)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes) // 8).tobytes(), "big", signed=True)
 
 
 def fingerprint(text: Column, shingle: int = SHINGLE, seed: int = SEED) -> Column:
@@ -328,31 +334,39 @@ def near_duplicates(
 
 #: The pipeline's near-duplicates: shingles of five words, similarity (Jaccard) from 0.8 on.
 STAGE_SHINGLE, SIMILARITY = 5, 0.8
-#: Texts that are read, about, to learn which shingles are common, how often a common one is found there at
-#: least, and how many are told apart.  They set the order of shingles only; every order gives the same result.
-SAMPLE, COMMON, MOST_COMMON = 20_000, 3, 1 << 20
+#: Shingles that many texts have are learned from one text in ``SAMPLED`` (from all of fewer than ``LEAST_SAMPLE``):
+#: how often a common one is found there at least, and how many are told apart.  They set the order of shingles
+#: only; every order gives the same result.
+SAMPLED, LEAST_SAMPLE, COMMON, MOST_COMMON = 64, 20_000, 3, 1 << 20
 #: All pairs within the shingles' groups are listed as soon as they are at most so many for each row that the
-#: groups had at first, or a round has not halved them.
-PAIRS_PER_ROW = 4
+#: groups had at first, or a round has not halved them; in a group, by blocks of about so many rows.
+PAIRS_PER_ROW, PAIR_BLOCK = 4, 4096
 #: For bounds in floating point, so that none is missed.
 _SLACK = 1 - 1e-9
 
 
-def shingle_set(text: bytes, shingle: int) -> list[int]:
-    """Distinct hashes of a text's word shingles (its word sequence, if shorter)."""
-    import xxhash
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles (its word sequence, if shorter), in order."""
+    hashes = _shingle_digests(text.lower().split(), shingle, SEED)
+    return np.unique(np.frombuffer(hashes, dtype=">u8").astype(np.uint64).view(np.int64))
+
 
-    words = text.lower().split()
-    last = max(len(words) - shingle + 1, 1)
-    digest = xxhash.xxh64_intdigest
-    return list({digest(b" ".join(words[i : i + shingle]), SEED) - (1 << 63) for i in range(last)})
+def _shingles(shingle: int):
+    """mapInArrow: (key, text) -> (key, shingles), a few MB of texts at a time."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, data, offsets in slices(batch.column(1)):
+                data = data.tobytes()
+                sets = [shingle_hashes(data[a:b], shingle) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), _lists(sets)], names=["key", "shingles"])
+
+    return run
 
-def _shingles(text: Column, shingle: int) -> Column:
-    def hashed(x: pa.Array) -> pa.Array:
-        return pa.array([shingle_set((t.as_py() or "").encode(), shingle) for t in x], pa.list_(pa.int64()))
 
-    return F.arrow_udf(hashed, "array<long>")(text)
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 
 
 def _prefixes(text: Column, shingle: int, similarity: float, common) -> Column:
@@ -366,60 +380,53 @@ def _prefixes(text: Column, shingle: int, similarity: float, common) -> Column:
         known, counts = common.value
         sizes, prefixes = [], []
         for t in x:
-            hashes = np.array(shingle_set((t.as_py() or "").encode(), shingle), dtype=np.int64)
+            hashes = shingle_hashes((t.as_py() or "").encode(), shingle)
             at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
             weight = np.where(known[at] == hashes, counts[at], 0)
             first = len(hashes) - int(np.ceil(len(hashes) * similarity * _SLACK)) + 1
             sizes.append(len(hashes))
             prefixes.append(hashes[np.lexsort((hashes, weight))[:first]])
-        ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-        values = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64()))
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), lists], names=["n", "prefix"])
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), _lists(prefixes)], names=["n", "prefix"])
 
     return F.arrow_udf(of, "n int, prefix array<long>")(text)
 
 
-def _common_shingles(docs: DataFrame, key: Column, text: Column, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (sorted) that many sampled texts have, and how many; never empty."""
-    every = max(1, docs.count() // SAMPLE)
+def _common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (sorted) that many sampled ``texts`` (key, text) have, and how many of them; never empty."""
+    every = max(1, min(SAMPLED, texts.count() // LEAST_SAMPLE))
     found = (
-        docs.where(F.pmod(key, F.lit(every)) == 0)
-        .select(F.explode(_shingles(text, shingle)).alias("shingle"))
+        texts.where(F.pmod("key", F.lit(every)) == 0)
+        .mapInArrow(_shingles(shingle), "key long, shingles array<long>")
+        .select(F.explode("shingles").alias("shingle"))
         .groupBy("shingle")
-        .count()
-        .where(F.col("count") >= COMMON)
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") >= COMMON)
+        .orderBy(F.col("n").desc(), "shingle")
         .limit(MOST_COMMON)
-        .collect()
+        .toArrow()
     )
-    table = np.array(sorted((r[0], r[1]) for r in found) or [(0, 0)], dtype=np.int64)
-    return table[:, 0].copy(), table[:, 1].copy()
+    shingles, counts = (np.append(found.column(k).to_numpy(), 0) for k in ("shingle", "n"))
+    order = np.argsort(shingles, kind="stable")
+    return shingles[order], counts[order]
 
 
-def _met(buckets: DataFrame) -> DataFrame:
-    """Rows (shingle, key, ...) of shingles that have more than one."""
-    beside = Window.partitionBy("shingle").orderBy("key")
-    return (
-        buckets.withColumn("met", F.lag("key").over(beside).isNotNull() | F.lead("key").over(beside).isNotNull())
-        .where("met")
-        .drop("met")
-    )
+def _may_be_similar(x: str, y: str, similarity: float) -> Column:
+    """Whether a shingle at these positions may be the first that two similar texts share.
 
+    Texts of sizes n and m need c * (n + m) common shingles, c being similarity / (1 + similarity), so as many
+    must be left from the first common one on, in both.
+    """
+    sizes = [F.col(f"{t}.n") for t in (x, y)]
+    needed = similarity / (1 + similarity) * _SLACK * (sizes[0] + sizes[1])
+    left = F.least(*[F.col(f"{t}.n") - F.col(f"{t}.pos") for t in (x, y)])
+    return (left >= needed) & (F.least(*sizes) >= similarity * _SLACK * F.greatest(*sizes))
 
-def _possible(pairs: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of rows (x, y), each a shingle that both have among their first, that may be similar.
 
-    Beyond the first shingles of both, only the rest of one of the texts can be common.
-    """
-    least, most = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    sized = pairs.where(least >= similarity * _SLACK * most)
-    counted = sized.groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(
-        F.count("*").alias("common"),
-        F.first(F.col("x.n") + F.col("y.n")).alias("both"),
-        F.first(F.greatest("x.rest", "y.rest")).alias("rest"),
-    )
-    needed = similarity / (1 + similarity) * _SLACK * F.col("both")
-    return counted.where(F.col("common") + F.col("rest") >= needed).select("a", "b")
+def _groups(buckets: DataFrame) -> DataFrame:
+    """(shingle, lowest, rows, short) of groups that can hold a similar pair: the first row, the number of rows,
+    and that of rows that may be the smaller text of a pair."""
+    sized = buckets.groupBy("shingle").agg(F.min("row").alias("lowest"), F.count("*").alias("rows"), F.count_if("row.short").alias("short"))
+    return sized.where("rows > 1 and short > 0")
 
 
 def _first_of_linked(edges: DataFrame) -> DataFrame:
@@ -436,6 +443,21 @@ def _first_of_linked(edges: DataFrame) -> DataFrame:
     return gone
 
 
+def _all_pairs(buckets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), the earlier text first, of all pairs that may be similar; large groups are dealt out in blocks."""
+    sized = buckets.join(_groups(buckets).select("shingle", F.ceil(F.col("short") / PAIR_BLOCK).alias("blocks")), "shingle")
+    mine = F.pmod(F.xxhash64("row.key"), F.col("blocks"))
+    short = sized.where("row.short").select("shingle", mine.alias("block"), F.col("row").alias("x"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    long = sized.select("shingle", every.alias("block"), F.col("row").alias("y"))
+    # the smaller text is x; of equally many shingles the one with the lower key
+    before = F.struct("x.n", "x.key") < F.struct("y.n", "y.key")
+    pairs = short.join(long, ["shingle", "block"]).where(before & _may_be_similar("x", "y", similarity))
+    first = F.col("x.place") < F.col("y.place")
+    a, b = F.when(first, F.col("x.key")).otherwise(F.col("y.key")), F.when(first, F.col("y.key")).otherwise(F.col("x.key"))
+    return pairs.select(a.alias("a"), b.alias("b")).distinct()
+
+
 def keep_one_of_each(
     docs: DataFrame,
     shingle: int = STAGE_SHINGLE,
@@ -446,9 +468,11 @@ def keep_one_of_each(
     """``docs`` without near-duplicates: in order of doc_id, a row stays unless an earlier row that stays is similar.
 
     Texts are similar if their shingle sets have a Jaccard similarity of at least ``similarity``.  All such
-    pairs are found: similar texts share one of their first shingles (rare ones first), and pairs that share
-    enough of these are compared in full.  Where groups of a shingle are large, texts that come first in all
-    of their groups are compared with the others of these before pairs are listed, as long as that pays.
+    pairs are found: of similar texts of n and m shingles the first common one (rare ones first) leaves
+    similarity / (1 + similarity) * (n + m) of both, itself included, so it is among the first ninth or so of the smaller
+    and the first fifth of the larger (at 0.8).  Pairs that meet so are compared in full.  Where groups of a
+    shingle are large, texts that come first in all of their groups are compared with the others of these before
+    pairs are listed, as long as that pays.
 
     Equal texts always go but for one.  NULL counts as an empty text, and texts without words are equal; NULL
     doc_ids come last.  Of rows equal in doc_id and text one stays.  Columns are those of ``docs``.
@@ -459,67 +483,66 @@ def keep_one_of_each(
     bounded_batches(spark)
     content = F.coalesce(F.col(text), F.lit(""))
     key = F.xxhash64(content)
-    common = spark.sparkContext.broadcast(_common_shingles(docs, key, content, shingle))
-    made = docs.select(
-        key.alias("key"),
-        F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), key.alias("key")).alias("place"),
-        _prefixes(content, shingle, similarity, common).alias("made"),
-    )
+    place = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), key.alias("key"))
+    keyed_texts = docs.select(key.alias("key"), content.alias("text"))
+    common = spark.sparkContext.broadcast(_common_shingles(keyed_texts, shingle))
+    made = docs.select(key.alias("key"), place.alias("place"), _prefixes(content, shingle, similarity, common).alias("made"))
     rows = write_out(made.select("key", "place", "made.*"), "text-prefixes")
-    texts = write_out(rows.groupBy("key").agg(F.min("place").alias("place")), "distinct-texts")
-    first = rows.join(texts.select("place"), "place", "left_semi").dropDuplicates(["key"])
-    dealt = first.select("key", "n", (F.col("n") - F.size("prefix")).alias("rest"), F.explode("prefix").alias("shingle"))
-    buckets = write_out(_met(dealt).join(texts, "key").select("shingle", "key", "place", "n", "rest"), "shared-shingles")
+    texts = write_out(rows.groupBy("key").agg(F.min("place").alias("place"), F.count("*").alias("rows")), "distinct-texts")
+    one_row = rows.groupBy("place").count().where("count > 1").isEmpty()
+
+    def one_of_each(frame: DataFrame, *names: str) -> DataFrame:
+        return frame if one_row else frame.dropDuplicates(list(names))
+
+    first = one_of_each(rows.join(texts.select("place"), "place", "left_semi"), "key")
+    short = F.col("pos") < F.col("n") - F.ceil(2 * similarity / (1 + similarity) * _SLACK * F.col("n")) + 1
+    dealt = first.select("key", "place", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    dealt = dealt.select("shingle", F.struct("place", "key", "n", "pos", short.alias("short")).alias("row"))
+    buckets = write_out(dealt.join(_groups(dealt).select("shingle"), "shingle", "left_semi"), "shared-shingles")
     discard(rows)
+    met = buckets.select("row.place").distinct().withColumnRenamed("place", "__place")
+    whole = docs.select(key.alias("key"), place.alias("place"), content.alias("text"))
+    chosen = one_of_each(whole.join(met, F.col("place") == F.col("__place"), "left_semi"), "key")
+    sets = write_out(chosen.select("key", "text").mapInArrow(_shingles(shingle), "key long, shingles array<long>"), "shingle-sets")
 
     def similar(pairs: DataFrame) -> DataFrame:
-        pairs = write_out(_possible(pairs, similarity), "possible-pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("__key")).distinct()
-        sets = (
-            docs.select(key.alias("key"), content.alias("content"))
-            .join(wanted, F.col("key") == F.col("__key"), "left_semi")
-            .dropDuplicates(["key"])
-            .select("key", _shingles(F.col("content"), shingle).alias("shingles"))
-        )
-        sets = write_out(sets, "shingle-sets")
-        both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("left")), "a")
-        both = both.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("right")), "b")
+        """The pairs (a, b) that are similar; the set of b travels with the pair, that of a may meet many."""
+        right = pairs.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("right")), "b")
+        both = right.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("left")), "a")
         shared = F.size(F.array_intersect("left", "right"))
         either = F.size("left") + F.size("right") - shared
-        found = write_out(both.where(shared >= similarity * either).select("a", "b"), "similar-pairs")
-        discard(sets, pairs)
-        return found
+        return write_out(both.where(shared >= similarity * either).select("a", "b"), "similar-pairs")
 
     gone = texts.select("key").limit(0)
-    row = F.struct("place", "key", "n", "rest")
     enough, before = None, None
     while True:
-        n = F.col("count")
-        sizes = buckets.groupBy("shingle").count().agg(F.sum(n), F.sum(n * (n - 1) / 2)).first()
+        groups = _groups(buckets)
+        sizes = groups.agg(F.sum("rows"), F.sum(F.col("short") * (F.col("rows") - 1))).first()
         if sizes[0] is None:
             break
         enough = PAIRS_PER_ROW * sizes[0] if enough is None else enough
         if sizes[1] <= enough or (before is not None and 2 * sizes[1] > before):
-            x = buckets.select("shingle", row.alias("x"))
-            pairs = x.join(x.withColumnRenamed("x", "y"), "shingle").where("x.place < y.place")
+            pairs = write_out(_all_pairs(buckets, similarity), "possible-pairs")
             gone = gone.unionByName(_first_of_linked(similar(pairs)).select(F.col("b").alias("key")))
+            discard(pairs)
             break
         before = sizes[1]
-        lowest = buckets.groupBy("shingle").agg(F.min(row).alias("x"))
-        beside = buckets.select("shingle", row.alias("y")).join(lowest, "shingle")
+        beside = buckets.select("shingle", F.col("row").alias("y")).join(groups.select("shingle", F.col("lowest").alias("x")), "shingle")
         all_first = F.min(F.col("x.key") == F.col("y.key"))
         stay = beside.groupBy(F.col("y.key").alias("key")).agg(all_first.alias("first")).where("first").select("key")
         stay = write_out(stay, "kept-texts")
-        pairs = beside.where("x.key <> y.key").join(stay, F.col("x.key") == F.col("key"), "left_semi")
+        led = beside.join(stay, F.col("x.key") == F.col("key"), "left_semi")
+        pairs = led.where(F.col("x.key") != F.col("y.key")).where(_may_be_similar("x", "y", similarity))
+        pairs = write_out(pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct(), "possible-pairs")
         out = write_out(similar(pairs).select(F.col("b").alias("key")).distinct(), "similar-texts")
         gone = gone.unionByName(out)
-        left = buckets.join(stay.unionByName(out), "key", "left_anti").select(buckets.columns)
-        following = write_out(_met(left), "shared-shingles")
-        discard(buckets, stay)
+        left = buckets.join(stay.unionByName(out), F.col("row.key") == F.col("key"), "left_anti")
+        left = left.join(groups.select("shingle"), "shingle", "left_semi")
+        following = write_out(left, "shared-shingles")
+        discard(buckets, stay, pairs)
         buckets = following
     stay = texts.join(gone, "key", "left_anti").select("place.*")
     stay = stay.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
     keyed = docs.withColumns({"__text_key": key, "__place": F.col(doc_id)})
     same = F.col("__place").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))
-    one = keyed.join(stay, same, "left_semi").dropDuplicates(["__place", "__text_key"])
-    return one.select(docs.columns)
+    return one_of_each(keyed.join(stay, same, "left_semi"), "__place", "__text_key").select(docs.columns)

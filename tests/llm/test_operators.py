@@ -365,6 +365,42 @@ def test_every_similar_pair_is_found(documents, monkeypatch, per_row):
     assert got == plain_survivors(rows) and 60 < len(got) < 150
 
 
+@pytest.mark.parametrize("per_row", [0, simhash.PAIRS_PER_ROW])
+def test_pairs_compared_grow_as_the_texts(spark, monkeypatch, per_row):
+    """Texts of two of twelve paragraphs and an ending of their own, none similar, and a copy of every tenth."""
+    import random
+
+    rng = random.Random(3)
+    parts = [" ".join(f"t{p}x{k}" for k in range(60)) for p in range(12)]
+    written, listed = simhash.write_out, []
+
+    def counting(df, label):
+        table = written(df, label)
+        if label == "possible-pairs":
+            listed[-1] += table.count()
+        return table
+
+    monkeypatch.setattr(simhash, "write_out", counting)
+    monkeypatch.setattr(simhash, "PAIRS_PER_ROW", per_row)
+    for n in (500, 1000, 2000):
+        rows = [(i, " ".join([*rng.sample(parts, 2), *(f"own{i}x{k}" for k in range(20))])) for i in range(n)]
+        rows += [(n + i, text + " more") for i, text in rows[::10]]
+        listed.append(0)
+        kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+        assert kept.agg(F.count("*"), F.max("doc_id")).first() == (n, n - 1)
+    assert all(p <= n / 5 for p, n in zip(listed, (500, 1000, 2000)))
+
+
+def test_blocks_of_large_groups_lose_no_pair(documents, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIR_BLOCK", 3)
+    monkeypatch.setattr(simhash, "PAIRS_PER_ROW", 10**6)
+    base = [f"w{k}" for k in range(100)]
+    rows = [(i, " ".join(base + [f"own{i}"] * (i % 4))) for i in range(40)]
+    rows += [(100 + i, " ".join(base[: 50 + i])) for i in range(45)]
+    _, df = documents(rows=rows)
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each(df).collect()) == plain_survivors(rows)
+
+
 # URLs -----------------------------------------------------------------------------------------
 
 
