@@ -4,8 +4,8 @@ A window is ``size`` consecutive words of one document.  Windows that repeat sha
 ``anchor``-word runs in a window the one with the smallest hash.  A first pass counts anchors in count-min
 sketches, one for each part of the input, which are merged part by part of the sketch.  Counts are
 overestimates, so a window that repeats always has an anchor that is estimated repeated.  A second pass
-deals out only the windows of such anchors and groups them exactly by their hashes; nothing is lost,
-whatever the sketch says.
+deals out only the windows of such anchors and groups them exactly, by a 128-bit digest (XXH3) of their very words;
+nothing is lost, whatever the sketch says, and anchors with equal hashes bring no unlike windows together.
 
 The sketch keeps one bit for each counter, "more than once".  Its size follows the number of words up to
 ``MAX_COUNTERS``; where more anchors than that crowd it, more windows are grouped, with the same result.
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from evidence_lake.llm import wordwise
 from evidence_lake.llm.arrow import bounded_batches
+from evidence_lake.llm.columns import others
 from evidence_lake.session import write_out
 
 WINDOW, ANCHOR = 20, 8
@@ -54,11 +55,24 @@ class Windows:
         self.position = np.arange(len(words)) - first[self.text]
         n = max(len(words) - size + 1, 0)
         self.valid = self.position[:n] + size <= counts[self.text[:n]]
-        self.hashes = wordwise.run_hashes(words, size)
+        self.starts, self.ends, self.data = starts, ends, data
         self.runs = wordwise.run_hashes(words, anchor)
         self.smallest = wordwise.sliding(self.runs, size - anchor + 1, np.minimum)
         self.size, self.anchor = size, anchor
 
+    def digests(self, at: np.ndarray) -> np.ndarray:
+        """128-bit digests (two numbers each) of the words, joined by a space, of the windows at these words."""
+        import xxhash
+
+        data = self.data.tobytes()
+        joined = b" ".join([data[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist())])
+        ends = np.cumsum(self.ends - self.starts + 1) - 1
+        first = ends[at] - (self.ends[at] - self.starts[at])
+        last = ends[at + self.size - 1]
+        digest = xxhash.xxh3_128_digest
+        packed = b"".join([digest(joined[a:b]) for a, b in zip(first.tolist(), last.tolist())])
+        return np.frombuffer(packed, dtype=np.uint64).reshape(-1, 2)
+
     def anchors(self) -> np.ndarray:
         """The hash at each place that is the anchor of some window."""
         reach = self.size - self.anchor + 1
@@ -133,11 +147,21 @@ def repeated_anchors(texts: DataFrame, size: int, anchor: int, bits: int) -> byt
     return bytes(out)
 
 
-def _first_of(hashes: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
-    """For each hash whether it occurred before in the array at another place."""
-    _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    origin = first[inverse]
-    other = np.zeros(len(hashes), dtype=bool)
+def _firsts(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each digest the first row that has it, and these rows."""
+    order = np.lexsort((digests[:, 1], digests[:, 0]))
+    in_order = digests[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (in_order[1:] != in_order[:-1]).any(axis=1)
+    first = np.empty(len(order), dtype=np.int64)
+    first[order] = order[new][np.cumsum(new) - 1]
+    return first, order[new]
+
+
+def _occurred(digests: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
+    """For each digest whether it occurred before in the array at another place."""
+    origin, _ = _firsts(digests)
+    other = np.zeros(len(digests), dtype=bool)
     for place in places:
         other |= place[origin] != place
     return other
@@ -188,16 +212,16 @@ def _candidates(size: int, anchor: int, bits: int, sketch):
                 at, values, change = at[wanted], values[wanted], change[wanted]
                 if not len(at):
                     continue
-                text, hashes = w.text[at], w.hashes[at]
+                text, hashes = w.text[at], w.digests(at)
                 id_, key, pos = ids[low:high][text], keys[low:high][text], w.position[at]
                 # repeats within the slice, whose texts are in order, are settled here
-                known = _first_of(hashes, [id_, key, pos])
+                known = _occurred(hashes, [id_, key, pos])
                 rows = _starts(change, PER_ROW)
                 n = np.diff(np.append(rows, len(at)))
                 bit = np.arange(len(at)) - np.repeat(rows, n)
                 gone = np.add.reduceat(np.where(known, 1 << bit, 0), rows)
                 kept = np.add.reduceat((~known).astype(np.int64), rows)
-                ends = np.concatenate([[0], np.cumsum(kept)]) * 8
+                ends = np.concatenate([[0], np.cumsum(kept)]) * 16
                 packed = pa.BinaryArray.from_buffers(
                     pa.binary(), len(rows), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(hashes[~known].tobytes())]
                 )
@@ -228,8 +252,8 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ]
         data = batch.column(6).buffers()[2]
         data = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
-        own = np.frombuffer(data.tobytes(), dtype=np.uint64)
-        per_row = np.diff(offsets) // 8
+        own = np.frombuffer(data.tobytes(), dtype=np.uint64).reshape(-1, 2)
+        per_row = np.diff(offsets) // 16
         row = np.repeat(np.arange(len(anchor)), per_row)
         # an absolute place per window: bits that are not settled yet, in order
         free = (gone[:, None] >> np.arange(PER_ROW)) & 1 == 0
@@ -245,13 +269,14 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = np.concatenate([c_hashes, own])
             w_id, w_key, w_pos = np.concatenate([c_id, w_id]), np.concatenate([c_key, w_key]), np.concatenate([c_pos, w_pos])
             w_anchor = np.concatenate([np.full(before, carried[0]), w_anchor])
-        repeats = _first_of(hashes, [w_id, w_key, w_pos]) if len(hashes) else np.zeros(0, bool)
+        repeats = _occurred(hashes, [w_id, w_key, w_pos])
         new = gone.astype(np.int64)
         np.bitwise_or.at(new, row, np.where(repeats[before:], 1 << bit, 0))
         last = w_anchor == anchor[-1]
         if last.any():
-            h, first = np.unique(hashes[last], return_index=True)
-            carried = (anchor[-1], h, w_id[last][first], w_key[last][first], w_pos[last][first])
+            _, first = _firsts(hashes[last])
+            first = np.sort(first)
+            carried = (anchor[-1], hashes[last][first], w_id[last][first], w_key[last][first], w_pos[last][first])
         elif carried is not None and carried[0] != anchor[-1]:
             carried = None
         some = new > 0
@@ -319,7 +344,7 @@ def dedup_passages(
     in the same; windows are those of the input.  NULL and empty texts have no words, and texts of fewer
     than ``size`` words have no windows.  Documents are in order of doc_id, NULL first; rows that repeat a
     doc_id are ordered by a hash of their texts, and rows equal in both count as one document, so that
-    each gets the same result.  Columns of ``docs`` with the new names are replaced.
+    each gets the same result.  Columns of ``docs`` with the new names (in any letter case) are replaced.
     """
     if not 1 <= anchor <= size:
         raise ValueError("anchor must lie between 1 and size")
@@ -328,13 +353,11 @@ def dedup_passages(
     key = F.xxhash64(F.col(text), F.col(doc_id).isNull())
     found = later_windows(docs.select(id_.alias("id"), key.alias("key"), F.col(text).alias("text")), size, anchor)
     out = ("n_words", "n_removed", "kept_text", "kept_sha256")
-    keyed = docs.drop(*out, "__id", "__key").withColumns({"__id": id_, "__key": key})
-    joined = keyed.join(
-        found.withColumnsRenamed({"id": "__found_id", "key": "__found_key", "runs": "__runs"}),
-        (F.col("__id") == F.col("__found_id")) & (F.col("__key") == F.col("__found_key")),
-        "left",
-    )
+    names = [n for n in docs.columns if n.lower() not in out]
+    rows = docs.select(F.struct(*others(docs, (*out, text))).alias("row"), F.col(text).alias("text"), id_.alias("id"), key.alias("key"))
+    found = found.withColumnsRenamed({"id": "found_id", "key": "found_key"})
+    joined = rows.join(found, (F.col("id") == F.col("found_id")) & (F.col("key") == F.col("found_key")), "left")
     kind = "n_words bigint, n_removed bigint, kept_text string, kept_sha256 string"
-    reduced = joined.withColumn("__r", F.arrow_udf(_reduce(size), kind)(F.col(text), F.col("__runs")))
-    names = [n for n in docs.columns if n not in out]
-    return reduced.select(*names, *[F.col(f"__r.{n}").alias(n) for n in out])
+    reduced = joined.select("row", "text", F.arrow_udf(_reduce(size), kind)("text", "runs").alias("reduced"))
+    own = [F.col("text" if n.lower() == text.lower() else f"row.`{n}`").alias(n) for n in names]
+    return reduced.select(*own, "reduced.*")

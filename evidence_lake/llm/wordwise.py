@@ -13,8 +13,7 @@ BREAK[[0x20, *range(0x09, 0x0E)]] = True
 
 #: Bytes that one pass of numpy works on, unless a single text is longer.
 SLICE = 2 << 20
-_BLOCK = 1 << 20
-_LONG_WORD = 1 << 16
+_LONG_WORD = 64
 
 _BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD1342543DE82EF95
@@ -39,7 +38,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_bytes_powers, _words_powers = _Powers(_BASE), _Powers(_WORD_BASE)
+_words_powers = _Powers(_WORD_BASE)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -82,22 +81,22 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash for each word's bytes."""
-    out = np.empty(len(starts), dtype=np.uint64)
-    at = 0
-    while at < len(starts):
-        low = starts[at]
-        end = max(at + 1, int(np.searchsorted(ends, low + _BLOCK, side="right")))
-        if ends[at] - low > _LONG_WORD:
-            end = at + 1
-        block = data[low : ends[end - 1]]
-        s, e = starts[at:end] - low, ends[at:end] - low
-        sums = np.zeros(len(block) + 1, dtype=np.uint64)
-        up, down = _bytes_powers.upto(len(block))
-        np.cumsum((block.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-        out[at:end] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
-        at = end
-    return mix(out)
+    """A 64-bit hash for each word's bytes: eight at a time, mixed in between; XXH64 for long words."""
+    import xxhash
+
+    size = ends - starts
+    out = size.astype(np.uint64) * np.uint64(_BASE)
+    eights = np.ndarray(len(data) + 1, dtype="<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    left, at = np.flatnonzero(size <= _LONG_WORD), 0
+    while len(left):
+        part, rest = eights[starts[left] + at], size[left] - at
+        cut = rest < 8
+        part[cut] &= (np.uint64(1) << (8 * rest[cut]).astype(np.uint64)) - np.uint64(1)
+        out[left] = mix(out[left] ^ part) + np.uint64(_WORD_BASE)
+        left, at = left[rest > 8], at + 8
+    for k in np.flatnonzero(size > _LONG_WORD).tolist():
+        out[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]].tobytes())
+    return out
 
 
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:

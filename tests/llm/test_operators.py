@@ -126,6 +126,53 @@ def test_a_crowded_sketch_loses_nothing(documents, monkeypatch):
     test_passages(documents, 5, 2)
 
 
+def _thue_morse(n, a, b):
+    return "".join((a, b)[bin(k).count("1") & 1] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [4, 60, 64, 65, 1024, 4096])
+def test_words_that_polynomial_hashes_mix_up(documents, n):
+    """Words of these kinds have equal polynomial hashes modulo powers of two, whatever the base."""
+    first, second = _thue_morse(n, "a", "b"), _thue_morse(n, "b", "a")
+    before = " ".join(f"w{k}" for k in range(19))
+    rows = [(1, f"{before} {first}"), (2, f"{before} {second}"), (3, f"{before} {first}")]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.dedup_passages(documents(rows=rows)[1]).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
+    windows = [[f"{a}{k % 3}" if bit else f"{b}{k % 3}" for k, bit in enumerate(map("b".__eq__, _thue_morse(64, "a", "b")))] for a, b in ("xy", "yx")]
+    rows = [(k, " ".join(w)) for k, w in enumerate(windows)]
+    want = plain.passages(rows, 64)
+    assert all(r.n_removed == len(want[r.doc_id][1]) for r in substring_dedup.dedup_passages(documents(rows=rows)[1], 64).collect())
+
+
+def test_equal_anchor_hashes_bring_no_windows_together(documents, monkeypatch):
+    """Exact grouping does not lean on the hashes of words and runs: with a few values only, results stay."""
+    from evidence_lake.llm import wordwise
+
+    few = wordwise.mix
+    monkeypatch.setattr(wordwise, "word_hashes", lambda data, starts, ends: few((ends - starts).astype(np.uint64) % np.uint64(2)))
+    rows, _ = documents(60, seed=2)
+    texts = [t for _, t in rows]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([0] * len(rows), pa.int64()), pa.array(texts)], names=["id", "key", "text"])
+
+    class Everything:  # a sketch with all bits set
+        value = b"\xff" * (2 << 17)
+
+    found = list(substring_dedup._candidates(6, 3, 17, Everything)(iter([batch])))
+    import pyarrow.compute as pc
+
+    table = pa.Table.from_batches(found)
+    table = table.take(pc.sort_indices(table, [(n, "ascending") for n in ("anchor", "id", "key", "pos")]))
+    runs = defaultdict(list)
+    for part in substring_dedup._later(iter(table.to_batches(max_chunksize=50))):
+        for r in part.to_pylist():
+            runs[r["id"]].append(r)
+    want = plain.passages(rows, 6)
+    for i, (words, gone) in want.items():
+        assert set(np.flatnonzero(substring_dedup.removed_words(len(words), runs[i], 6)) if runs[i] else []) == gone
+
+
 def test_passages_of_odd_rows(documents):
     _, df = documents(rows=ODD)
     got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.dedup_passages(df, 3, 2).collect())
@@ -401,6 +448,41 @@ def test_blocks_of_large_groups_lose_no_pair(documents, monkeypatch):
     assert sorted(r.doc_id for r in simhash.keep_one_of_each(df).collect()) == plain_survivors(rows)
 
 
+# names ----------------------------------------------------------------------------------------
+
+#: Names that operators give columns of their own on the way, and names of results in another letter case.
+CLASHES = {
+    "passages": (substring_dedup.dedup_passages, "row id key found_id found_key runs reduced N_Removed N_Words Kept_Text KEPT_SHA256 anchor pos gone"),
+    "lines": (line_dedup.dedup_lines, "row id key lines removed found_id found_key text_key w h1 h2 first N_Lines N_Removed line"),
+    "one_of_each": (simhash.keep_one_of_each, "row key place n pos shingle made rows lowest short x y __Place1 lefts rights"),
+    "contamination": (
+        lambda df: decontamination.find_contamination(df, df.select(F.lit("1").alias("item_id"), "text")),
+        "key print item_no spans size w N_Hit N_Words Item_Ids found",
+    ),
+    "urls": (lambda df: url_filter.judge_urls(df, url_filter.DEFAULT_RULES, "text"), "Host PATH Rule Verdict token literals rule_no regex tier n"),
+    "quality": (
+        lambda df: quality.score_documents(df, df.select("doc_id", F.lit(1).alias("quality"))),
+        "Score Held_Out PREDICTED features label x y _idd",
+    ),
+}
+
+
+@pytest.mark.parametrize("name", CLASHES)
+def test_clashing_names(spark, name):
+    operator, names = CLASHES[name]
+    extra = names.split()
+    text = "one two three\nfour five six\nseven eight nine\nten"
+    rows = [(i, text, *["own"] * len(extra)) for i in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in extra))
+    out = operator(df)
+    lower = [n.lower() for n in out.columns]
+    assert len(set(lower)) == len(lower) and {"doc_id", "text"} <= set(lower)
+    plain_names = operator(df.select("doc_id", "text")).columns
+    for row in out.collect():
+        assert all(row[n] == "own" for n in extra if n.lower() not in map(str.lower, plain_names))
+        assert all(n in out.columns for n in plain_names)
+
+
 # URLs -----------------------------------------------------------------------------------------
 
 
