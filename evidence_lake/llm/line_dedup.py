@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidence_lake.llm.columns import let, text_key, upto
+from evidence_lake.llm.columns import let, others, text_key, upto
 from evidence_lake.session import write_out
 
 WINDOW = 3
@@ -61,21 +61,23 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", tex
     not all blank, so texts with fewer lines stay as they are.  NULL texts have no lines and stay NULL;
     an empty text is one empty line.  NULL doc_ids come first in the order.  Rows that repeat a doc_id
     are ordered by a hash of their texts; rows equal in both count as one document.  Other columns are
-    kept; columns named n_lines or n_removed are replaced.
+    kept; columns named n_lines or n_removed (in any letter case) are replaced.
     """
-    removed = later_lines(docs, size, doc_id, text).withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
-    split = docs.drop("n_lines", "n_removed").withColumns(
-        {"__lines": F.split(text, "\n"), "__text_key": text_key(F.col(text))}
+    new = ("n_lines", "n_removed")
+    names = [n for n in docs.columns if n.lower() not in new]
+    removed = later_lines(docs, size, doc_id, text).withColumnsRenamed({"doc_id": "found_id", "text_key": "found_key"})
+    split = docs.select(
+        F.struct(*others(docs, (*new, text))).alias("row"),
+        F.col(doc_id).alias("id"),
+        text_key(F.col(text)).alias("key"),
+        F.split(text, "\n").alias("lines"),
     )
-    joined = split.drop(text).join(
-        removed, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left"
-    )
-    lines, gone = F.col("__lines"), F.col("removed")
+    same = F.col("id").eqNullSafe(F.col("found_id")) & (F.col("key") == F.col("found_key"))
+    lines, gone = F.col("lines"), F.col("removed")
     kept = F.transform(F.array_except(upto(F.size(lines)), gone), lambda i: F.get(lines, i))
-    columns = {
-        text: F.when(gone.isNull(), F.array_join(lines, "\n")).otherwise(F.array_join(kept, "\n")),
-        "n_lines": F.when(lines.isNull(), 0).otherwise(F.size(lines)).cast("long"),
-        "n_removed": F.coalesce(F.size(gone), F.lit(0)).cast("long"),
-    }
-    names = [n for n in docs.columns if n not in ("n_lines", "n_removed")] + ["n_lines", "n_removed"]
-    return joined.select([columns[n].alias(n) if n in columns else F.col(n) for n in names])
+    shown = F.when(gone.isNull(), F.array_join(lines, "\n")).otherwise(F.array_join(kept, "\n"))
+    return split.join(removed, same, "left").select(
+        *[shown.alias(n) if n.lower() == text.lower() else F.col("row")[n].alias(n) for n in names],
+        F.when(lines.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),
+    )
