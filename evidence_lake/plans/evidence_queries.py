@@ -9,12 +9,12 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidence_lake import fixed_values as V
 from evidence_lake.operators import claims as C
-from evidence_lake.operators import confidence, evidence, prompts, provenance, retrieval, validation
+from evidence_lake.operators import confidence, evidence, grounding, prompts, provenance, retrieval, validation
 from evidence_lake.operators.model_calls import ModelError, ModelProvider
 from evidence_lake.plans import evidence_flow
 from evidence_lake.plans.document_queries import EMBEDDED_SQL, PLAIN_CHUNKS_SQL, LetterCounts, plain_chunks
@@ -217,22 +217,28 @@ def run_evidence_prompts(spark: SparkSession, folder: str) -> DataFrame:
 # --- evidence -----------------------------------------------------------------------------
 
 
+def _cited(index: Column) -> Column:
+    """The chunk that chunk ``index`` is cited from: itself, the one before, or one halfway up."""
+    halfway = F.floor(index / 2)
+    return F.when(index % 3 == 0, index).when(index % 3 == 1, index - 1).otherwise(halfway).cast("string")
+
+
 def _line_drafts(chunks: DataFrame) -> DataFrame:
-    """Every chunk of a document cited as evidence from the document's first chunk."""
+    """Every chunk of a document cited as evidence, from some chunk of the document."""
     return chunks.select(
         F.col("document_id").alias("claim_id"),
         F.col("index").alias("ordinal"),
         # spaces for line breaks: verbatim only up to whitespace
         F.regexp_replace("text", "\n+", "  ").alias("text"),
-        F.concat("document_id", F.lit("/0")).alias("chunk_id"),
+        F.concat("document_id", F.lit("/"), _cited(F.col("index"))).alias("chunk_id"),
         F.when(F.length("text") > 500, "supported").when(F.length("text") > 100, "inconclusive").otherwise("unsupported").alias("status"),
     )
 
 
-def _first_chunks(chunks: DataFrame) -> DataFrame:
-    firsts = chunks.filter("index = 0")
-    return firsts.select(
-        F.col("document_id").alias("claim_id"), F.concat("document_id", F.lit("/0")).alias("chunk_id"),
+def _source_chunks(chunks: DataFrame) -> DataFrame:
+    """All chunks of a document, which its claim refers to."""
+    return chunks.select(
+        F.col("document_id").alias("claim_id"), F.concat("document_id", F.lit("/"), "index").alias("chunk_id"),
         "document_id", "page_number", "text",
     )
 
@@ -240,14 +246,15 @@ def _first_chunks(chunks: DataFrame) -> DataFrame:
 _GROUND_SQL = f"""
     {PLAIN_CHUNKS_SQL},
     pairs AS (SELECT c.document_id AS claim_id, c.index AS ordinal, regexp_replace(c.text, chr(10) || '+', '  ', 'g') AS text,
-                f.text AS source, CASE WHEN length(c.text) > 500 THEN 'supported' WHEN length(c.text) > 100 THEN 'inconclusive' ELSE 'unsupported' END AS status
-              FROM chunks c JOIN chunks f ON f.document_id = c.document_id AND f.index = 0),
+                f.text AS source, f.index AS cited, CASE WHEN length(c.text) > 500 THEN 'supported' WHEN length(c.text) > 100 THEN 'inconclusive' ELSE 'unsupported' END AS status
+              FROM chunks c JOIN chunks f ON f.document_id = c.document_id
+                AND f.index = CASE c.index % 3 WHEN 0 THEN c.index WHEN 1 THEN c.index - 1 ELSE c.index // 2 END),
     tok AS (SELECT *, {sql_collapse("text")} AS ne, {sql_collapse("source")} AS ns,
               regexp_extract_all(lower({sql_collapse("text")}), '[\\p{{L}}\\p{{N}}_]+') AS te,
               list_distinct(regexp_extract_all(lower({sql_collapse("source")}), '[\\p{{L}}\\p{{N}}_]+')) AS ts FROM pairs),
     gr AS (SELECT *, contains(ns, ne) OR (len(te) > 0 AND len(list_filter(te, lambda t: list_contains(ts, t))) / len(te) >= 0.6) AS grounded FROM tok),
     ev AS (SELECT claim_id, ordinal, grounded, CASE WHEN grounded THEN text END AS text,
-             CASE WHEN grounded THEN claim_id || '/0' END AS chunk_id, CASE WHEN grounded THEN claim_id END AS document_id,
+             CASE WHEN grounded THEN claim_id || '/' || cited END AS chunk_id, CASE WHEN grounded THEN claim_id END AS document_id,
              CASE WHEN grounded THEN 1 END AS page_number,
              CASE WHEN NOT grounded AND status = 'supported' THEN 'unsupported' ELSE status END AS status,
              sha1(from_hex('6f2f6e0a9d3f4b8a9c0a9a2e5b7d5a1e') || encode('evidence:' || claim_id || ':' || ordinal)) AS eh FROM gr)
@@ -256,7 +263,7 @@ _GROUND_SQL = f"""
 
 def _line_evidence(spark: SparkSession, folder: str) -> DataFrame:
     chunks = write_out(plain_chunks(spark, folder), "chunks")
-    return evidence.ground(_line_drafts(chunks), _first_chunks(chunks))
+    return evidence.ground(_line_drafts(chunks), _source_chunks(chunks))
 
 
 @query("grounding", f"""
@@ -264,12 +271,28 @@ def _line_evidence(spark: SparkSession, folder: str) -> DataFrame:
 def run_grounding(spark: SparkSession, folder: str) -> DataFrame:
     chunks = write_out(plain_chunks(spark, folder), "chunks")
     source = F.col("text")
-    firsts = _first_chunks(chunks).select("claim_id", source.alias("source"), evidence.source_words(source).alias("words"))
-    pairs = _line_drafts(chunks).join(firsts, "claim_id")
+    sources = _source_chunks(chunks).select("claim_id", "chunk_id", source.alias("source"), evidence.source_words(source).alias("words"))
+    pairs = _line_drafts(chunks).join(sources, ["claim_id", "chunk_id"])
     grounded = evidence.is_grounded(F.col("text"), F.col("source"), F.col("words"))
     return pairs.select("claim_id", "ordinal", grounded.alias("grounded"))
 
 
+@query("grounded_anywhere", rf"""
+    WITH RECURSIVE {PLAIN_CHUNKS_SQL},
+    places AS (SELECT document_id || '/' || index AS chunk_id, {sql_collapse("text")} AS source FROM chunks),
+    items AS (SELECT CAST(item_id AS VARCHAR) AS passage_id, {sql_collapse("text")} AS passage FROM benchmark),
+    said AS (SELECT passage_id, unnest(regexp_extract_all(lower(passage), '[\p{{L}}\p{{N}}_]+')) AS word FROM items),
+    known AS (SELECT passage_id, word, count(*) AS times, sum(count(*)) OVER (PARTITION BY passage_id) AS size FROM said GROUP BY passage_id, word),
+    there AS (SELECT chunk_id, unnest(list_distinct(regexp_extract_all(lower(source), '[\p{{L}}\p{{N}}_]+'))) AS word FROM places),
+    enough AS (SELECT passage_id, chunk_id FROM known JOIN there USING (word) GROUP BY passage_id, chunk_id, size HAVING sum(times) / size >= 0.6)
+    SELECT passage_id, chunk_id FROM enough UNION SELECT passage_id, chunk_id FROM items JOIN places ON contains(source, passage) WHERE passage <> ''""")
+def run_grounded_anywhere(spark: SparkSession, folder: str) -> DataFrame:
+    """All chunks of all documents in which each benchmark item is found."""
+    items = table(spark, folder, "benchmark").select(F.col("item_id").cast("string").alias("passage_id"), "text")
+    chunks = plain_chunks(spark, folder).select(F.concat("document_id", F.lit("/"), "index").alias("chunk_id"), "text")
+    return grounding.ground_everywhere(items, chunks)
+
+
 @query("grounded_evidence", f"""
     WITH RECURSIVE {_GROUND_SQL}
     SELECT {_UUID_OF.format(h="eh")} AS evidence_id, claim_id, ordinal, md5(text) AS text_digest, chunk_id, document_id, page_number, status FROM ev""")
