@@ -19,7 +19,7 @@ from evidence_lake.operators.model_calls import ModelError, ModelProvider
 from evidence_lake.plans import evidence_flow
 from evidence_lake.plans.document_queries import EMBEDDED_SQL, PLAIN_CHUNKS_SQL, LetterCounts, plain_chunks
 from evidence_lake.plans.registry import query, sql_collapse, table
-from evidence_lake.session import write_out
+from evidence_lake.session import new_table_path, write_out
 
 _MIN = 0.2  # the supplied vectors are far apart; the usual 0.7 finds only equal ones
 
@@ -83,10 +83,22 @@ def run_topk_per_query(spark: SparkSession, folder: str) -> DataFrame:
     WITH {_SCORES_SQL}
     SELECT query_id, rank, chunk_id, round(score, 6) AS score, total_found FROM r WHERE rank <= 5""")
 def run_topk_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """More questions than fit the budget: several groups, one after the other."""
+    """More questions than fit the budget of a block: several blocks, all in one scan."""
     return _hits(spark, folder, query_bytes=1 << 17).withColumn("score", F.round("score", 6))
 
 
+@query("pruned_topk", f"""
+    WITH {_SCORES_SQL.replace(">= 0.2", ">= 0.7")}
+    SELECT query_id, rank, chunk_id, round(score, 6) AS score, total_found FROM r WHERE rank <= 5""")
+def run_pruned_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """From a stored index, whose clusters out of reach of every question are not opened."""
+    vectors = _vectors(spark, folder)
+    path = new_table_path(spark, "stored-index")
+    retrieval.write_index(vectors.select("chunk_id", "idx", "embedding"), path, clusters=64)
+    hits = retrieval.StoredIndex(spark, path).retrieve(vectors.select("query_id", "embedding"), min_score=0.7)
+    return hits.withColumn("score", F.round("score", 6))
+
+
 def _chunk_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as one-page chunks."""
     return table(spark, folder, "documents").select(
