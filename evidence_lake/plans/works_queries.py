@@ -315,10 +315,33 @@ def run_collisions(spark: SparkSession, folder: str) -> DataFrame:
     answers = texts(spark, folder, "documents").select(
         F.col("doc_id").alias("payload_id"), F.concat(F.lit('{"results":['), item, F.lit("]}")).alias("payload")
     )
-    works = W.search(answers, "openalex", deduplicate=False).where("abstract is not null")
+    works = W.with_abstract(W.search(answers, "openalex", deduplicate=False))
     return works.select("seq.answer", F.md5("abstract").alias("abstract_digest"))
 
 
+@query("quarantined_answers", """
+    SELECT doc_id AS answer, CASE WHEN doc_id % 5 < 2 THEN 'refused' ELSE 'accepted' END AS route,
+      CASE WHEN doc_id % 5 >= 2 THEN md5(trim(source)) END AS title_digest,
+      CASE doc_id % 5 WHEN 0 THEN md5('{"results":"' || source) WHEN 1 THEN md5('{"answer":[]}') END AS payload_digest,
+      CAST(count(*) FILTER (doc_id % 5 >= 2) OVER () AS BIGINT) AS accepted, CAST(count(*) FILTER (doc_id % 5 < 2) OVER () AS BIGINT) AS refused
+    FROM documents""")
+def run_quarantined(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers cut short or without works are set aside by the job that lands the others."""
+    work = F.to_json(F.struct(F.col("source").alias("title"), F.map_from_arrays(F.array("text"), F.array(F.array(F.lit(0)))).alias("abstract_inverted_index")))
+    payload = (
+        F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit('{"results":"'), "source"))
+        .when(F.col("doc_id") % 5 == 1, F.lit('{"answer":[]}'))
+        .otherwise(F.concat(F.lit('{"results":['), work, F.lit("]}")))
+    )
+    answers = table(spark, folder, "documents").select(F.col("doc_id").alias("payload_id"), payload.alias("payload"))
+    landed = W.land_answers(answers, "openalex", new_table_path(spark, "landed-answers"))
+    works = W.search(landed.payloads(), "openalex", deduplicate=False)
+    nothing = F.lit(None).cast("string")
+    kept = works.select("seq.answer", F.lit("accepted").alias("route"), F.md5("title").alias("title_digest"), nothing.alias("payload_digest"))
+    aside = landed.malformed().select(F.col("payload_id").alias("answer"), F.lit("refused").alias("route"), nothing.alias("title_digest"), F.md5("payload").alias("payload_digest"))
+    return kept.unionByName(aside).select("*", F.lit(landed.accepted).cast("long").alias("accepted"), F.lit(landed.refused).cast("long").alias("refused"))
+
+
 def crossref_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """Pages as Crossref answers: one work each, lacking different fields by language."""
     host = F.regexp_extract("url", "://([^/]+)/", 1)

@@ -7,10 +7,12 @@ functions take streaming DataFrames too.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from evidence_lake import fixed_values as V
@@ -68,24 +70,31 @@ def number_works(works: DataFrame) -> DataFrame:
     return works.select("*", place.alias("seq"))
 
 
-def _items(payloads: DataFrame, envelope: str, items: Callable[[Column], Column]) -> DataFrame:
-    return payloads.withColumn("items", items(F.from_json("payload", envelope)))
+def _items(source: str, refuse: bool = False) -> Column:
+    """The list of works of an answer, NULL without one, or failing the query with ``refuse``."""
+    _, envelope, items, _ = _SOURCES[source]
+    found = items(F.from_json("payload", envelope))
+    if not refuse:
+        return found
+    answer = F.to_json(F.struct("payload_id"))
+    return F.coalesce(found, F.raise_error(F.concat(F.lit(f"answer of {source} without a list of works: "), answer)).cast("array<string>"))
 
 
-def _explode_items(payloads: DataFrame, schema: str) -> DataFrame:
-    """One row per work object; list members that are not objects are skipped."""
-    return (
-        payloads.select("payload_id", F.posexplode("items").alias("pos", "item"))
-        .filter(F.json_object_keys("item").isNotNull())
-        .select(F.struct(F.col("payload_id").alias("answer"), "pos").alias("seq"), F.from_json("item", schema).alias("w"))
-    )
+def _explode_items(payloads: DataFrame, source: str, refuse: bool) -> DataFrame:
+    """One row per work object; list members that are not objects are skipped.
+
+    Answers and works are parsed in generators, which filters on what comes out of them are not pushed
+    through: whatever is asked of the works, each is parsed once.
+    """
+    listed = payloads.select("payload_id", F.posexplode_outer(_items(source, refuse)).alias("pos", "item"))
+    objects = listed.filter(F.json_object_keys("item").isNotNull())
+    place = F.struct(F.col("payload_id").alias("answer"), "pos").alias("seq")
+    return objects.select(place, F.explode(F.array(F.from_json("item", _SOURCES[source][3]))).alias("w"))
 
 
 def malformed_payloads(payloads: DataFrame, source: str) -> DataFrame:
     """Answers without a list of works, which the sources below leave out."""
-    _, envelope, items, _ = _SOURCES[source]
-    parsed = _items(payloads, envelope, items)
-    return parsed.filter(F.col("items").isNull()).drop("items")
+    return payloads.filter(_items(source).isNull())
 
 
 def rebuild_abstract(index: Column) -> Column:
@@ -117,12 +126,19 @@ def rebuild_abstract(index: Column) -> Column:
     return F.get(F.transform(F.array(F.sort_array(placed)), read_off), F.lit(0))
 
 
-def openalex_works(payloads: DataFrame) -> DataFrame:
-    """Payload table -> normalized works."""
+def with_abstract(works: DataFrame) -> DataFrame:
+    """Works that have an abstract; unlike a filter, this rebuilds each abstract once."""
+    others = [c for c in works.columns if c != "abstract"]
+    there = works.select(*others, F.explode(F.array_compact(F.array("abstract"))).alias("abstract"))
+    return there.select(works.columns)
+
+
+def openalex_works(payloads: DataFrame, refuse: bool = False) -> DataFrame:
+    """Payload table -> normalized works; ``refuse`` fails on answers without a list of works."""
     w = F.col("w")
     landing = w["primary_location"]["landing_page_url"]
     names = F.transform(w["authorships"], lambda a: a["author"]["display_name"])
-    works = _explode_items(_items(payloads, _OPENALEX_ENVELOPE, lambda p: p["results"]), _OPENALEX_WORK)
+    works = _explode_items(payloads, "openalex", refuse)
     return normalize_works(
         works.select(
             "seq",
@@ -145,7 +161,7 @@ def _first_year(date: Column) -> Column:
     return F.nullif(F.get(F.get(date["date-parts"], F.lit(0)), F.lit(0)), F.lit(0))
 
 
-def crossref_works(payloads: DataFrame) -> DataFrame:
+def crossref_works(payloads: DataFrame, refuse: bool = False) -> DataFrame:
     """Payload table -> normalized works; abstract markup is kept as it is."""
     w = F.col("w")
     link_urls = F.filter(F.transform(w["link"], lambda x: x["URL"]), lambda u: u.isNotNull())
@@ -154,7 +170,7 @@ def crossref_works(payloads: DataFrame) -> DataFrame:
         full = F.concat_ws(" ", T.blank_to_null(a["given"]), T.blank_to_null(a["family"]))
         return F.coalesce(T.blank_to_null(full), T.blank_to_null(a["name"]))
 
-    works = _explode_items(_items(payloads, _CROSSREF_ENVELOPE, lambda p: p["message"]["items"]), _CROSSREF_WORK)
+    works = _explode_items(payloads, "crossref", refuse)
     return normalize_works(
         works.select(
             "seq",
@@ -189,13 +205,48 @@ class UnknownProvider(ValueError):
     """No reader is registered under this provider name."""
 
 
-def _refuse_malformed(payloads: DataFrame, provider: str) -> DataFrame:
-    """``payloads``; reading an answer without a list of works fails the query."""
-    _, envelope, items, _ = _SOURCES[provider]
-    checked = F.when(items(F.from_json("payload", envelope)).isNotNull(), F.col("payload")).otherwise(
-        F.raise_error(F.concat(F.lit(f"answer of {provider} without a list of works: "), F.to_json(F.struct("payload_id"))))
-    )
-    return payloads.withColumn("payload", checked)
+@dataclass
+class LandedAnswers:
+    """Answers set down by one job: those with a list of works, the others, and how many there are of each."""
+
+    spark: SparkSession
+    path: str
+    accepted: int
+    refused: int
+    id_type: str
+
+    def _of(self, route: str) -> DataFrame:
+        rows = self.spark.read.schema(_LANDED).parquet(self.path)
+        return rows.where(F.col("route") == route).drop("route").withColumn("payload_id", F.from_json("payload_id", self.id_type)["id"])
+
+    def payloads(self) -> DataFrame:
+        """Accepted answers (payload_id, payload), for :func:`search` or the source's reader."""
+        return self._of("accepted")
+
+    def malformed(self) -> DataFrame:
+        """Refused answers (payload_id, payload) as they came."""
+        return self._of("refused")
+
+
+_LANDED = "payload_id string, payload string, route string"
+
+
+def land_answers(payloads: DataFrame, source: str, path: str) -> LandedAnswers:
+    """Set ``payloads`` down at ``path``, answers without a list of works apart from the others.
+
+    One job reads the answers once, writes both kinds to folders of their own and counts them on the way.
+    """
+    if source not in _SOURCES:
+        raise UnknownProvider(source)
+    spark = payloads.sparkSession
+    # a generator, so that the answer is parsed once for the folder and both counts
+    verdict = F.explode(F.array(F.when(_items(source).isNull(), "refused").otherwise("accepted")))
+    written = payloads.select(F.to_json(F.struct(F.col("payload_id").alias("id"))).alias("payload_id"), "payload", verdict.alias("route"))
+    counts = Observation(f"answers-{uuid.uuid4().hex}")
+    told = written.observe(counts, *[F.count_if(F.col("route") == r).alias(r) for r in ("accepted", "refused")])
+    told.write.partitionBy("route").parquet(path)
+    id_type = f"id {payloads.schema['payload_id'].dataType.simpleString()}"
+    return LandedAnswers(spark, path, counts.get["accepted"], counts.get["refused"], id_type)
 
 
 def search(
@@ -216,9 +267,9 @@ def search(
     readers = PROVIDERS if providers is None else providers
     if provider not in readers:
         raise UnknownProvider(provider)
-    if malformed == "fail" and provider in _SOURCES:
-        payloads = _refuse_malformed(payloads, provider)
-    works = readers[provider](payloads)
+    reader = readers[provider]
+    refuse = {"refuse": malformed == "fail"} if reader is PROVIDERS.get(provider) else {}
+    works = reader(payloads, **refuse)
     if not deduplicate:
         return works
     from evidence_lake.operators.dedup import deduplicate as fold

@@ -136,3 +136,51 @@ def test_streamed_payloads_give_the_same_works(spark, rows, tmp_path):
     again = ingest(stream_works(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "progress"))
     again.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2  # landed files count once
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("malformed", ["fail", "skip"])
+def test_answers_and_works_are_parsed_once(rows, malformed):
+    """Whatever is asked of the works; a filter on abstracts rebuilds them, ``with_abstract`` does not."""
+    answers = rows("payload_id int, payload string", (1, '{"results":[{"id":"w","title":" t ","abstract_inverted_index":{"b":[1],"a":[0]}},{"id":"v"},7]}'))
+    works = W.search(answers, "openalex", deduplicate=False, malformed=malformed)
+    for asked in (works, works.where("doi is null and title like 't%'"), works.where("abstract is not null"), W.with_abstract(works)):
+        assert _plan(asked).count("from_json(") == 2
+    assert _plan(W.with_abstract(works)).count("map_entries(") == 1
+    assert _plan(works).count("map_entries(") == 1
+    assert [r.abstract for r in W.with_abstract(works).collect()] == ["a b"]
+    assert W.with_abstract(works).columns == works.columns
+    assert works.count() == 2
+
+
+def test_landing_sets_malformed_answers_apart(spark, rows, tmp_path):
+    good = '{"results":[{"id":"w","title":"t"}]}'
+    answers = rows("payload_id struct<file: string, line: bigint>, payload string",
+                   (("a", 1), good), (("a", 2), "{"), (("b", 1), None), (("b", 2), '{"results":[]}'), (("b", 3), '{"message":{}}'))
+    landed = W.land_answers(answers, "openalex", f"{tmp_path}/answers")
+    assert (landed.accepted, landed.refused) == (2, 3)
+    assert sorted(tuple(r.payload_id) for r in landed.malformed().collect()) == [("a", 2), ("b", 1), ("b", 3)]
+    works = W.search(landed.payloads(), "openalex", deduplicate=False).collect()
+    assert [(tuple(r.seq.answer), r.title) for r in works] == [(("a", 1), "t")]
+    empty = W.land_answers(answers.limit(0), "crossref", f"{tmp_path}/none")
+    assert (empty.accepted, empty.refused, empty.payloads().count()) == (0, 0, 0)
+    with pytest.raises(W.UnknownProvider):
+        W.land_answers(answers, "elsewhere", f"{tmp_path}/x")
+
+
+def test_landing_reads_answers_once(spark, rows, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        read.add(1)
+        return x
+
+    answers = rows("payload_id int, payload string", (1, '{"results":[]}'), (2, "x"), (3, '{"results":[]}'))
+    from pyspark.sql import functions as F
+
+    watched = answers.select("payload_id", F.udf(seen, "string")("payload").alias("payload"))
+    W.land_answers(watched, "openalex", f"{tmp_path}/answers")
+    assert read.value == 3
