@@ -470,7 +470,7 @@ def keep_one_of_each(
     Texts are similar if their shingle sets have a Jaccard similarity of at least ``similarity``.  All such
     pairs are found: of similar texts of n and m shingles the first common one (rare ones first) leaves
     similarity / (1 + similarity) * (n + m) of both, itself included, so it is among the first ninth or so of the smaller
-    and the first fifth of the larger (at 0.8).  Pairs that meet so are compared in full.  Where groups of a
+    and the first fifth of the larger (at 0.8).  Pairs that meet so, and share enough of these, are compared in full.  Where groups of a
     shingle are large, texts that come first in all of their groups are compared with the others of these before
     pairs are listed, as long as that pays.
 
@@ -488,30 +488,43 @@ def keep_one_of_each(
     common = spark.sparkContext.broadcast(_common_shingles(keyed_texts, shingle))
     made = docs.select(key.alias("key"), place.alias("place"), _prefixes(content, shingle, similarity, common).alias("made"))
     rows = write_out(made.select("key", "place", "made.*"), "text-prefixes")
-    texts = write_out(rows.groupBy("key").agg(F.min("place").alias("place"), F.count("*").alias("rows")), "distinct-texts")
+    texts = write_out(rows.groupBy("key").agg(F.min("place").alias("place")), "distinct-texts")
     one_row = rows.groupBy("place").count().where("count > 1").isEmpty()
 
     def one_of_each(frame: DataFrame, *names: str) -> DataFrame:
         return frame if one_row else frame.dropDuplicates(list(names))
 
-    first = one_of_each(rows.join(texts.select("place"), "place", "left_semi"), "key")
+    first = write_out(one_of_each(rows.join(texts.select("place"), "place", "left_semi"), "key"), "text-prefixes")
+    discard(rows)
     short = F.col("pos") < F.col("n") - F.ceil(2 * similarity / (1 + similarity) * _SLACK * F.col("n")) + 1
     dealt = first.select("key", "place", "n", F.posexplode("prefix").alias("pos", "shingle"))
     dealt = dealt.select("shingle", F.struct("place", "key", "n", "pos", short.alias("short")).alias("row"))
     buckets = write_out(dealt.join(_groups(dealt).select("shingle"), "shingle", "left_semi"), "shared-shingles")
-    discard(rows)
-    met = buckets.select("row.place").distinct().withColumnRenamed("place", "__place")
     whole = docs.select(key.alias("key"), place.alias("place"), content.alias("text"))
-    chosen = one_of_each(whole.join(met, F.col("place") == F.col("__place"), "left_semi"), "key")
-    sets = write_out(chosen.select("key", "text").mapInArrow(_shingles(shingle), "key long, shingles array<long>"), "shingle-sets")
 
     def similar(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are similar; the set of b travels with the pair, that of a may meet many."""
-        right = pairs.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("right")), "b")
-        both = right.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("left")), "a")
-        shared = F.size(F.array_intersect("left", "right"))
-        either = F.size("left") + F.size("right") - shared
-        return write_out(both.where(shared >= similarity * either).select("a", "b"), "similar-pairs")
+        """The pairs (a, b) that are similar; arrays of b travel with the pair, those of a may meet many."""
+
+        def beside(pairs: DataFrame, values: DataFrame, *names: str) -> DataFrame:
+            for k, side in (("b", "right"), ("a", "left")):
+                pairs = pairs.join(values.select(F.col("key").alias(k), F.struct(*names).alias(side)), k)
+            return pairs
+
+        # what both have among their first shingles, and the rest of one of them, is all that can be common
+        met = beside(pairs, first, "n", "prefix")
+        needed = similarity / (1 + similarity) * _SLACK * (F.col("left.n") + F.col("right.n"))
+        rest = F.greatest(*[F.col(f"{t}.n") - F.size(f"{t}.prefix") for t in ("left", "right")])
+        near = met.where(F.size(F.array_intersect("left.prefix", "right.prefix")) + rest >= needed)
+        near = write_out(near.select("a", "b"), "near-pairs")
+        wanted = near.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(texts, "key").select(F.col("place").alias("__place"))
+        chosen = one_of_each(whole.join(wanted, F.col("place") == F.col("__place"), "left_semi"), "key")
+        sets = write_out(chosen.select("key", "text").mapInArrow(_shingles(shingle), "key long, shingles array<long>"), "shingle-sets")
+        both = beside(near, sets, "shingles")
+        shared = F.size(F.array_intersect("left.shingles", "right.shingles"))
+        either = F.size("left.shingles") + F.size("right.shingles") - shared
+        found = write_out(both.where(shared >= similarity * either).select("a", "b"), "similar-pairs")
+        discard(sets, near)
+        return found
 
     gone = texts.select("key").limit(0)
     enough, before = None, None
