@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,8 @@ from evidence_lake.functions import maps
 from evidence_lake.operators import quality, tables
 from evidence_lake.plans.registry import query, sql_strip, table
 from evidence_lake.plans.works_queries import clean_works
+from evidence_lake.session import new_table_path
+from evidence_lake.sources import versions
 
 # --- listing and lookup -----------------------------------------------------------------
 
@@ -83,8 +86,36 @@ def run_patch(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("F").alias("o_orderstatus"),
         F.lit(None).cast("string").alias("o_orderpriority"),
     )
-    after = tables.patch(orders, changes, "o_orderkey", at=F.lit("2026-01-01").cast("timestamp"))
-    return after.select("o_orderkey", "o_orderstatus", "o_orderpriority", (F.col("updated_at") > before).alias("touched"))
+    stored = versions.BucketTable.create(orders, new_table_path(spark, "orders"), "o_orderkey", buckets=16)
+    stored.patch(changes, at=F.lit("2026-01-01").cast("timestamp"))
+    return stored.read().select("o_orderkey", "o_orderstatus", "o_orderpriority", (F.col("updated_at") > before).alias("touched"))
+
+
+@query("committed_documents", """
+    SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS first_version, md5(text) AS text_digest,
+      CAST(count(*) OVER (PARTITION BY doc_id) AS BIGINT) AS n, 2 AS newest FROM documents""")
+def run_committed(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of the documents, a save that fails on a long source, all of them, and all of them again."""
+    documents = table(spark, folder, "documents").select("doc_id", "source", "text")
+    path = new_table_path(spark, "documents")
+    stored = versions.BucketTable.create(documents.where("doc_id % 2 = 0"), path, "doc_id", buckets=16)
+    rules = quality.document_rules(["source"])
+    flawed = documents.withColumn("source", F.when(F.col("doc_id") % 7 == 3, F.repeat("source", 60)).otherwise(F.col("source")))
+    try:
+        stored.append(flawed, rules)
+    except PySparkException:
+        pass  # nothing of it is stored
+    for _ in range(2):  # as when an append is tried again
+        stored.append(documents, rules)
+    first = stored.read(1).select("doc_id", F.lit(1).alias("first_version"))
+    rows = stored.read()
+    counted = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return (
+        rows.join(first, "doc_id", "left")
+        .join(counted, "doc_id")
+        .select("doc_id", F.coalesce("first_version", F.lit(2)).alias("first_version"), F.md5("text").alias("text_digest"), "n",
+                F.lit(stored.version().number).alias("newest"))
+    )
 
 
 @query("changed_documents", """
@@ -142,13 +173,14 @@ def run_statuses(spark: SparkSession, folder: str) -> DataFrame:
 def run_cascade(spark: SparkSession, folder: str) -> DataFrame:
     """Customers of one segment go, with their orders and the orders' items."""
     customers = table(spark, folder, "customer").select("c_custkey", "c_mktsegment")
-    after = tables.cascade_delete(
-        customers,
-        table(spark, folder, "orders").select("o_orderkey", "o_custkey"),
-        table(spark, folder, "lineitem").select("l_orderkey"),
-        customers.filter("c_mktsegment = 'BUILDING'"),
-        ("c_custkey", "o_custkey", "o_orderkey", "l_orderkey"),
+    create = versions.BucketTable.create
+    stored = (
+        create(customers, new_table_path(spark, "customers"), "c_custkey", buckets=16),
+        create(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), new_table_path(spark, "orders"), "o_orderkey", "o_custkey", 16),
+        create(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber"), new_table_path(spark, "items"), "l_linenumber", "l_orderkey", 16),
     )
+    versions.cascade_delete(*stored, customers.filter("c_mktsegment = 'BUILDING'"))
+    after = [s.read() for s in stored]
     parts = [
         rows.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.sum(key).alias("keys"))
         for rows, name, key in zip(after, ("customer", "orders", "lineitem"), ("c_custkey", "o_orderkey", "l_orderkey"))

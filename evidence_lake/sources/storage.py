@@ -9,7 +9,11 @@ from evidence_lake.operators import quality
 
 
 def append_documents(documents: DataFrame, path: str) -> None:
-    """Append all rows or none: rules are enforced inside the write job, whose commit is one step."""
+    """Append rows to a plain folder; one that breaks a rule fails the write job.
+
+    For saves that are one step for readers, and store nothing twice when tried again, see
+    :class:`evidence_lake.sources.versions.BucketTable`.
+    """
     quality.enforce(documents, quality.document_rules(documents.columns)).write.mode("append").parquet(path)
 
 
