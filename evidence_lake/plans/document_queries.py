@@ -322,12 +322,11 @@ class LetterCounts(EmbeddingProvider):
 
 EMBEDDED_SQL = f"""
     {PLAIN_CHUNKS_SQL},
-    keyed AS (SELECT *, {_UUID_SQL} AS chunk_id,
-            CAST('0x' || substr(md5(document_id), 1, 8) AS BIGINT) % 16 AS bucket FROM chunks),
-    placed AS (SELECT *, (row_number() OVER (PARTITION BY bucket ORDER BY document_id, index) - 1) // 5 AS batch FROM keyed),
+    keyed AS (SELECT *, {_UUID_SQL} AS chunk_id FROM chunks),
+    placed AS (SELECT *, (row_number() OVER (ORDER BY document_id, index) - 1) // 5 AS batch FROM keyed),
     calls AS (
       SELECT *, bool_or(contains(text, 'thanedble')) OVER call AS refused, bool_or(contains(text, 'ingonen')) OVER call AS short,
-        count(*) OVER call AS size FROM placed WINDOW call AS (PARTITION BY bucket, batch)),
+        count(*) OVER call AS size FROM placed WINDOW call AS (PARTITION BY batch)),
     judged AS (SELECT *, refused OR (short AND size > 1) AS failed FROM calls)
 """
 
@@ -341,7 +340,7 @@ EMBEDDED_SQL = f"""
         || (length(text) - length(replace(text, 'n', ''))) || ',' || (length(text) - length(replace(text, chr(10), ''))) END AS vector
     FROM judged""")
 def run_embed_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    results = embed_chunks(plain_chunks(spark, folder), LetterCounts(), batch_size=5, buckets=16)
+    results = embed_chunks(plain_chunks(spark, folder), LetterCounts(), batch_size=5)
     vector = F.array_join(F.transform("embedding", lambda x: x.cast("bigint").cast("string")), ",")
     return results.select("chunk_id", "success", "error", "model", "dimension", vector.alias("vector"))
 

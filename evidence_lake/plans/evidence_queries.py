@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from evidence_lake import fixed_values as V
 from evidence_lake.operators import claims as C
 from evidence_lake.operators import confidence, evidence, grounding, prompts, provenance, retrieval, validation
-from evidence_lake.operators.model_calls import ModelError, ModelProvider
+from evidence_lake.operators.model_calls import ModelError, ModelProvider, ReplyLedger, complete, prompt_digest
 from evidence_lake.plans import evidence_flow
 from evidence_lake.plans.document_queries import EMBEDDED_SQL, PLAIN_CHUNKS_SQL, LetterCounts, plain_chunks
 from evidence_lake.plans.registry import query, sql_collapse, table
@@ -352,6 +352,27 @@ class LengthJudge(ModelProvider):
         return json.dumps({"status": status, "reasoning": f"{len(passage)} characters"})
 
 
+@query("resumed_replies", """
+    SELECT doc_id AS evidence_id, CASE WHEN length(text) > 700 THEN 'supported' WHEN length(text) > 300 THEN 'partially_supported' ELSE 'unsupported' END AS status,
+      length(text) || ' characters' AS reasoning,
+      (source, text) IN (SELECT (source, text) FROM documents WHERE doc_id % 2 = 0) AS reused
+    FROM documents""")
+def run_resumed(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of the documents are judged, then all: only prompts without a reply are asked."""
+    documents = table(spark, folder, "documents")
+    claims = documents.select(F.col("doc_id").alias("claim_id"), F.concat("source", F.lit(" says")).alias("text"))
+    found = documents.select(F.col("doc_id").alias("evidence_id"), F.col("doc_id").alias("claim_id"), "text")
+    asked = prompts.validation_prompts(claims, found)
+    ledger, judge = ReplyLedger(new_table_path(spark, "judge-ledger")), LengthJudge()
+    complete(asked.where("evidence_id % 2 = 0"), judge, validation.VALIDATION_RESPONSE, ledger=ledger)
+    known = write_out(ledger.replies(spark).select("digest", F.lit(True).alias("reused")), "known-replies")
+    answered = complete(
+        asked.withColumn("digest_of", prompt_digest(judge.model)), judge, validation.VALIDATION_RESPONSE, ledger=ledger
+    ).withColumnRenamed("digest_of", "digest")
+    reused = F.coalesce("reused", F.lit(False)).alias("reused")
+    return answered.join(known, "digest", "left").select("evidence_id", "response.status", "response.reasoning", reused)
+
+
 @query("validations", f"""
     WITH RECURSIVE {_GROUND_SQL}
     SELECT {_UUID_OF.format(h="eh")} AS evidence_id, claim_id,
@@ -661,7 +682,7 @@ def run_document_trace(spark: SparkSession, folder: str) -> DataFrame:
     refused = F.contains(line, F.lit("thanedble")) | F.contains(line, F.lit("ingonen"))
     questions = texts.where(~refused & (line != "")).select(F.col("doc_id").alias("query_id"), line.alias("question"))
     result = evidence_flow.trace_texts(
-        documents, questions, SpreadCounts(), LastLines(), WholeChunks(), StrictJudge(), min_score=0.9, batch_size=5, buckets=16
+        documents, questions, SpreadCounts(), LastLines(), WholeChunks(), StrictJudge(), min_score=0.9, batch_size=5
     )
     per_claim = result.chains.groupBy("claim_id").agg(F.count("*").alias("n_evidence"), F.count_if("is_complete").alias("n_complete"))
     judged = result.validations.groupBy("claim_id").agg(

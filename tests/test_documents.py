@@ -116,7 +116,7 @@ def test_every_chunk_gets_one_result(rows):
     texts = ["a", "bb", "poison", "c", "short", "d", "eee"]
     data = [(f"{d}-{i}", d, i, t) for d in ("x", "y", None) for i, t in enumerate(texts)]
     chunks = rows("chunk_id string, document_id string, index int, text string", *data).repartition(5)
-    got = {r.chunk_id: r for r in embed_chunks(chunks, Lengths(), batch_size=2, buckets=1).collect()}
+    got = {r.chunk_id: r for r in embed_chunks(chunks, Lengths(), batch_size=2).collect()}
     assert len(got) == len(data)
     # one group in order of documents, NULL first: calls of two, across documents
     order = [f"{d}-{i}" for d in (None, "x", "y") for i in range(7)]
@@ -145,10 +145,31 @@ def test_calls_are_full(rows, tmp_path):
 
     data = [(f"{d}-{i}", f"d{d}", i, "t") for d in range(200) for i in range(3)]
     chunks = rows("chunk_id string, document_id string, index int, text string", *data)
-    assert embed_chunks(chunks, Counting(), buckets=4).filter("success").count() == 600
+    assert embed_chunks(chunks, Counting()).filter("success").count() == 600
     with open(log) as lines:
         calls = [int(x) for x in lines]
-    assert sum(calls) == 600 and len(calls) <= 600 // 100 + 4 and max(calls) == 100
+    assert calls == [100] * 6
+
+
+def test_batches_do_not_depend_on_partitions(rows):
+    class Neighbours(EmbeddingProvider):
+        model, dimension = "neighbours", 1
+
+        def embed_batch(self, texts):
+            return [[float(sum(int(t) for t in texts))] for _ in texts]
+
+    data = [(f"c{k}", f"d{k % 7}" if k % 5 else None, k // 7, str(k)) for k in range(90)]
+    chunks = rows("chunk_id string, document_id string, index int, text string", *data)
+    found = []
+    for parts, calls in ((1, 1), (13, 50)):
+        got = embed_chunks(chunks.repartition(parts), Neighbours(), batch_size=7, calls_per_task=calls).collect()
+        found.append(sorted((r.chunk_id, r.embedding[0]) for r in got))
+    order = sorted(data, key=lambda r: (r[1] is not None, r[1] or "", r[2], r[0], r[3]))
+    want = {}
+    for k in range(0, 90, 7):
+        want |= {r[0]: float(sum(int(x[3]) for x in order[k : k + 7])) for r in order[k : k + 7]}
+    assert found[0] == found[1] == sorted(want.items())
+    assert embed_chunks(chunks.limit(0), Neighbours()).count() == 0
 
 
 def test_query_embedding(rows):
