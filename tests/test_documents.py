@@ -101,6 +101,23 @@ def test_other_strategies_plug_in(rows):
     assert sorted(r.text for r in got.collect()) == ["a", "b"]
 
 
+def test_long_texts_take_time_in_proportion(spark):
+    """25,000 and 50,000 chunks of one text: twice the text, not four times the time."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    took = {}
+    for n in (1000, 25_000, 50_000):
+        lines = F.repeat(F.lit("word " * 99 + "word\n"), 2 * n)  # of 499 characters: one more than half a chunk
+        document = spark.range(1).select(F.lit(1).alias("doc_id"), lines.alias("text"))
+        begun = time.time()
+        found = chunking.chunk_texts(document, chunk_size=700).agg(F.count("*"), F.max("index"), F.sum("char_count")).first()
+        took[n] = time.time() - begun
+        assert tuple(found) == (2 * n, 2 * n - 1, 2 * n * 499)
+    assert took[50_000] < 3 * took[25_000] + 2
+
+
 class Lengths(EmbeddingProvider):
     model, dimension = "lengths", 2
 
@@ -222,7 +239,7 @@ def test_one_fold_per_plan(spark, rows):
     from evidence_lake.operators import chunking
 
     plan = chunking.chunk_texts(rows("doc_id int, text string", (1, "a\nb")))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("aggregate(") == 1
+    assert plan.count("aggregate(") == 2  # lists of starts, and in it the starts of a list
 
 
 def test_totals_from_lengths(rows):
