@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from evidence_lake import fixed_values as V
 from evidence_lake.functions import text as T
+from evidence_lake.operators.components import connected
 from evidence_lake.session import discard, write_out
 
 _FOREVER = (1 << 63) - 1
@@ -249,6 +250,27 @@ def assign_records(works: DataFrame) -> DataFrame:
             return guess
 
 
+def assign_components(works: DataFrame) -> DataFrame:
+    """(ord, leader) for every work that shares a key with another: the first work of its connected component.
+
+    Works are linked by the keys they came with.  That differs from the one-by-one pass in two ways: a work with keys of
+    two records joins them into one here (there it joins the first, and they stay apart), and works meet by keys that
+    records do not show in the pass, as only the first value of each field becomes a record's key.
+    """
+    own = _identity(works)
+    hashed = _hash_key(F.col("title"), F.col("author"), F.col("year"))
+    keys = own.select("ord", F.explode(F.array_compact(F.array_append(_plain_keys(), hashed))).alias("key"))
+    keys = write_out(keys, "keys")
+    # each work is linked with the first one of each of its keys
+    first = keys.groupBy("key").agg(F.min("ord").alias("first"))
+    found = connected(keys.join(first, "key").select(F.col("first").alias("a"), F.col("ord").alias("b")))
+    return found.select(F.col("node").alias("ord"), F.col("root").alias("leader"))
+
+
+#: How works are assigned to records: the one-by-one pass, or connected components of shared keys.
+STRATEGIES = {"hierarchical": assign_records, "components": assign_components}
+
+
 def merge_records(members: DataFrame) -> DataFrame:
     """One work per ``leader``: first non-empty value of each field in ``ord`` order.
 
@@ -315,12 +337,15 @@ def deduplicate(
     preference: Sequence[str] = V.PROVIDER_PREFERENCE,
     strategy: str = "hierarchical",
 ) -> DataFrame:
-    """Normalized works with duplicates merged; order by ``ord`` to list first occurrences first."""
-    if strategy != "hierarchical":
+    """Normalized works with duplicates merged; order by ``ord`` to list first occurrences first.
+
+    ``strategy`` is ``hierarchical``, the one-by-one pass, or ``components``, see :func:`assign_components`.
+    """
+    if strategy not in STRATEGIES:
         raise ValueError(f"unknown deduplication strategy: {strategy!r}")
     columns = works.columns
     placed = write_out(in_merge_order(works, preference), "works")
-    records = assign_records(placed)
+    records = STRATEGIES[strategy](placed)
     seconds = records.groupBy("leader").agg(
         F.min(F.when(F.col("ord") != F.col("leader"), F.col("ord"))).alias("second")
     )

@@ -210,6 +210,22 @@ def run_identity_keys(spark: SparkSession, folder: str) -> DataFrame:
     return keys.groupBy("key").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
 
 
+# from m(leader, second, rn), the members of each record, to the merged works
+_MERGED_SQL = """j AS (SELECT m.leader, m.second, w.* FROM m JOIN w USING (rn)),
+    meta AS (SELECT leader, string_agg(mkey || '=' || mval, ';' ORDER BY mkey) AS metadata
+             FROM (SELECT leader, mkey, arg_min(mval, rn) AS mval FROM j GROUP BY ALL) GROUP BY leader),
+    src AS (SELECT leader, '["' || string_agg(source, '","' ORDER BY place, seen) || '"]' AS merged
+            FROM (SELECT leader, source, min(rn) AS seen,
+                    CASE min(rn) WHEN any_value(second) THEN 0 WHEN leader THEN 1 ELSE 2 END AS place
+                  FROM j WHERE second IS NOT NULL GROUP BY leader, source) GROUP BY leader)
+    SELECT leader.seq, leader.source, f.title, f.authors, f.abstract, f.publication_year, f.doi, f.url, f.external_id,
+           meta.metadata || coalesce(';merged_sources=' || src.merged, '') AS metadata
+    FROM (SELECT leader, arg_min(title, rn) AS title, coalesce(arg_min(author, rn), '') AS authors,
+            arg_min(abstract, rn) AS abstract, arg_min(publication_year, rn) AS publication_year, arg_min(doi, rn) AS doi,
+            arg_min(url, rn) AS url, arg_min(external_id, rn) AS external_id FROM j GROUP BY leader) f
+    JOIN w leader ON leader.rn = f.leader JOIN meta USING (leader) LEFT JOIN src USING (leader)"""
+
+
 @query("dedup_works", f"""
     WITH RECURSIVE {_CLEAN_SQL},
     fold(step, recs) AS (
@@ -234,23 +250,28 @@ def run_identity_keys(spark: SparkSession, folder: str) -> DataFrame:
     ),
     recs AS (SELECT unnest(recs) AS r FROM fold WHERE step = (SELECT max(rn) FROM w)),
     m AS (SELECT r.members[1] AS leader, r.members[2] AS second, unnest(r.members) AS rn FROM recs),
-    j AS (SELECT m.leader, m.second, w.* FROM m JOIN w USING (rn)),
-    meta AS (SELECT leader, string_agg(mkey || '=' || mval, ';' ORDER BY mkey) AS metadata
-             FROM (SELECT leader, mkey, arg_min(mval, rn) AS mval FROM j GROUP BY ALL) GROUP BY leader),
-    src AS (SELECT leader, '["' || string_agg(source, '","' ORDER BY place, seen) || '"]' AS merged
-            FROM (SELECT leader, source, min(rn) AS seen,
-                    CASE min(rn) WHEN any_value(second) THEN 0 WHEN leader THEN 1 ELSE 2 END AS place
-                  FROM j WHERE second IS NOT NULL GROUP BY leader, source) GROUP BY leader)
-    SELECT leader.seq, leader.source, f.title, f.authors, f.abstract, f.publication_year, f.doi, f.url, f.external_id,
-           meta.metadata || coalesce(';merged_sources=' || src.merged, '') AS metadata
-    FROM (SELECT leader, arg_min(title, rn) AS title, coalesce(arg_min(author, rn), '') AS authors,
-            arg_min(abstract, rn) AS abstract, arg_min(publication_year, rn) AS publication_year, arg_min(doi, rn) AS doi,
-            arg_min(url, rn) AS url, arg_min(external_id, rn) AS external_id FROM j GROUP BY leader) f
-    JOIN w leader ON leader.rn = f.leader JOIN meta USING (leader) LEFT JOIN src USING (leader)""")
+    {_MERGED_SQL}""")
 def run_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return _flat(dedup.deduplicate(normalize_works(clean_works(spark, folder))))
 
 
+@query("component_works", f"""
+    WITH RECURSIVE {_CLEAN_SQL},
+    keys AS (
+      SELECT rn, 'd' || doi AS key FROM w WHERE doi IS NOT NULL UNION ALL SELECT rn, 'e' || external_id FROM w WHERE external_id IS NOT NULL
+      UNION ALL SELECT rn, 'u' || url_key FROM w WHERE url_key IS NOT NULL
+      UNION ALL SELECT rn, 'h' || tkey || chr(1) || publication_year || chr(1) || coalesce(author, '') FROM w WHERE tkey IS NOT NULL AND publication_year IS NOT NULL),
+    star AS (SELECT DISTINCT min(rn) OVER (PARTITION BY key) AS a, rn AS b FROM keys),
+    edges AS (SELECT a, b FROM star UNION SELECT b, a FROM star),
+    reach(node, far) AS (SELECT rn, rn FROM w UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.far),
+    c AS (SELECT node AS rn, min(far) AS leader FROM reach GROUP BY node),
+    m AS (SELECT rn, leader, min(CASE WHEN rn <> leader THEN rn END) OVER (PARTITION BY leader) AS second FROM c),
+    {_MERGED_SQL}""")
+def run_components(spark: SparkSession, folder: str) -> DataFrame:
+    """All works that are connected by keys are one, however long the chain."""
+    return _flat(dedup.deduplicate(normalize_works(clean_works(spark, folder)), strategy="components"))
+
+
 def openalex_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as OpenAlex answers: one work each, its text as an inverted index."""
     documents = texts(spark, folder, "documents")

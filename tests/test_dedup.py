@@ -87,6 +87,64 @@ def test_one_key_shared_by_most_works(rows):
     assert got == fold(works) and len(got) == 50
 
 
+def plain_components(works):
+    """Leaders by repeated passes over shared keys."""
+    from fold_model import _keys as keys_of
+
+    leader = {w["seq"]: w["seq"] for w in works}
+    while True:
+        lowest = {}
+        for w in works:
+            for key in keys_of(w):
+                lowest[key] = min(lowest.get(key, leader[w["seq"]]), leader[w["seq"]])
+        new = {w["seq"]: min([leader[w["seq"]], *(lowest[k] for k in keys_of(w))]) for w in works}
+        if new == leader:
+            return leader
+        leader = new
+
+
+def test_components_differ_where_the_walk_stops(rows):
+    """A bridge joins two records, and a key that a record does not show links works all the same."""
+    bridge = [dict(doi="10.1/k"), dict(external_id="e2"), dict(doi="10.1/k", external_id="e2")]
+    masked = [dict(doi="10.1/l1", external_id="e3"), dict(doi="10.1/l2", external_id="e3"), dict(doi="10.1/l2")]
+    alone = [dict(title="T"), dict(title="T"), dict()]
+    works = [work(seq, **given) for seq, given in enumerate([*bridge, *masked, *alone])]
+    table = rows(SCHEMA, *[tuple(w[n] for n in NAMES) for w in works])
+    merged = dedup.deduplicate(table, strategy="components").orderBy("ord").collect()
+    assert [(r.seq, r.doi, r.external_id) for r in merged] == [
+        (0, "10.1/k", "e2"), (3, "10.1/l1", "e3"), (6, None, None), (7, None, None), (8, None, None)
+    ]
+    assert len(run(rows, works)) == 7
+    assert dedup.deduplicate(rows(SCHEMA), strategy="components").count() == 0
+
+
+@pytest.mark.parametrize("seed, keys", [(1, 90), (2, 30)])
+def test_random_components(rows, seed, keys):
+    rng = random.Random(seed)
+    works = [work(i, doi=f"10.1/{rng.randrange(3 * keys)}" if rng.random() < 0.6 else None, external_id=f"e{rng.randrange(3 * keys)}" if rng.random() < 0.6 else None) for i in range(200)]
+    table = rows(SCHEMA, *[tuple(w[n] for n in NAMES) for w in works])
+    merged = dedup.deduplicate(table, strategy="components").collect()
+    leaders = plain_components(works)
+    assert sorted(r.seq for r in merged) == sorted(set(leaders.values()))
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from evidence_lake.operators import components
+
+    written = []
+    plain = components.write_out
+    monkeypatch.setattr(components, "write_out", lambda df, label: (written.append(label), plain(df, label))[1])
+    line = spark.range(0, 5000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    mixed = line.select((F.col("a") * 7919 % 5001).alias("a"), (F.col("b") * 7919 % 5001).alias("b"))
+    for edges in (line, mixed, line.select(F.lit(0).cast("long").alias("a"), "b")):
+        written.clear()
+        found = components.connected(edges).agg(F.count("*"), F.max("root")).first()
+        assert tuple(found) == (5001, 0) and len(written) < 60
+    assert components.connected(line.where("a < 0")).count() == 0
+
+
 def test_no_works_and_unknown_strategy(rows):
     assert run(rows, []) == []
     with pytest.raises(ValueError):
