@@ -67,20 +67,35 @@ def _site_sql(name: str) -> str:
 
 
 _BY_LENGTH = sorted(SITE_RULES, key=lambda r: -len(r.name))
-_WORD_TEST = f"regexp_matches(host || path, '(^|[^A-Za-z0-9])({'|'.join(sorted(url_filter.WORDS, key=lambda w: (-len(w), w)))})([^A-Za-z0-9]|$)')"
+def _any(column: str, *expressions: str) -> str:
+    return f"regexp_matches({column}, '{'|'.join(expressions)}')"
+
+
+# what the method's own rules block, written as conditions of their own
+_OWN_SQL = " OR ".join(
+    (
+        f"len(list_intersect(string_split_regex(host || path, '[^A-Za-z0-9]+'), {list(url_filter.WORDS)})) > 0",
+        f"len(list_intersect([string_split(x, '=')[1] FOR x IN string_split(query, '&')], {list(url_filter.QUERY_KEYS)})) > 0",
+        _any("host", r"^[0-9]{1,3}(\.[0-9]{1,3}){3}(:[0-9]*)?$", r"^\[[0-9a-f:.]*\](:[0-9]*)?$"),
+        _any("host", r"^ads\.", r"\.ads\.", r"^tracking\."),
+        _any("path", "^/cgi-bin/", "^/wp-admin/", "/login$", "/checkout$"),
+        _any("url", "[?&]page=[0-9]{3,}"),
+    )
+)
 
 URL_SQL = rf"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
-r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM p),
+r AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM p),
 h AS (
-  SELECT page_id,
+  SELECT page_id, url,
     translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+    regexp_extract(rest, '^[^/?#]*[^?#]*\?([^#]*)', 1) AS query
   FROM r),
 m AS (SELECT *, CASE {" ".join(f"WHEN {_site_sql(r.name)} THEN '{r.name}'" for r in _BY_LENGTH)} END AS rule FROM h)
 SELECT page_id, host, path, rule,
   CASE {" ".join(f"WHEN rule = '{r.name}' THEN '{r.verdict}'" for r in SITE_RULES)}
-    WHEN {_WORD_TEST} THEN 'block' ELSE 'allow' END AS verdict
+    WHEN {_OWN_SQL} THEN 'block' ELSE 'allow' END AS verdict
 FROM m
 """
 

@@ -487,11 +487,18 @@ def test_clashing_names(spark, name):
 
 
 def test_urls(spark):
+    Rule, site = url_filter.Rule, url_filter.site_rule
     rules = (
-        url_filter.site_rule("allow", "com/"),
-        url_filter.site_rule("block", "example.com/en/"),
-        url_filter.site_rule("block", "a-b.net/x"),
-        url_filter.Rule("digits", r"\d{5}", "block"),  # no literal: every URL runs it
+        site("allow", "com/"),
+        site("block", "example.com/en/"),
+        site("block", "a-b.net/x"),
+        Rule("regex", r"\d{5}", "block"),  # no literal: every URL runs it
+        Rule("host_glob", "*.shop.??", "block"),
+        Rule("host_glob", "good.shop.de", "allow", 5),  # an exception
+        Rule("path_glob", "/a*/b?c", "block"),
+        Rule("query_key", "sid", "block"),
+        Rule("punycode", "", "block"),
+        Rule("regex", r"/old/archive/", "block", 2),
         *url_filter.DEFAULT_RULES,
     )
     cases = {
@@ -502,20 +509,94 @@ def test_urls(spark):
         "http://a-b.net/xyz?casino": ("a-b.net", "/xyz", "a-b.net/x", "block"),
         "http://c.org/casino-bonus#x": ("c.org", "/casino-bonus", "casino", "block"),
         "http://c.org/casinos": ("c.org", "/casinos", None, "allow"),
-        "http://c.org/12345": ("c.org", "/12345", "digits", "block"),
+        "http://c.org/x?casino=1": ("c.org", "/x", None, "allow"),
+        "http://c.org/12345": ("c.org", "/12345", r"\d{5}", "block"),
+        "http://my.shop.de/": ("my.shop.de", "/", "*.shop.??", "block"),
+        "http://shop.de/": ("shop.de", "/", None, "allow"),
+        "http://my.shop.info/": ("my.shop.info", "/", None, "allow"),
+        "http://GOOD.shop.de/casino": ("good.shop.de", "/casino", "good.shop.de", "allow"),
+        "http://c.org/axx/y/bzc?q": ("c.org", "/axx/y/bzc", "/a*/b?c", "block"),
+        "http://c.org/axx/bzzc": ("c.org", "/axx/bzzc", None, "allow"),
+        "http://c.org/?a=1&sid=2": ("c.org", "/", "sid", "block"),
+        "http://c.org/?sid": ("c.org", "/", "sid", "block"),
+        "http://c.org/?a=sid&sids=1#sid=1": ("c.org", "/", None, "allow"),
+        "http://c.org?utm_source=x": ("c.org", "", "utm_source", "block"),
+        "http://10.0.0.255:8080/x": ("10.0.0.255:8080", "/x", "ip", "block"),
+        "http://[::1]/x": ("[::1]", "/x", "ip", "block"),
+        "http://1.2.3.4.org/": ("1.2.3.4.org", "/", None, "allow"),
+        "http://a.xn--80ak6aa92e.org/": ("a.xn--80ak6aa92e.org", "/", "punycode", "block"),
+        "http://a.com/old/archive/x": ("a.com", "/old/archive/x", "/old/archive/", "block"),
+        "http://ads.c.org/": ("ads.c.org", "/", "ads.*", "block"),
+        "http://c.org/x/login": ("c.org", "/x/login", "*/login", "block"),
+        "http://c.org/x/logins": ("c.org", "/x/logins", None, "allow"),
+        "http://c.org/l?page=250": ("c.org", "/l", "[?&]page=[0-9]{3,}", "block"),
         "no scheme/com/": ("", "", None, "allow"),
+        "no scheme 12345": ("", "", r"\d{5}", "block"),
         "a://b://c.com/x": ("b:", "//c.com/x", None, "allow"),
         None: ("", "", None, "allow"),
         "": ("", "", None, "allow"),
     }
-    rows = [(k, url, "x") for k, url in enumerate(cases)] * 2
-    pages = spark.createDataFrame(rows, "page_id long, url string, rule string")
-    got = url_filter.judge_urls(pages, rules).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        assert (r.host, r.path, r.rule, r.verdict) == cases[r.url]
+    rows = [(k, url, "x", "y", "z") for k, url in enumerate(cases)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, Rule string, row string, text string")
+    for given in (rules, url_filter.rule_table(spark, rules)):
+        got = url_filter.judge_urls(pages, given)
+        assert got.columns == ["page_id", "url", "row", "text", "host", "path", "rule", "verdict"]
+        got = got.collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert (r.host, r.path, r.rule, r.verdict) == cases[r.url], r.url
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
     assert {r.verdict for r in url_filter.judge_urls(pages, ()).collect()} == {"allow"}
+    table = spark.createDataFrame([("word", "a", None, 1), (None, "a", "block", 1), ("word", None, "block", 1), ("word", "org", "block", None)] * 2, url_filter._SCHEMA)
+    assert {r.rule for r in url_filter.judge_urls(pages, table).collect()} == {None, "org"}
+    with pytest.raises(ValueError):
+        url_filter.judge_urls(pages, [Rule("colour", "red", "block")])
+
+
+def test_literals_are_in_every_url_that_a_rule_matches(spark):
+    """URLs made from patterns: judged by the index as by trying every rule."""
+    import itertools
+    import random
+
+    rng = random.Random(6)
+    word = lambda: rng.choice(["a", "ab", "b", "c1", "news", "x"])
+    rules = []
+    for _ in range(150):
+        kind = rng.choice(url_filter.KINDS[:5] + ("regex",))
+        parts = [word() + rng.choice(["", "*", "?", "-", "."]) for _ in range(rng.randrange(1, 4))]
+        pattern = {
+            "site": f"{word()}.{word()}/{rng.choice(['', word(), word() + '/'])}", "host_glob": ".".join(parts), "path_glob": "/" + "/".join(parts),
+            "query_key": word() + rng.choice(["", "_" + word()]), "word": word(),
+            "regex": rng.choice(["/", r"\.", "", "="]) + word() + rng.choice(["/", "/?", r"\.", "$", "[ab]", "|" + word()]) + word(),
+        }[kind]
+        rules.append(url_filter.Rule(kind, pattern, rng.choice(["block", "allow"]), rng.randrange(3)))
+    urls = []
+    for k in range(400):
+        host, path = ".".join(word() + word() * rng.randrange(2) for _ in range(3)), "/".join(word() + rng.choice(["", word()]) for _ in range(rng.randrange(4)))
+        urls.append((k, f"http://{host}/{path}{rng.choice(['', '?' + word() + '=1', '?x&' + word() + '_' + word()])}"))
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, rules).collect()}
+    compiled = url_filter._compiled(url_filter.rule_table(spark, rules))
+    host, path, query = url_filter.url_parts(F.col("url"))
+    every = pages.withColumn("text", F.concat(host, path, query)).crossJoin(compiled)
+    fits = F.when(F.col("whole"), F.rlike("url", F.col("regex"))).otherwise(F.rlike("text", F.col("regex")))
+    want = every.where(fits).groupBy("page_id").agg(
+        F.max_by(F.struct("rule", "rule_verdict"), F.struct("priority", F.length("rule"), "rule", "rule_verdict")).alias("best")
+    )
+    want = {r.page_id: tuple(r.best) for r in want.collect()}
+    assert got == {k: want.get(k, (None, "allow")) for k, _ in urls} and len(want) > 200
+
+
+def test_a_hundred_thousand_rules(spark):
+    """As a table, in a plan of the usual size."""
+    rules = spark.range(100_000).select(
+        F.lit("site").alias("kind"), F.concat(F.lit("host"), "id", F.lit(".org/p")).alias("pattern"), F.lit("block").alias("verdict"), F.lit(1).alias("priority")
+    )
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://www.host"), F.col("id") * 50, F.lit(".org/page")).alias("url"))
+    judged = url_filter.judge_urls(pages, rules)
+    assert len(judged._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+    blocked = judged.where("verdict = 'block'")
+    assert blocked.count() == 2000 and blocked.where("rule <> concat(substring(host, 5), '/p')").count() == 0
 
 
 # quality --------------------------------------------------------------------------------------
