@@ -1,8 +1,11 @@
 """The named queries of the training-data operators: reference SQL, or checks against plain versions."""
 
 import os
+import struct
+import zlib
 
 import plain
+import public_tokenizers
 import pytest
 from oracle import compare, connect
 
@@ -10,7 +13,7 @@ import corpus_pipeline
 from evidence_lake.llm import packing, quality
 from evidence_lake.llm.queries import QUERIES, SQL
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables not supplied")
 
 
@@ -28,11 +31,103 @@ def test_near_dedup_query(spark):
     assert got == [(i, f"{p:016x}", rows[r][0]) for (i, _), p, r in zip(rows, prints, roots)]
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SQL])
-def test_one_row_per_document_or_piece(spark, name):
-    got = QUERIES[name](spark, FOLDER)
-    ids = {r.doc_id for r in got.select("doc_id").collect()}
-    assert ids == {r.doc_id for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id").collect()}
+def rows_of(table, columns):
+    return sorted(connect(FOLDER).execute(f"SELECT {columns} FROM {table}").fetchall())
+
+
+def test_shards_query(spark):
+    rows = rows_of("documents", "doc_id, text")
+    got = {r.doc_id: r for r in QUERIES["op1_sampled_splitter_shards"](spark, FOLDER).collect()}
+    size = {i: len((t or "").encode()) + 1 for i, t in rows}
+    total, at, slots = sum(size.values()), 0, {}
+    assert got.keys() == size.keys()
+    for i, t in rows:
+        r = got[i]
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (size[i], zlib.crc32((t or "").encode()), "bytes", None)
+        assert r.shard == min(7, int((at + size[i] / 2) * 8 / total))
+        slots.setdefault(r.shard, []).append(r.slot)
+        at += size[i]
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and slots.keys() == set(range(8))
+
+
+def test_fingerprints_query(spark):
+    rows = rows_of("documents", "doc_id, text")
+    got = {r.doc_id: r for r in QUERIES["op2_document_fingerprints"](spark, FOLDER).collect()}
+    written = lambda f: ",".join(f"{d:016x}:{n:x}" for d, n in sorted(f.items()))
+    for (i, a), (_, b) in zip(rows, rows[1:] + rows[:1]):
+        n, r = len(a) // 4, got.pop(i)
+        edited = a[: len(a) - n] + b[:n]
+        own, other, following = plain.fingerprint(a), plain.fingerprint(edited), plain.fingerprint(b)
+        assert (r.n_chars, r.edited_sha256) == (len(a), plain.sha(edited))
+        assert (r.fingerprint, r.edited_fingerprint) == (written(own), written(other))
+        assert r.near_edited == pytest.approx(plain.share_within(own, other)) and r.near_next == pytest.approx(plain.share_within(own, following))
+    assert not got
+
+
+def test_packing_query(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t in rows_of("documents", "doc_id, text")}
+    pieces, sequences = {}, {}
+    for r in QUERIES["op4_best_fit_packing"](spark, FOLDER).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert pieces.keys() == ids.keys()
+    for i, own in pieces.items():
+        at = 0
+        for k, r in enumerate(sorted(own, key=lambda r: r.piece)):
+            part = ids[i][at : at + r.length]
+            assert (r.piece, r.start, len(part)) == (k, at, r.length)
+            assert r.ids_crc32 == zlib.crc32(struct.pack(f"<{len(part)}I", *part))
+            assert r.length == 2048 or len(ids[i]) <= 2048 or k == 0
+            at += r.length
+        assert at == len(ids[i]) and (len(ids[i]) > 2048 or len(own) == 1)
+    for places in sequences.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    lengths = sorted((r.length for own in pieces.values() for r in own), reverse=True)
+    bins = []
+    for n in lengths:  # best-fit decreasing
+        fit = min((b for b in range(len(bins)) if bins[b] >= n), key=lambda b: bins[b], default=None)
+        if fit is None:
+            bins.append(2048 - n)
+        else:
+            bins[fit] -= n
+    assert -(-sum(lengths) // 2048) <= len(sequences) <= len(bins)
+
+
+def test_quality_query(spark):
+    rows, labels = rows_of("documents", "doc_id, text"), dict(rows_of("labels", "doc_id, quality"))
+    want = plain.quality_scores(rows, labels)
+    got = QUERIES["op8_quality_classifier"](spark, FOLDER).collect()
+    assert {r.doc_id for r in got} == want.keys()
+    for r in got:
+        assert r.score == pytest.approx(want[r.doc_id], abs=1e-6)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3)
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="tables not supplied")
+def test_quality_of_held_out_documents(spark):
+    labels = dict(connect(LARGER).execute("SELECT doc_id, quality FROM labels").fetchall())
+    got = QUERIES["op8_quality_classifier"](spark, LARGER).collect()
+    held = [(r.predicted, labels[r.doc_id]) for r in got if r.held_out and r.doc_id in labels]
+    assert len(held) > 50 and sum(p == y for p, y in held) >= 0.95 * len(held)
+
+
+def test_token_counts_query(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = {r.doc_id: r for r in QUERIES["op9_token_counts"](spark, FOLDER).collect()}
+    rows = rows_of("documents", "doc_id, text")
+    assert got.keys() == {i for i, _ in rows}
+    for i, t in rows:
+        n = len(model.encode(t or "", num_threads=1))
+        assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 4096)
 
 
 def test_pipeline(spark):
