@@ -14,7 +14,7 @@ from evidence_lake.functions import maps
 from evidence_lake.functions import text as T
 from evidence_lake.operators import dedup, quality
 from evidence_lake.operators.normalize import normalize_works
-from evidence_lake.plans.registry import query, sql_collapse, sql_strip, table, texts
+from evidence_lake.plans.registry import SQL, query, sql_collapse, sql_strip, table, texts
 from evidence_lake.session import new_table_path
 from evidence_lake.sources import works as W
 
@@ -414,17 +414,15 @@ def run_crossref(spark: SparkSession, folder: str) -> DataFrame:
     return _placed(W.crossref_works(crossref_payloads(spark, folder)))
 
 
-@query("search_sources", """
-    SELECT source, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT external_id) AS BIGINT) AS n_ids FROM (
-      SELECT 'openalex' AS source, 'W' || doc_id AS external_id FROM documents
-      UNION ALL SELECT 'crossref', 'p' || page_id FROM pages) GROUP BY source""")
+@query("search_sources", f"""
+    SELECT CAST(0 AS INTEGER) AS list, * FROM ({SQL["works_openalex"]}) UNION ALL SELECT 1, * FROM ({SQL["works_crossref"]})""")
 def run_search(spark: SparkSession, folder: str) -> DataFrame:
     found = [
         W.search(openalex_payloads(spark, folder), "openalex", deduplicate=False),
         W.search(crossref_payloads(spark, folder), "crossref", deduplicate=False),
     ]
-    works = W.union_works(*found)
-    return works.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("external_id").alias("n_ids"))
+    works = _flat(W.union_works(*found))
+    return works.select("seq.list", "seq.place.answer", "seq.place.pos", *[c for c in _OUT if c != "seq"])
 
 
 def landed_answers(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
