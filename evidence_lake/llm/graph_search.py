@@ -26,13 +26,13 @@ from evidence_lake.llm.arrow import bounded_batches
 from evidence_lake.session import write_out
 
 #: Neighbours of a node, nodes that a beam holds while graphs are built and searched, nodes that it expands at once.
-DEGREE, BUILD_BEAM, BEAM, EXPANDED = 32, 64, 128, 4
+DEGREE, BUILD_BEAM, BEAM, EXPANDED = 32, 64, 128, 8
 ALPHA = 1.2
 #: Nodes of a shard, about, and components of all of them.
 SHARD_ROWS, SHARD_NUMBERS = 16_384, 1 << 23
 #: Queries that one task searches in its shard; more are dealt to several tasks.
 QUERY_BLOCK = 1 << 16
-_BATCH = 256
+_BATCH = 512
 _FLOATS = 1 << 22  # that a step of pruning holds
 
 
@@ -75,8 +75,8 @@ class Graph:
             near = self.edges[nodes[row, which]]
             row, near = np.repeat(row, near.shape[1]), near.ravel()
             new = ~seen[row, near]
-            code = np.unique(row[new].astype(np.int64) * n + near[new])
-            row, near = code // n, code % n
+            code = np.sort(row[new] * n + near[new])
+            row, near = np.divmod(code[np.diff(code, prepend=-1) > 0], n)
             seen[row, near] = True
             found = np.einsum("ij,ij->i", self.points[near], queries[row])
             found = self.squares[near] + lengths[row] - 2 * found
@@ -146,7 +146,7 @@ class Graph:
             full = full[len(now) :]
             new = np.full((len(now), width), self.n, dtype=np.int32)
             rows = np.repeat(np.arange(len(now)), counts[now])
-            column = np.concatenate([np.arange(c) for c in counts[now]])
+            column = np.arange(len(rows)) - np.repeat(np.cumsum(counts[now]) - counts[now], counts[now])
             new[rows, column] = starts[np.repeat(first[now], counts[now]) + column]
             proposals = np.concatenate([self.edges[at[now]], new], axis=1)
             real = np.minimum(proposals, self.n - 1)
