@@ -28,6 +28,9 @@ from evidence_lake.session import write_out
 #: Neighbours of a node, nodes that a beam holds while graphs are built and searched, nodes that it expands at once.
 DEGREE, BUILD_BEAM, BEAM, EXPANDED = 32, 64, 128, 8
 ALPHA = 1.2
+#: Nodes that searches may start from, the one next to the middle and others drawn, and how many of them each does:
+#: the nearest, so that groups far from the rest are reached.
+STARTS, ENTRIES = 512, 4
 #: Nodes of a shard, about, and components of all of them.
 SHARD_ROWS, SHARD_NUMBERS = 16_384, 1 << 23
 #: Queries that one task searches in its shard; more are dealt to several tasks.
@@ -48,8 +51,11 @@ class Graph:
         self.points = np.column_stack([unit, missing]).astype(np.float32)
         self.squares = np.einsum("ij,ij->i", self.points, self.points)
         self.edges = np.full((self.n, degree), self.n, dtype=np.int32) if edges is None else edges
+        self.inserted: np.ndarray | None = None  # while it is built: the nodes that are in it
         middle = self.points.mean(axis=0, dtype=np.float64).astype(np.float32)
-        self.start = int(np.argmin(self.squares - 2 * self.points @ middle))
+        nearest = int(np.argmin(self.squares - 2 * self.points @ middle))
+        others = np.random.default_rng(0).permutation(self.n)[: STARTS - 1]
+        self.starts = np.concatenate([[nearest], others[others != nearest]])
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """Nodes (queries x beam, nearest first, n standing for none), and for each step the nodes it expanded with
@@ -59,12 +65,15 @@ class Graph:
         distance = np.full((count, beam), np.inf, dtype=np.float32)
         done = np.ones((count, beam), dtype=bool)
         lengths = np.einsum("ij,ij->i", queries, queries)
-        ids[:, 0], done[:, 0] = self.start, False
-        distance[:, 0] = self.squares[self.start] + lengths - 2 * queries @ self.points[self.start]
+        first = self.starts if self.inserted is None else self.starts[self.inserted[self.starts]]
+        far = self.squares[first] + lengths[:, None] - 2 * queries @ self.points[first].T
+        every = np.arange(count)[:, None]
+        near = np.argsort(far, axis=1, kind="stable")[:, : min(ENTRIES, beam)]
+        ids[:, : near.shape[1]], distance[:, : near.shape[1]], done[:, : near.shape[1]] = first[near], far[every, near], False
         seen = np.zeros((count, n + 1), dtype=bool)
-        seen[:, n] = seen[:, self.start] = True
+        seen[:, n] = True
+        seen[every, first[near]] = True
         steps = []
-        every = np.arange(count)[:, None]
         while not done.all():
             place = np.argsort(done, axis=1, kind="stable")[:, :EXPANDED]  # the nearest that are left
             old = np.take_along_axis(done, place, axis=1)
@@ -156,11 +165,15 @@ class Graph:
 
     def build(self, beam: int, seed: int = 0) -> Graph:
         order = np.random.default_rng(seed).permutation(self.n)
-        order = np.concatenate([[self.start], order[order != self.start]])
+        order = np.concatenate([self.starts[:1], order[order != self.starts[0]]])
+        self.inserted = np.zeros(self.n, dtype=bool)
+        self.inserted[order[0]] = True
         at, size = 1, 1
         while at < self.n:
             self.insert(order[at : at + size], beam)
+            self.inserted[order[at : at + size]] = True
             at, size = at + size, min(2 * size, _BATCH)
+        self.inserted = None
         return self
 
 

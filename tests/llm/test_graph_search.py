@@ -104,13 +104,31 @@ def test_few_edges_reach_every_node():
     rows = np.random.default_rng(2).normal(size=(2000, 12))
     graph = graph_search.Graph(rows, degree=16).build(32)
     assert (graph.edges[np.arange(2000)] != np.arange(2000)[:, None]).all()  # none to itself
-    reached, border = {graph.start}, [graph.start]
+    reached, border = {int(graph.starts[0])}, [int(graph.starts[0])]
     while border:
         border = {int(e) for v in border for e in graph.edges[v] if e < graph.n} - reached
         reached |= border
     assert len(reached) > 1980
 
 
+def test_a_crowd_of_near_copies_is_reached(spark):
+    """A third of all vectors next to one, far from the others."""
+    rng = np.random.default_rng(12)
+    spread = rng.normal(size=(2400, 32))
+    crowd = 3 * np.eye(32)[0] + rng.normal(size=(1200, 32)) * 0.02
+    vectors = np.concatenate([spread, crowd])
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    rows = [(int(i), v) for i, v in zip(rng.permutation(3600), vectors.tolist())]
+    df = table(spark, rows)
+    asked = [i for i, _ in rows if i % 20 == 0]
+    got = found(graph_search.nearest_vectors(df, df.where("vec_id % 20 = 0"), 20))
+    want = plain(rows, asked, 20)
+    crowded = {i for i, v in rows if v[0] > 0.99}
+    for some in (crowded, {i for i, _ in rows} - crowded):
+        near = {q: {i for i, _ in want[q]} for q in asked if q in some}
+        assert sum(len({i for i, _ in got[q]} & found_) for q, found_ in near.items()) > 0.93 * 20 * len(near) > 0
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables not supplied")
 def test_query(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{FOLDER}/embeddings.parquet").collect()]
