@@ -248,3 +248,18 @@ def test_totals_from_lengths(rows):
     documents = rows("doc_id int, text string", (1, "a\n\nb" * 900), (2, ""), (3, None), (4, " x "))
     of_chunks = chunking.chunk_totals(documents.selectExpr("string(doc_id) AS document_id"), chunking.chunk_texts(documents))
     assert sorted(of_chunks.collect()) == sorted(chunking.text_chunk_totals(documents).collect())
+
+
+def test_tasks_of_calls_stay_few(rows, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from evidence_lake.operators import embedding
+
+    assert embedding._tasks(680_000, 16, 12) == 1024 and embedding._tasks(680_000, 16, 4096) == 4096
+    assert [embedding._tasks(calls, 16, 4) for calls in (0, 1, 3, 40, 160)] == [1, 1, 3, 4, 10]
+    dealt, plain = [], DataFrame.repartitionByRange
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda self, *by: (dealt.append(by), plain(self, *by))[1])
+    chunks = rows("chunk_id string, document_id string, index int, text string", ("a", "d", 0, "y"), ("a", "d", 0, "x"), ("a", "c", 1, "z"))
+    placed = embedding.numbered(chunks, ["document_id", "index", "chunk_id"], "ordered", ties=("text",))
+    assert [r.text for r in placed.orderBy("place").collect()] == ["z", "x", "y"]
+    assert dealt == [("document_id", "index", "chunk_id")]  # long texts are not among the sampled keys
