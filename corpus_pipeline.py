@@ -5,7 +5,8 @@ the next one's ``docs``.  All but the last return the columns of ``documents``.
 
 1. quality          rejected documents go (labels of ``sf_dir``, held-out ones not learned from)
 2. lines            lines covered by repeated windows of three lines go; n_chars follows the text
-3. near_duplicates  of each group of near-duplicates the smallest doc_id stays
+3. near_duplicates  of each group of linked SimHash fingerprints the smallest doc_id stays; of these, in order of
+                    doc_id, what is similar to none that stays
 4. benchmark        documents with a passage of a benchmark item go
 5. packing          what is left is packed into sequences of at most 2048 tokens
 """
@@ -39,7 +40,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return simhash.keep_one_of_each(docs)
+    return simhash.keep_one_of_each(docs, bits=simhash.BITS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

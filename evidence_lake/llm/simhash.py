@@ -464,6 +464,7 @@ def keep_one_of_each(
     similarity: float = SIMILARITY,
     doc_id: str = "doc_id",
     text: str = "text",
+    bits: int | None = None,
 ) -> DataFrame:
     """``docs`` without near-duplicates: in order of doc_id, a row stays unless an earlier row that stays is similar.
 
@@ -474,6 +475,10 @@ def keep_one_of_each(
     shingle are large, texts that come first in all of their groups are compared with the others of these before
     pairs are listed, as long as that pays.
 
+    With ``bits``, near-duplicates by fingerprint go before: of the texts whose fingerprints are linked (``BITS`` as in
+    :func:`near_duplicates`) only the first stays, and what is said above holds for those that stay.  Shingles
+    then find what fingerprints miss, as similar texts may differ in more bits.
+
     Equal texts always go but for one.  NULL counts as an empty text, and texts without words are equal; NULL
     doc_ids come last.  Of rows equal in doc_id and text one stays.  Columns are those of ``docs``.
     """
@@ -486,9 +491,13 @@ def keep_one_of_each(
     place = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), key.alias("key"))
     keyed_texts = docs.select(key.alias("key"), content.alias("text"))
     common = spark.sparkContext.broadcast(_common_shingles(keyed_texts, shingle))
-    made = docs.select(key.alias("key"), place.alias("place"), _prefixes(content, shingle, similarity, common).alias("made"))
-    rows = write_out(made.select("key", "place", "made.*"), "text-prefixes")
-    texts = write_out(rows.groupBy("key").agg(F.min("place").alias("place")), "distinct-texts")
+    print_ = F.lit(None).cast("long") if bits is None else fingerprint(content)
+    made = docs.select(key.alias("key"), place.alias("place"), print_.alias("print"), _prefixes(content, shingle, similarity, common).alias("made"))
+    rows = write_out(made.select("key", "place", "print", "made.*"), "text-prefixes")
+    texts = write_out(rows.groupBy("key").agg(F.min("place").alias("place"), F.first("print").alias("print")), "distinct-texts")
+    if bits is not None:
+        linked = grouped(texts.select(F.col("place").alias("doc_id"), "key", "print"), bits)
+        texts = write_out(linked.where(F.col("doc_id") == F.col("component_id")).select("key", F.col("doc_id").alias("place")), "distinct-texts")
     one_row = rows.groupBy("place").count().where("count > 1").isEmpty()
 
     def one_of_each(frame: DataFrame, *names: str) -> DataFrame:

@@ -687,3 +687,16 @@ def test_lines_of_odd_rows(documents):
     want = [(None, 3, 0, same), (3, 3, 3, ""), (3, 4, 3, "x"), (8, 3, 3, ""), (8, 3, 3, ""), (9, 0, 0, None), (9, 1, 0, "")]
     assert got == Counter(want)
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_stage_drops_texts_of_linked_fingerprints(spark):
+    """Texts of one phrase over and over, with endings of their own: fingerprints are near, sets of shingles are not."""
+    import corpus_pipeline
+
+    phrase = "one two three four five six seven eight nine " * 60
+    rows = [(i, phrase + " ".join(f"w{i}x{k}" for k in range(20)), "en") for i in (3, 1, 2)]
+    rows += [(7, "quite another text of its own", "en"), (9, "quite another text of its own", "en"), (8, None, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each(df).collect()) == [1, 2, 3, 7, 8]
+    kept = corpus_pipeline.drop_near_duplicates(spark, df, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 7, 8] and kept.columns == df.columns
