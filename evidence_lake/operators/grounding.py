@@ -10,7 +10,7 @@ be cut; only where that is not enough, in passages of a few words, the character
 looked up by the rarest of its runs of three characters.
 
 Postings of a frequent word are dealt out in blocks, and equal texts, of chunks or passages, are compared
-once.
+once.  Texts go by numbers: postings and pairs, of which there are many, hold no digests.
 """
 
 from __future__ import annotations
@@ -72,7 +72,8 @@ def _grams(text: Column, size: int) -> Column:
 def _by_characters(said: DataFrame, sources: DataFrame, block: int) -> DataFrame:
     """(passage, chunk) for passages of few words and chunks with the passage's rarest run of characters."""
     few = said.where(F.size("words") < FEW_WORDS).withColumn("size", F.least(F.length("quoted"), F.lit(_GRAM)))
-    pairs = said.sparkSession.createDataFrame([], "passage string, chunk string")
+    types = dict(said.dtypes)["passage"], dict(sources.dtypes)["chunk"]
+    pairs = said.sparkSession.createDataFrame([], "passage {}, chunk {}".format(*types))
     for size in sorted(r["size"] for r in few.select("size").distinct().collect()):  # 1 to _GRAM
         grams = few.where(F.col("size") == size).select("passage", F.explode(_grams(F.col("quoted"), size)).alias("term"))
         grams = write_out(grams, "passage-characters")
@@ -94,14 +95,16 @@ def ground_everywhere(passages: DataFrame, chunks: DataFrame, block: int = BLOCK
     key = lambda column: F.sha2(column, 256)
     named = passages.select("passage_id", T.collapse_whitespace(F.col("text")).alias("quoted")).where("quoted <> ''")
     placed = chunks.select("chunk_id", T.collapse_whitespace(F.col("text")).alias("source")).where("source <> ''")
-    said = named.select(key("quoted").alias("passage"), "quoted").dropDuplicates(["passage"])
-    said = write_out(said.withColumn("words", T.words(F.col("quoted"))), "passage-words")
-    sources = placed.select(key("source").alias("chunk"), "source").dropDuplicates(["chunk"])
-    sources = write_out(sources.withColumn("words", F.array_distinct(T.words(F.col("source")))), "chunk-words")
+    number = F.monotonically_increasing_id()
+    said = named.select(key("quoted").alias("said_key"), "quoted").dropDuplicates(["said_key"])
+    said = write_out(said.withColumns({"words": T.words(F.col("quoted")), "passage": number}), "passage-words")
+    sources = placed.select(key("source").alias("source_key"), "source").dropDuplicates(["source_key"])
+    sources = write_out(sources.withColumns({"words": F.array_distinct(T.words(F.col("source"))), "chunk": number}), "chunk-words")
     possible = _by_words(said, sources, block).unionByName(_by_characters(said, sources, block)).distinct()
-    compared = possible.join(said.select("passage", "quoted"), "passage").join(sources, "chunk")
+    compared = possible.join(said.select("passage", "said_key", "quoted"), "passage").join(sources, "chunk")
     grounded = is_grounded(F.col("quoted"), F.col("source"), F.col("words"))
-    found = write_out(compared.where(grounded).select("passage", "chunk"), "grounded-pairs")
+    found = write_out(compared.where(grounded).select("said_key", "source_key"), "grounded-pairs")
     discard(said, sources)
-    ids = named.select("passage_id", key("quoted").alias("passage"))
-    return found.join(ids, "passage").join(placed.select("chunk_id", key("source").alias("chunk")), "chunk").select("passage_id", "chunk_id")
+    ids = named.select("passage_id", key("quoted").alias("said_key"))
+    at = placed.select("chunk_id", key("source").alias("source_key"))
+    return found.join(ids, "said_key").join(at, "source_key").select("passage_id", "chunk_id")

@@ -60,3 +60,12 @@ def test_no_pair_of_everything(spark):
     words = spark.createDataFrame([(str(k), t.split()) for k, t in chunks], "chunk string, words array<string>")
     asked = spark.createDataFrame([(str(k), t.split()) for k, t in passages], "passage string, words array<string>")
     assert grounding._by_words(asked, words, 1000).count() == len(passages)
+
+
+def test_postings_and_pairs_hold_numbers(spark, monkeypatch):
+    met, plain = [], grounding._looked_up
+    monkeypatch.setattr(grounding, "_looked_up", lambda wanted, postings, *rest: (met.append((wanted.dtypes, postings.dtypes)), plain(wanted, postings, *rest))[1])
+    said = spark.createDataFrame([(1, "a b c d e f"), (2, "x")], "passage_id int, text string")
+    chunks = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x y")], "chunk_id int, text string")
+    assert sorted(tuple(r) for r in grounding.ground_everywhere(said, chunks).collect()) == [(1, 1), (1, 2), (2, 3)]
+    assert len(met) == 2 and all(dict(w)["passage"] == dict(p)["chunk"] == "bigint" for w, p in met)
