@@ -109,7 +109,8 @@ def _contested(own: DataFrame) -> DataFrame:
     content hash put together from several works needs a shared title.
     """
     keys = own.select("ord", F.explode(F.array_append(_plain_keys(), F.concat(F.lit("title:"), F.col("title")))).alias("key"))
-    keys = keys.filter(F.col("key").isNotNull())
+    # hashes for keys, which are sent twice: two that clash only make a work contested that need not be
+    keys = keys.filter(F.col("key").isNotNull()).select("ord", F.xxhash64("key").alias("key"))
     shared = keys.groupBy("key").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"))
     shared = shared.filter(F.col("lo") != F.col("hi")).select("key")
     contested = keys.join(shared, "key", "left_semi").select("ord").distinct()

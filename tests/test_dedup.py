@@ -149,3 +149,14 @@ def test_no_works_and_unknown_strategy(rows):
     assert run(rows, []) == []
     with pytest.raises(ValueError):
         dedup.deduplicate(rows(SCHEMA), strategy="fuzzy")
+
+
+def test_contested_works_are_found_by_hashes(spark):
+    schema = "ord bigint, doi string, ext string, urlk string, title string, year int, author string"
+    own = spark.createDataFrame(
+        [(0, "d", None, None, None, None, None), (1, None, "d", None, None, None, None), (2, "d", None, "u", None, None, None),
+         (3, None, None, "u", "t", None, None), (4, None, None, None, "t", 2000, "a"), (5, None, None, None, "s", None, None)], schema,
+    )
+    found = dedup._contested(own)
+    assert sorted(r.ord for r in found.collect()) == [0, 2, 3, 4]  # equal values of different fields are no shared key
+    assert "xxhash64" in found._jdf.queryExecution().optimizedPlan().toString()
