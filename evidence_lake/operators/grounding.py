@@ -10,7 +10,9 @@ be cut; only where that is not enough, in passages of a few words, the character
 looked up by the rarest of its runs of three characters.
 
 Postings of a frequent word are dealt out in blocks, and equal texts, of chunks or passages, are compared
-once.  Texts go by numbers: postings and pairs, of which there are many, hold no digests.
+once.  Texts go by numbers: postings and pairs, of which there are many, hold no digests.  Words go by hashes until texts
+are compared: two words with one hash can only bring more pairs together, and of these only those whose hashes leave it
+open are compared word by word.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from evidence_lake.session import discard, write_out
 
 #: Chunks of one word, or run of characters, that one task looks up.
 BLOCK = 100_000
+#: Passages up to this size are sent to all tasks.
+PASSAGE_BYTES = 16 * 1024 * 1024
 #: A verbatim passage of fewer words may have too small a share of its words in a chunk.
 FEW_WORDS = int(2 / (1 - V.MIN_TOKEN_OVERLAP)) + 1
 _GRAM = 3
@@ -93,18 +97,29 @@ def ground_everywhere(passages: DataFrame, chunks: DataFrame, block: int = BLOCK
     are grounded nowhere; repeated rows each count.
     """
     key = lambda column: F.sha2(column, 256)
+    hashed = lambda column: F.transform(T.words(column), lambda w: F.xxhash64(w))
     named = passages.select("passage_id", T.collapse_whitespace(F.col("text")).alias("quoted")).where("quoted <> ''")
     placed = chunks.select("chunk_id", T.collapse_whitespace(F.col("text")).alias("source")).where("source <> ''")
+    placed = write_out(placed.withColumn("source_key", key("source")), "placed-chunks")
     number = F.monotonically_increasing_id()
     said = named.select(key("quoted").alias("said_key"), "quoted").dropDuplicates(["said_key"])
-    said = write_out(said.withColumns({"words": T.words(F.col("quoted")), "passage": number}), "passage-words")
-    sources = placed.select(key("source").alias("source_key"), "source").dropDuplicates(["source_key"])
-    sources = write_out(sources.withColumns({"words": F.array_distinct(T.words(F.col("source"))), "chunk": number}), "chunk-words")
+    said = write_out(said.withColumns({"words": hashed(F.col("quoted")), "passage": number}), "passage-words")
+    sources = placed.select("source_key", "source").dropDuplicates(["source_key"])
+    sources = write_out(sources.withColumns({"words": F.array_distinct(hashed(F.col("source"))), "chunk": number}), "chunk-words")
     possible = _by_words(said, sources, block).unionByName(_by_characters(said, sources, block)).distinct()
-    compared = possible.join(said.select("passage", "said_key", "quoted"), "passage").join(sources, "chunk")
-    grounded = is_grounded(F.col("quoted"), F.col("source"), F.col("words"))
+    distinct = said.select("passage", "said_key", "quoted", F.array_distinct("words").alias("hashes"), F.size("words").alias("size"))
+    # few passages go to all tasks, so that pairs are sent as two numbers; many would be more than the texts of chunks
+    if (said.agg(F.sum(F.length("quoted") + 16 * F.size("words"))).first()[0] or 0) <= PASSAGE_BYTES:
+        compared = possible.join(sources, "chunk").join(F.broadcast(distinct), "passage")
+    else:
+        compared = possible.join(distinct, "passage").join(sources, "chunk")
+    # repeated words count as known here
+    most = F.size(F.array_intersect("hashes", "words")) + F.col("size") - F.size("hashes")
+    likely = (most >= F.col("size") * V.MIN_TOKEN_OVERLAP * _SLACK) | F.contains("source", "quoted")
+    compared = compared.where(likely).select("said_key", "source_key", "quoted", "source")
+    grounded = is_grounded(F.col("quoted"), F.col("source"), collapsed=True)
     found = write_out(compared.where(grounded).select("said_key", "source_key"), "grounded-pairs")
     discard(said, sources)
     ids = named.select("passage_id", key("quoted").alias("said_key"))
-    at = placed.select("chunk_id", key("source").alias("source_key"))
+    at = placed.select("chunk_id", "source_key")
     return found.join(ids, "said_key").join(at, "source_key").select("passage_id", "chunk_id")

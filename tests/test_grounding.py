@@ -69,3 +69,19 @@ def test_postings_and_pairs_hold_numbers(spark, monkeypatch):
     chunks = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x y")], "chunk_id int, text string")
     assert sorted(tuple(r) for r in grounding.ground_everywhere(said, chunks).collect()) == [(1, 1), (1, 2), (2, 3)]
     assert len(met) == 2 and all(dict(w)["passage"] == dict(p)["chunk"] == "bigint" for w, p in met)
+
+
+@pytest.mark.parametrize("most", [0, grounding.PASSAGE_BYTES])
+def test_words_are_looked_up_by_hash(spark, monkeypatch, most):
+    monkeypatch.setattr(grounding, "PASSAGE_BYTES", most)
+    terms, plain = [], grounding._looked_up
+    monkeypatch.setattr(grounding, "_looked_up", lambda wanted, *rest: (terms.append(dict(wanted.dtypes)["term"]), plain(wanted, *rest))[1])
+    common = " ".join(f"c{j}" for j in range(20))
+    passages = [(k, f"{common} " + " ".join(f"p{k}x{j}" for j in range(31))) for k in range(20)]  # too few words in common
+    passages.append((20, "a b a c c a d e"))  # enough in the first chunk by its repeats only
+    chunks = [(k, f"{common} other{k}") for k in range(20)] + [(20, "a c x y z a"), (21, "b d e x y z"), (22, passages[0][1])]
+    chunks += [(100 + 31 * k + j, f"p{k}x{j}") for k in range(20) for j in range(31)]
+    said = spark.createDataFrame(passages, "passage_id int, text string")
+    found = grounding.ground_everywhere(said, spark.createDataFrame(chunks, "chunk_id int, text string"))
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 22), (20, 20)]
+    assert terms[0] == "bigint"
